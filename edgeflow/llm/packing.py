@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeflow.llm.text import small_batches
 from edgeflow.llm.tokens import word_ids
 from edgeflow.storage import save
 
@@ -104,6 +105,7 @@ def pack(
     null ids are documents of their own.  An empty table gives no pieces.  Other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
@@ -132,7 +134,7 @@ def pack(
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def again(turn: int, last: bool):
-        def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             packer = Packer(size, windows, min_cut, turn, int(key[0]))
             pdf = pdf.sort_values(["part", "window", "offset"])
             for doc, start, ids, total in zip(pdf.doc_id.astype(object).where(pdf.doc_id.notna(), None), pdf.start, pdf.ids, pdf.doc_tokens, strict=True):

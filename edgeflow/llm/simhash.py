@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import utf8, words
+from edgeflow.llm.text import small_batches, utf8, words
 from edgeflow.operators.components import star_contraction
 from edgeflow.storage import save
 
@@ -48,6 +48,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str, keys: list[str], shingle: int = 3) -> DataFrame:
     """``keys`` and the fingerprint as a BIGINT bit pattern ``fp``."""
+    small_batches(docs.sparkSession)
     fields = docs.select(*keys).schema
 
     def each(batches):

@@ -13,3 +13,13 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 def words(text: bytes | None) -> list[bytes]:
     """Runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased (``bytes`` methods touch ASCII only)."""
     return text.lower().split() if text else []
+
+
+#: Rows of whole texts that travel to a Python worker at once; bounds memory, not results.
+BATCH_ROWS = 512
+
+
+def small_batches(spark) -> None:
+    """Whole texts are large rows: send fewer of them to a worker at a time than Spark's default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
