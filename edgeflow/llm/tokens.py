@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries a worker's cache may hold before it starts afresh; bounds memory only.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class WordIds(dict):
@@ -16,8 +16,8 @@ class WordIds(dict):
 
     The vocabulary's normaliser and splitter treat a text run by run, and no run crosses a
     space or line feed, so a text's ids are those of its space-separated strings in turn.
-    Plain ASCII words are encoded by the model alone, in lower case as the normaliser would
-    leave them; words with a final full stop or comma are the word and the mark.
+    Words of Latin-1 letters are encoded by the model alone, in lower case as the normaliser
+    would leave them; words with a final full stop or comma are the word and the mark.
     """
 
     def __init__(self, path: str):
@@ -27,13 +27,18 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        plain = ["zebra", "queue", "inging"]
-        self.lower = all(self._model(w) == self._full(w) == self._full(w.upper()) for w in plain) and self._full("a.") == (
+        plain = ["zebra", "queue", "inging", "straße", "éàçñøþ", "ªµº"]
+        # Byte-level symbols: visible Latin-1 characters stand for their own byte, the others follow from 256 in order.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = (b for b in range(256) if b not in shown)
+        self.symbols = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.lower = all(self._model(w) == self._full(w) for w in plain) and self._model("zebra") == self._full("ZeBRA") and self._full("a.") == (
             self._full("a") + self._full(".")
         )
 
     def _model(self, s: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
+        spelt = s if s.isascii() else s.encode().decode("latin-1").translate(self.symbols)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
 
     def _full(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
@@ -43,7 +48,7 @@ class WordIds(dict):
             ids = b""
         elif self.lower and len(s) > 1 and s[-1] in ".," and s[:-1].isalpha():
             ids = self[s[:-1]] + self[s[-1]]
-        elif self.lower and s.isascii() and s.isalpha():
+        elif self.lower and s.isalpha() and (s.isascii() or max(s) < "\u0100"):
             ids = self[low] if (low := s.lower()) != s else self._model(s)
         else:
             ids = self._full(s)
