@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeflow.llm import chat, ctw, language, mixing, packing, simhash, vectors
+from edgeflow.llm import chat, ctw, language, mixing, packing, simhash, suffix, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix.remove_repeats(table(spark, sf_dir, "documents"), least=400, keep="none")
+    gone = (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed")
+    return rows.select("doc_id", "n_bytes", gone, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     crc = F.crc32("ids").alias("ids_crc32")
