@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeflow.storage import save
+
 #: Turn positions are counted and hashed within blocks of so many turn numbers, and the
 #: blocks' totals are carried over them, so that a very long conversation is many groups.
 BLOCK = 1024
@@ -67,7 +69,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     texts as empty.  Rows of null ``conv_id`` are one conversation.  Repeated turns are turns.
     An empty table gives no rows.  Other columns are ignored.
     """
-    rolled = prefixes(turns, conv_id, turn, role, text)
+    rolled = save(prefixes(turns, conv_id, turn, role, text))
     kept = maximal(rolled)
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit(MIDDLE), F.coalesce("text", F.lit("")), F.lit(CLOSE))
     a, b = rolled.alias("a"), kept.alias("b")
