@@ -1 +1,37 @@
-STAGES = []
+"""The corpus pipeline: raw documents to packed training sequences.
+
+``STAGES`` in order; each takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from edgeflow.llm import stages
+from edgeflow.storage import shared_dir
+
+STAGES = [
+    ("language", stages.known_language),
+    ("simhash", stages.near_copies),
+    ("repeats", stages.repeats),
+    ("mixing", stages.mixed),
+    ("packing", stages.packed),
+]
+
+#: SQL cannot express the fitted language model nor the tokenizer; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each stage's table is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{i}-{re.sub('[^a-z]', '', name)}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
