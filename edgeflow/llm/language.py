@@ -9,6 +9,7 @@ probabilities are fitted by expectation-maximisation over all segmentations.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -27,7 +28,9 @@ MARK = "▁"
 LEAST = 1e-6
 #: Probabilities are scaled so per character, to stay clear of underflow.
 SCALE = 1e4
-CACHE = 4_000_000
+CACHE = 3_000_000
+#: A worker's word scores under the model it used last.
+_SCORED: dict = {}
 
 
 @lru_cache(maxsize=2)
@@ -137,6 +140,7 @@ class Languages:
     """Fitted piece probabilities ``p[piece, language]`` and the languages' shares of documents."""
 
     def __init__(self, names: list, p: np.ndarray, prior: np.ndarray, path: str):
+        self.key = uuid.uuid4().hex
         self.names, self.p, self.prior, self.path = names, p, prior, path
 
     def predict(self, docs: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -146,11 +150,14 @@ class Languages:
         """
         keys = docs.columns if keys is None else keys
         names, p, prior, path = [str(x) for x in self.names], self.p, np.log(self.prior), self.path
+        model = self.key
         small_batches(docs.sparkSession)
 
         def each(batches):
-            known: dict[str, int] = {}
-            table = np.empty((1 << 16, max(1, len(names))))
+            if _SCORED.get("model") != model:
+                _SCORED.clear()
+                _SCORED.update(model=model, known={}, table=np.empty((1 << 16, max(1, len(names)))))
+            known, table = _SCORED["known"], _SCORED["table"]
             for b in batches:
                 texts = [words(t) for t in b.column(b.num_columns - 1).to_pylist()] if names else [[]] * b.num_rows
                 if len(known) * table.shape[1] > CACHE:
@@ -160,6 +167,7 @@ class Languages:
                     while len(known) + len(fresh) > len(table):
                         table = np.concatenate([table, np.empty_like(table)])
                     table[len(known) : len(known) + len(fresh)] = log_scores(fresh, p, path)
+                    _SCORED["table"] = table
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                 said, score = [], []
                 for t in texts:

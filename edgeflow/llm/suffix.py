@@ -283,13 +283,28 @@ def _spans(parts: list[dict], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 400, keep: str = "first", columns: list[str] | None = None) -> DataFrame:
+def _whole(spans: list[tuple[int, int]], t: bytes) -> list[tuple[int, int]]:
+    """Spans widened to character bounds; those that then touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a and t[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(t) and t[b] & 0xC0 == 0x80:
+            b += 1
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 400, keep: str = "first", columns: list[str] | None = None, characters: bool = False) -> DataFrame:
     """``columns`` (the id by default), ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (the other bytes).
 
     With ``keep="first"`` the first copy of a repeated string stays, in the order of
     ``doc_id`` (null last), text digests and position; with ``keep="none"`` every copy goes.
     Texts are UTF-8 bytes, null is empty; strings never cross documents; texts shorter than
-    ``least`` bytes pass whole.  Rows equal in id and text share their result.  An empty
+    ``least`` bytes pass whole.  With ``characters`` a span takes along the whole of any
+    character it cuts, so that what is kept is UTF-8.  Rows equal in id and text share their result.  An empty
     table gives no rows.
     """
     spark = docs.sparkSession
@@ -334,6 +349,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             size, spans, rest = [], [], []
             for t, p in zip(utf8(b.column(b.num_columns - 2)), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 gone = _spans(p, least) if p else []
+                if characters:
+                    gone = _whole(gone, t)
                 cuts = [0, *[x for s in gone for x in s], len(t)]
                 size.append(len(t))
                 spans.append([{"start": x, "end": y} for x, y in gone])
