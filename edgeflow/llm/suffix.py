@@ -227,7 +227,8 @@ def _matches(cut: DataFrame, least: int, level: int) -> DataFrame:
     """
     small_batches(cut.sparkSession)
     unique = save(cut.groupBy("anchor", "c1", "c2").agg(F.first("data").alias("data"), F.sum("n").alias("n"), F.min("at").alias("at")))
-    sizes = unique.groupBy("anchor").agg(F.count("*").alias("different"))
+    # Saved, so that the joins are plain shuffle joins, whose large partitions Spark may split.
+    sizes = save(unique.groupBy("anchor").agg(F.count("*").alias("different")))
     sized = unique.join(sizes, "anchor")
     none = F.array().cast("array<bigint>")
     whole = F.array(F.lit(0).cast("long"), (F.length("data") - least + 1).cast("long"))
@@ -325,7 +326,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     kinds = f"__id {kind}, __t1 long, __t2 long"
     every = Saved(long.mapInArrow(anchored, f"{kinds}, start long, n long, anchor long"))
-    again = every.df.groupBy("anchor").count().where("count > 1").select("anchor")
+    again = save(every.df.groupBy("anchor").count().where("count > 1").select("anchor"))
     where = every.df.join(again, "anchor").groupBy(*key).agg(F.collect_set(F.struct("start", "n", "anchor")).alias("runs"))
     a, b = long.alias("a"), where.alias("b")
     same = F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__t1") == F.col("b.__t1")) & (F.col("a.__t2") == F.col("b.__t2"))
