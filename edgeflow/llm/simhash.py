@@ -47,16 +47,18 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str, keys: list[str], shingle: int = 3) -> DataFrame:
-    """``keys`` and the fingerprint as a BIGINT bit pattern ``fp``."""
+    """``keys``, the fingerprint as a BIGINT bit pattern ``fp`` and the number of words ``n``."""
     small_batches(docs.sparkSession)
     fields = docs.select(*keys).schema
 
     def each(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in utf8(b.column(b.num_columns - 1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*keys, "fp"])
+            texts = utf8(b.column(b.num_columns - 1))
+            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            n = [len(t.split()) if t else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp), pa.array(n, pa.int64())], [*keys, "fp", "n"])
 
-    return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, fields.add("fp", "long"))
+    return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, fields.add("fp", "long").add("n", "long"))
 
 
 def _steps(segments: int, radius: int) -> list[int]:
@@ -131,19 +133,24 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, keep: tuple[str, ...] = ()
-) -> DataFrame:
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, keep: tuple[str, ...] = (),
+    similarity: float | None = None,
+) -> DataFrame:
     """Each row's ``doc_id``, ``keep`` columns, ``fp`` and ``component_id``.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most ``radius``
     differing bits, the row itself included.  Null and empty texts have fingerprint 0 and link like any other;
+    with ``similarity`` (then ``keep`` must hold a digest ``__d``) rows link by likeness, too;
     null ids never become a component's id unless the whole component has none; repeated
     rows stay rows.  An empty table gives an empty result.  Other columns are ignored.
     """
     cols = [F.col(doc_id).alias("__id"), *keep, F.col(text).alias("__t")]
     rows = save(fingerprints(docs.select(*cols), "__t", ["__id", *keep], shingle))
     distinct = save(rows.groupBy("fp").agg(F.min("__id").alias("low")))
-    found = star_contraction(links(distinct, radius))
+    joined = links(distinct, radius)
+    if similarity is not None:
+        joined = joined.union(similar_links(docs.select(F.col(doc_id).alias("__id"), *keep, text), rows, text, similarity))
+    found = star_contraction(joined)
     rooted = distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("comp", "fp").alias("root")
     )
@@ -152,10 +159,135 @@ def near_duplicates(
     return rows.join(named, "fp").select(F.col("__id").alias(doc_id), *keep, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one of smallest id, then of smallest text digest."""
+#: Bits of a wide fingerprint, words of the shingles it is made of.
+WIDE, WIDE_SHINGLE = 1024, 5
+#: Bits of the 64 in which near copies may differ: texts that share 0.8 of their five-word
+#: shingles differ in 5 on average and hardly ever in more; unrelated ones in 32.
+APART = 13
+#: Word counts of a class differ by less than this ratio; near copies lie at most LATER classes apart.
+RATIO, LATER = 1.12, 3
+BLOCK = 4096
+
+
+def wide_fingerprint(text: bytes | None) -> bytes:
+    """``WIDE`` majority bits of the five-word shingles, from as many mixes of their hashes."""
+    w = words(text)
+    out = []
+    h = np.unique([xxhash.xxh64_intdigest(b" ".join(w[i : i + WIDE_SHINGLE]), SEED) for i in range(max(1, len(w) - WIDE_SHINGLE + 1))]).astype(np.uint64)
+    for k in range(WIDE // 64):
+        m = (h ^ (h >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & 0xFFFFFFFFFFFFFFFF | 1)
+        m ^= m >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(m), 1 << 14):
+            ones += np.unpackbits(m[i : i + (1 << 14), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(m), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def _class_pairs(rows: DataFrame, value: str) -> DataFrame:
+    """Blocks of rows (``cls, value``) of like word counts in pairs: ``fa, fb, same``; each pair of blocks once.
+
+    Blocks meet by class and block number, so that a class of many rows is many keys.
+    """
+    sizes = rows.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    sizes = save(sizes)  # one row for each ratio of word counts, a few hundred at most
+    part = F.pmod(F.xxhash64("fp"), "parts").alias("part")
+    blocks = save(rows.join(F.broadcast(sizes), "cls").groupBy("cls", part).agg(F.collect_list(value).alias("v")))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(LATER))).alias("step")
+    a = blocks.select(F.col("cls").alias("ca"), F.col("part").alias("pa"), F.col("v").alias("fa"), steps).withColumn("cls", F.col("ca") + F.col("step"))
+    a = a.join(F.broadcast(sizes), "cls").withColumn("part", F.explode(F.expr("sequence(bigint(0), parts - 1)")))
+    pairs = a.join(blocks, ["cls", "part"]).where("step > 0 or part >= pa")
+    return pairs.select("fa", F.col("v").alias("fb"), ((F.col("step") == 0) & (F.col("part") == F.col("pa"))).alias("same"))
+
+
+def _has_near(batches):
+    """Fingerprints that have another within ``APART`` bits."""
+    for b in batches:
+        for i in range(b.num_rows):
+            x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fa", "fb"))
+            same, near_x, near_y = b.column("same")[i].as_py(), np.zeros(len(x), bool), np.zeros(len(y), bool)
+            for k in range(0, len(x), 64):
+                near = np.bitwise_count(x[k : k + 64, None] ^ y[None, :]) <= APART
+                if same:
+                    near[np.arange(len(near)), np.arange(k, k + len(near))] = False
+                near_x[k : k + 64] |= near.any(axis=1)
+                near_y |= near.any(axis=0)
+            found = np.unique(np.concatenate([x[near_x], y[near_y]]))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["fp"])
+
+
+def _wide_links(most: int):
+    """Of two blocks, enough links to join what is connected by wide distances of at most ``most``."""
+
+    def each(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                (x, wx), (y, wy) = (parts(b.column(c)[i].values) for c in ("fa", "fb"))
+                near = np.zeros((len(x), len(y)), bool)
+                for k in range(0, len(x), 64):
+                    p, q = np.nonzero(np.bitwise_count(x[k : k + 64, None] ^ y[None, :]) <= APART)
+                    for j in range(0, len(p), 1 << 15):
+                        r, c = p[j : j + (1 << 15)] + k, q[j : j + (1 << 15)]
+                        near[r, c] = np.bitwise_count(wx[r] ^ wy[c]).sum(axis=1, dtype=np.int64) <= most
+                r, c = near.any(axis=1), near.any(axis=0)
+                near, x, y = near[r][:, c], x[r].view(np.int64), y[c].view(np.int64)
+                if not len(x):
+                    continue
+                left, right, top = x.copy(), y.copy(), np.iinfo(np.int64).max
+                while True:
+                    low = np.minimum(right, np.where(near, left[:, None], top).min(axis=0))
+                    new = np.minimum(left, np.where(near, low[None, :], top).min(axis=1))
+                    if (low == right).all() and (new == left).all():
+                        break
+                    left, right = new, low
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])), pa.array(np.concatenate([left, right]))], ["src", "dst"])
+
+    def parts(v: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        fp = v.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        return fp, np.frombuffer(b"".join(v.field("wide").to_pylist()), np.uint64).reshape(len(fp), -1)
+
+    return each
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, text: str, similarity: float) -> DataFrame:
+    """Links ``src, dst`` of fingerprints whose texts share about ``similarity`` of their five-word shingles, or more.
+
+    Texts with another within ``APART`` bits of the 64, by tiled comparison within like word
+    counts, get a wide fingerprint; the share of differing bits in it is the angle between
+    the shingle sets over pi.  ``rows`` holds ``__id, __d, fp, n`` of each document.
+    """
+    cls = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(RATIO))).cast("int")
+    kinds = save(rows.groupBy("fp").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), cls.alias("cls"))).alias("p")))
+    near = _class_pairs(kinds.select("fp", F.col("p.cls").alias("cls")), "fp").mapInArrow(_has_near, "fp long").distinct()
+    chosen = save(kinds.join(near, "fp").select("fp", "p.id", "p.d", "p.cls"))
+    small_batches(docs.sparkSession)
+
+    def widened(batches):
+        for b in batches:
+            wide = pa.array([wide_fingerprint(t) for t in utf8(b.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), wide], ["fp", "cls", "wide"])
+
+    a, b = docs.alias("a"), chosen.alias("b")
+    texts = a.join(b, F.col("a.__id").eqNullSafe(F.col("b.id")) & (F.col("a.__d") == F.col("b.d")))
+    texts = texts.select("b.fp", "b.cls", F.col(f"a.{text}").alias("t")).mapInArrow(widened, "fp long, cls int, wide binary")
+    texts = save(texts).dropDuplicates(["fp"])
+    angle = np.arccos(2 * similarity / (1 + similarity))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    pairs = _class_pairs(texts.withColumn("w", F.struct("fp", "wide")), "w")
+    return pairs.mapInArrow(_wide_links(int(WIDE * angle / np.pi)), "src long, dst long").where("src <> dst")
+
+
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float | None = 0.8
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one of smallest id, then of smallest text digest.
+
+    Rows link where their fingerprints differ in at most ``radius`` bits or, if
+    ``similarity`` is given, where a wide fingerprint puts their likeness at that or more.
+    """
     digest = F.coalesce(F.md5(F.encode(F.col(text), "UTF-8")), F.lit(""))
-    rows = near_duplicates(docs.withColumn("__d", digest), doc_id, text, radius, shingle, ("__d",))
+    rows = near_duplicates(docs.withColumn("__d", digest), doc_id, text, radius, shingle, ("__d",), similarity)
     pick = F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("__d").alias("d"))
     # Components whose rows all lack an id are told apart by fingerprint alone.
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
