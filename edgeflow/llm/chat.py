@@ -91,7 +91,7 @@ WITH p AS (
   SELECT min(conv_id) AS conv_id, n_turns, said, count(*) AS n_equal FROM whole GROUP BY n_turns, said
 ), kept AS (
   SELECT * FROM one WHERE NOT EXISTS (
-    SELECT 1 FROM p JOIN whole USING (conv_id) WHERE p.n < whole.n_turns AND p.n = one.n_turns AND p.said = one.said)
+    SELECT 1 FROM p JOIN whole ON whole.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.n < whole.n_turns AND p.n = one.n_turns AND p.said = one.said)
 )
 SELECT k.conv_id, k.n_turns, k.n_equal,
        string_agg('<|im_start|>' || coalesce(c.role, '') || chr(10) || coalesce(c.text, '') || '<|im_end|>' || chr(10), ''

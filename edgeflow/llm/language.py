@@ -146,9 +146,9 @@ class Languages:
     def predict(self, docs: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
         """``keys`` (all columns by default), ``lang_pred`` and ``score``, the posterior of the prediction.
 
-        ``und`` and 0 where a text is null or has no letter, or where no language is known.
+        Keys of these names give way.  ``und`` and 0 where a text is null or has no letter, or where no language is known.
         """
-        keys = docs.columns if keys is None else keys
+        keys = [c for c in (docs.columns if keys is None else keys) if c not in ("lang_pred", "score")]
         names, p, prior, path = [str(x) for x in self.names], self.p, np.log(self.prior), self.path
         model = self.key
         small_batches(docs.sparkSession)
@@ -264,4 +264,4 @@ def identify(
     model = fit(docs.where(~out), path, doc_id, text, lang, sample_rows)
     keys = [doc_id] if keys is None else keys
     held = docs.withColumn("held_out", out)
-    return model.predict(held, text, [*keys, "held_out"])
+    return model.predict(held, text, [*[c for c in keys if c != "held_out"], "held_out"])

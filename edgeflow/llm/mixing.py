@@ -61,9 +61,9 @@ def mix(
     Returns ``columns`` (all by default), ``copy`` (from 0), ``rate`` and ``position_key``, a
     hash of the whole row that deals the copies over all partitions and orders each of them.  The count depends on
     ``seed`` and ``doc_id`` only; rows of equal or null id share their count.  A null source
-    is a source.  Null or long texts pass unchanged.  An empty table gives no rows.
+    is a source; columns of the added ones' names give way to them.  Null or long texts pass unchanged.  An empty table gives no rows.
     """
-    columns = columns or docs.columns
+    columns = [c for c in columns or docs.columns if c not in ("copy", "rate", "position_key")]
     per = rates(docs, source, weights, power, total)
     per = F.broadcast(per) if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else per
     a, b = docs.select(*columns, F.col(doc_id).alias("__i"), F.col(source).alias("__s")).alias("a"), per.alias("b")

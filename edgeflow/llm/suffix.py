@@ -305,12 +305,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``doc_id`` (null last), text digests and position; with ``keep="none"`` every copy goes.
     Texts are UTF-8 bytes, null is empty; strings never cross documents; texts shorter than
     ``least`` bytes pass whole.  With ``characters`` a span takes along the whole of any
-    character it cuts, so that what is kept is UTF-8.  Rows equal in id and text share their result.  An empty
-    table gives no rows.
+    character it cuts, so that what is kept is UTF-8.  Rows equal in id and text share their result.
+    Columns of the added ones' names give way to them.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = [doc_id] if columns is None else columns
+    columns = [c for c in ([doc_id] if columns is None else columns) if c not in ("n_bytes", "spans", "kept")]
     kind = docs.schema[doc_id].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit(""))
     key = {"__id": F.col(doc_id), "__t1": F.xxhash64(body), "__t2": F.xxhash64(F.lit(1), body)}
