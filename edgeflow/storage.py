@@ -7,6 +7,7 @@ executor, unlike a local checkpoint.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,12 @@ class Saved:
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, computes once."""
     return Saved(df).df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the garbage collection of the driver, which may be long in coming.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
