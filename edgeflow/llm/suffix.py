@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgeflow.llm.text import small_batches, utf8
-from edgeflow.storage import Saved, save
+from edgeflow.storage import Saved, release, save
 
 #: Different stretches of one anchor that share a suffix array.
 GROUP = 512
@@ -226,7 +226,9 @@ def _matches(cut: DataFrame, least: int, level: int) -> DataFrame:
     ``lead`` those that match earlier, for the first occurrence, which is at ``at``.
     """
     small_batches(cut.sparkSession)
-    unique = save(cut.groupBy("anchor", "c1", "c2").agg(F.first("data").alias("data"), F.sum("n").alias("n"), F.min("at").alias("at")))
+    held = Saved(cut.groupBy("anchor", "c1", "c2").agg(F.first("data").alias("data"), F.sum("n").alias("n"), F.min("at").alias("at")))
+    unique = held.df
+    release(cut.sparkSession)
     # Saved, so that the joins are plain shuffle joins, whose large partitions Spark may split.
     sizes = save(unique.groupBy("anchor").agg(F.count("*").alias("different")))
     sized = unique.join(sizes, "anchor")
@@ -240,8 +242,11 @@ def _matches(cut: DataFrame, least: int, level: int) -> DataFrame:
     crowded = sizes.where(f"different > {GROUP}")
     if level + 1 < len(FINER) and crowded.limit(1).count():
         found = found.union(_finer(unique.join(crowded, "anchor", "left_semi"), least, level + 1))
-    found = save(found.where("size(any) > 0"))
-    return found.join(unique.select("c1", "c2", "at"), ["c1", "c2"])
+    found = Saved(found.where("size(any) > 0"))
+    out = save(found.df.join(unique.select("c1", "c2", "at"), ["c1", "c2"]))
+    held.drop()
+    found.drop()
+    return out
 
 
 def _finer(stretches: DataFrame, least: int, level: int) -> DataFrame:
@@ -331,11 +336,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a, b = long.alias("a"), where.alias("b")
     same = F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__t1") == F.col("b.__t1")) & (F.col("a.__t2") == F.col("b.__t2"))
     cutter, schema = _cut(least, list(key), f"{kind} long long")
-    cut = save(a.join(b, same).select("a.*", "b.runs").mapInArrow(cutter, schema))
+    held = Saved(a.join(b, same).select("a.*", "b.runs").mapInArrow(cutter, schema))
+    cut = held.df
     at = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), "start")
     every.drop()
+    release(spark)
     found = _matches(cut.select(at.alias("at"), F.lit(1).cast("long").alias("n"), "anchor", "c1", "c2", "data"), least, 0)
-    seen = cut.select(*key, "start", "c1", "c2", at.alias("here"), (F.length("data") - least + 1).cast("long").alias("m")).distinct()
+    seen = save(cut.select(*key, "start", "c1", "c2", at.alias("here"), (F.length("data") - least + 1).cast("long").alias("m")).distinct())
+    held.drop()
+    release(spark)
     if keep == "first":
         runs = F.when(F.col("here") == F.col("at"), F.col("lead")).otherwise(F.array(F.lit(0).cast("long"), F.col("m")))
     else:
