@@ -75,7 +75,10 @@ def near_links(
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
-    source = rows.select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.col(label).alias("label"))
+    # Single-precision components travel as they are; arithmetic is in double precision.
+    single = rows.schema[vector].dataType.simpleString() == "array<float>"
+    vec = F.col(vector) if single else F.col(vector).cast("array<double>")
+    source = rows.select(F.col(vec_id).alias("id"), vec.alias("vec"), F.col(label).alias("label"))
     good = usable("vec") & F.col("label").isNotNull() & F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
     source = source.withColumn("class", F.when(good, F.xxhash64("label", "vec")))
     classes = save(
