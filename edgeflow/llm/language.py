@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import small_batches
+from edgeflow.llm.text import batch_rows, small_batches
 from edgeflow.storage import Saved, save
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -242,9 +242,9 @@ def _refit(table: DataFrame, p: np.ndarray, path: str) -> np.ndarray:
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["piece", "lang", "n"])
 
-    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
-    # At most one row for each piece and language.
-    rows = table.mapInArrow(gained, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+    gains = table.mapInArrow(gained, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+    with batch_rows(table.sparkSession, 20_000):
+        rows = gains.toArrow()  # one row for each piece and language at most
     out = np.zeros_like(p)
     out[rows.column("piece").to_numpy(), rows.column("lang").to_numpy()] = rows.column("n").to_numpy()
     return np.maximum((out + 0.01) / (out + 0.01).sum(axis=0), LEAST)

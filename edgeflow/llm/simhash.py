@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import small_batches, utf8, words
+from edgeflow.llm.text import batch_rows, small_batches, utf8, words
 from edgeflow.operators.components import star_contraction
 from edgeflow.storage import save
 
@@ -273,9 +273,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, text: str, similarity: float
     texts = texts.select("b.fp", "b.cls", F.col(f"a.{text}").alias("t")).mapInArrow(widened, "fp long, cls int, wide binary")
     texts = save(texts).dropDuplicates(["fp"])
     angle = np.arccos(2 * similarity / (1 + similarity))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     pairs = _class_pairs(texts.withColumn("w", F.struct("fp", "wide")), "w")
-    return pairs.mapInArrow(_wide_links(int(WIDE * angle / np.pi)), "src long, dst long").where("src <> dst")
+    with batch_rows(docs.sparkSession, 4):
+        return save(pairs.mapInArrow(_wide_links(int(WIDE * angle / np.pi)), "src long, dst long").where("src <> dst"))
 
 
 def one_of_each(

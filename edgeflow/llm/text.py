@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pyarrow as pa
 
 
@@ -17,9 +19,24 @@ def words(text: bytes | None) -> list[bytes]:
 
 #: Rows of whole texts that travel to a Python worker at once; bounds memory, not results.
 BATCH_ROWS = 512
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batch_rows(spark, rows: int):
+    """So many rows at a time to Python workers, for what runs inside."""
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS, before)
 
 
 def small_batches(spark) -> None:
-    """Whole texts are large rows: send fewer of them to a worker at a time than Spark's default."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Whole texts are large rows: from now on send fewer to a worker at a time than Spark's default.
+
+    The setting stays, as results are computed after the call that plans them.
+    """
+    spark.conf.set(ROWS, BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import small_batches
+from edgeflow.llm.text import batch_rows, small_batches
 from edgeflow.llm.tokens import word_ids
 from edgeflow.storage import Saved, shared_dir
 
@@ -48,8 +48,6 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, text: str = "text", m
 def scan(spark: SparkSession, path: str, end_id: int = END, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """``file, block, n_tokens, ends``: each block's token count and its separators' places in the file."""
     kind = {1: "<u1", 2: "<u2", 4: "<u4"}[width]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
-
     def searched(batches):
         for b in batches:
             for i in range(b.num_rows):
@@ -98,7 +96,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     path = f"{shared_dir(spark)}/edgeflow-flat-{uuid.uuid4().hex}"
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     write_flat(source, path, tokenizer, "text", max_docs)
-    blocks = Saved(scan(spark, path))
+    with batch_rows(spark, 1):
+        blocks = Saved(scan(spark, path))
     _drop(spark, path)
     name = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)[^/]*$", 1).cast("long")
     part = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)[^/]*$", 2).cast("long")

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeflow.llm.text import batch_rows
 from edgeflow.operators.components import star_contraction
 from edgeflow.storage import save
 
@@ -74,7 +75,6 @@ def near_links(
     components unless they link.  An empty table gives no rows.  Other columns are ignored.
     """
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     # Single-precision components travel as they are; arithmetic is in double precision.
     single = rows.schema[vector].dataType.simpleString() == "array<float>"
     vec = F.col(vector) if single else F.col(vector).cast("array<double>")
@@ -158,7 +158,8 @@ def near_links(
             left, right = le, r
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(np.concatenate([left, right]))], ["class", "links", "root"])
 
-    found = save(pairs.mapInArrow(compared, "class long, links long, root long"))
+    with batch_rows(spark, 16):
+        found = save(pairs.mapInArrow(compared, "class long, links long, root long"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     comps = star_contraction(found.select(F.col("class").alias("src"), F.col("root").alias("dst")).distinct())
     known = classes.select("class", "low", "n").join(links, "class", "left").join(comps.withColumnRenamed("id", "class"), "class", "left")
@@ -196,7 +197,6 @@ def top_products(
     Null ids are candidates that sort last.  An empty table gives no rows.
     """
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     ints = rows.withColumn("__v", F.col(vector).cast("array<double>")).where(usable("__v"))
     ints = ints.select(F.col(vec_id).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), quantised("__v", scale).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -296,7 +296,9 @@ def top_products(
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
         return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    head = save(ranked(against(cand.where("level = 0 and part = 0"), None)))
+    with batch_rows(spark, 4):
+        head = save(ranked(against(cand.where("level = 0 and part = 0"), None)))
     floors = head.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    rest = against(cand.where("level <> 0 or part <> 0"), floors)
+    with batch_rows(spark, 4):
+        rest = save(ranked(against(cand.where("level <> 0 or part <> 0"), floors)).select("query_id", "vec_id", "score"))
     return ranked(head.select("query_id", "vec_id", "score").union(rest)).select("query_id", "rank", "vec_id", "score")
