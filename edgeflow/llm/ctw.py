@@ -34,7 +34,7 @@ from edgeflow.storage import save
 DEPTH = 5
 TOP_ROWS = 1_000_000
 #: Bytes of text that make up a block, about.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 END = b"\x00"
 
 
