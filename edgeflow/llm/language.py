@@ -28,7 +28,7 @@ MARK = "▁"
 LEAST = 1e-6
 #: Probabilities are scaled so per character, to stay clear of underflow.
 SCALE = 1e4
-CACHE = 3_000_000
+CACHE = 4_500_000
 #: A worker's word scores under the model it used last.
 _SCORED: dict = {}
 
@@ -48,6 +48,27 @@ def vocabulary(path: str) -> tuple[dict[str, int], int, int]:
     return index, n + 256, max(map(len, index))
 
 
+#: A piece is looked up by a rolling hash of its code points.
+START, STEP = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3 * 0x9E3779B1 + 2 & 0xFFFFFFFFFFFFFFFF | 1)
+
+
+@lru_cache(maxsize=2)
+def _hashed(path: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sorted hashes of the pieces, their indices, the longest piece's length, the first byte piece's index."""
+    index, n, longest = vocabulary(path)
+    h = []
+    for piece in index:
+        x = int(START)
+        for c in piece:
+            x = (x ^ ord(c)) * int(STEP) & 0xFFFFFFFFFFFFFFFF
+        h.append(x)
+    h = np.array(h, np.uint64)
+    order = np.argsort(h)
+    if (np.diff(h[order]) == 0).any():
+        raise ValueError("two pieces have one hash")
+    return h[order], np.array(list(index.values()), np.int64)[order], longest, n - 256
+
+
 def words(text: str | None) -> list[str]:
     """Runs of letters, lower-cased, with the word mark before each."""
     found = [w for w in LETTERS.findall(text.lower()) if w.isascii() or any(map(str.isalpha, w))] if text else []
@@ -62,18 +83,23 @@ def words(text: str | None) -> list[str]:
 
 def _edges(group: list[str], path: str) -> tuple[np.ndarray, ...]:
     """Segmentation lattice of words of one length: word, start, end, piece of every edge."""
-    index, _, longest = vocabulary(path)
-    get, n = index.get, len(group[0])
-    out: list[int] = []
-    push = out.extend
-    for k, w in enumerate(group):
-        for j in range(n):
-            p = get(w[j])
-            push((k, j, j + 1, index[f"<0x{w[j].encode()[0]:02X}>"] if p is None else p))
-            for i in range(j + 2, min(n, j + longest) + 1):
-                if (p := get(w[j:i])) is not None:
-                    push((k, j, i, p))
-    return tuple(np.array(out, np.int64).reshape(-1, 4).T)
+    hashes, pieces, longest, first_byte = _hashed(path)
+    n = len(group[0])
+    letters = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n)
+    found: list[tuple] = []
+    for j in range(n):
+        h = np.full(len(group), START)
+        for i in range(j + 1, min(n, j + longest) + 1):
+            h = (h ^ letters[:, i - 1]) * STEP
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            piece = np.where(hashes[at] == h, pieces[at], -1)
+            if i == j + 1:
+                c = letters[:, j].astype(np.int64)
+                lead = np.select([c < 0x80, c < 0x800, c < 0x10000], [c, 0xC0 | c >> 6, 0xE0 | c >> 12], 0xF0 | c >> 18)
+                piece = np.where(piece < 0, first_byte + lead, piece)
+            word = np.flatnonzero(piece >= 0)
+            found.append((word, np.full(len(word), j), np.full(len(word), i), piece[word]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _by(first: np.ndarray, second: np.ndarray, n: int):
