@@ -17,10 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from edgeflow.llm.text import batch_rows, small_batches, utf8, words
+from edgeflow.llm.text import small_batches, utf8, words
 from edgeflow.operators.components import star_contraction
-from edgeflow.storage import save
+from edgeflow.storage import Saved, release, save
 
 SEED = 42
 TILE = 2048
@@ -28,17 +29,22 @@ TILE = 2048
 SEGMENTS = ((1 << 23, 4), (1 << 63, 8))
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The majority bit of the XXH64 of each word shingle; 0 where the text has no words."""
-    w = words(text)
-    if not w:
-        return 0
+def _digests(w: list[bytes], shingle: int) -> np.ndarray:
+    """The XXH64 of each run of so many words, or of all of them if they are fewer."""
     k = min(shingle, len(w))
     flat = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(w) - k + 1]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(flat[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(flat[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The majority bit of the XXH64 of each word shingle; 0 where the text has no words."""
+    w = words(text)
+    if not w:
+        return 0
+    h = _digests(w, shingle)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
         bits = np.unpackbits(h[i : i + (1 << 14), None].view(np.uint8), axis=1, bitorder="little")
@@ -47,7 +53,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str, keys: list[str], shingle: int = 3) -> DataFrame:
-    """``keys``, the fingerprint as a BIGINT bit pattern ``fp`` and the number of words ``n``."""
+    """``keys`` and the fingerprint as a BIGINT bit pattern ``fp``."""
     small_batches(docs.sparkSession)
     fields = docs.select(*keys).schema
 
@@ -55,10 +61,9 @@ def fingerprints(docs: DataFrame, text: str, keys: list[str], shingle: int = 3)
         for b in batches:
             texts = utf8(b.column(b.num_columns - 1))
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            n = [len(t.split()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp), pa.array(n, pa.int64())], [*keys, "fp", "n"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*keys, "fp"])
 
-    return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, fields.add("fp", "long").add("n", "long"))
+    return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, fields.add("fp", "long"))
 
 
 def _steps(segments: int, radius: int) -> list[int]:
@@ -140,12 +145,16 @@ def near_duplicates(
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most ``radius``
     differing bits, the row itself included.  Null and empty texts have fingerprint 0 and link like any other;
-    with ``similarity`` (then ``keep`` must hold a digest ``__d``) rows link by likeness, too;
+    with ``similarity`` (then ``keep`` must hold a digest ``__d``) rows link by the likeness of their five-word shingle sets, too;
     null ids never become a component's id unless the whole component has none; repeated
     rows stay rows.  An empty table gives an empty result.  Other columns are ignored.
     """
     cols = [F.col(doc_id).alias("__id"), *keep, F.col(text).alias("__t")]
-    rows = save(fingerprints(docs.select(*cols), "__t", ["__id", *keep], shingle))
+    names = ["__id", *keep]
+    if similarity is None:
+        rows = save(fingerprints(docs.select(*cols), "__t", names, shingle))
+    else:
+        rows = save(_sets(docs.select(*cols), "__t", names, similarity, shingle))
     distinct = save(rows.groupBy("fp").agg(F.min("__id").alias("low")))
     joined = links(distinct, radius)
     if similarity is not None:
@@ -159,123 +168,141 @@ def near_duplicates(
     return rows.join(named, "fp").select(F.col("__id").alias(doc_id), *keep, "fp", "component_id")
 
 
-#: Bits of a wide fingerprint, words of the shingles it is made of.
-WIDE, WIDE_SHINGLE = 1024, 5
-#: Bits of the 64 in which near copies may differ: texts that share 0.8 of their five-word
-#: shingles differ in 5 on average and hardly ever in more; unrelated ones in 32.
-APART = 13
-#: Word counts of a class differ by less than this ratio; near copies lie at most LATER classes apart.
-RATIO, LATER = 1.12, 3
-BLOCK = 4096
+#: Words of the shingles that make a text's set.
+SET_SHINGLE = 5
+#: Shingles that many documents share are put last in the order of prefixes: documents sampled
+#: to find them, the least share of these that holds such a shingle, and how many are kept.
+#: They change the work, never the result.
+SAMPLE, COMMON, MOST_COMMON = 10_000, 0.002, 20_000
+SLACK = 1e-9
 
 
-def wide_fingerprint(text: bytes | None) -> bytes:
-    """``WIDE`` majority bits of the five-word shingles, from as many mixes of their hashes."""
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct XXH64 of the five-word shingles; of the whole text where it has fewer words."""
     w = words(text)
-    out = []
-    h = np.unique([xxhash.xxh64_intdigest(b" ".join(w[i : i + WIDE_SHINGLE]), SEED) for i in range(max(1, len(w) - WIDE_SHINGLE + 1))]).astype(np.uint64)
-    for k in range(WIDE // 64):
-        m = (h ^ (h >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & 0xFFFFFFFFFFFFFFFF | 1)
-        m ^= m >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(m), 1 << 14):
-            ones += np.unpackbits(m[i : i + (1 << 14), None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(m), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def _class_pairs(rows: DataFrame, value: str) -> DataFrame:
-    """Blocks of rows (``cls, value``) of like word counts in pairs: ``fa, fb, same``; each pair of blocks once.
-
-    Blocks meet by class and block number, so that a class of many rows is many keys.
-    """
-    sizes = rows.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    sizes = save(sizes)  # one row for each ratio of word counts, a few hundred at most
-    part = F.pmod(F.xxhash64("fp"), "parts").alias("part")
-    blocks = save(rows.join(F.broadcast(sizes), "cls").groupBy("cls", part).agg(F.collect_list(value).alias("v")))
-    steps = F.explode(F.sequence(F.lit(0), F.lit(LATER))).alias("step")
-    a = blocks.select(F.col("cls").alias("ca"), F.col("part").alias("pa"), F.col("v").alias("fa"), steps).withColumn("cls", F.col("ca") + F.col("step"))
-    a = a.join(F.broadcast(sizes), "cls").withColumn("part", F.explode(F.expr("sequence(bigint(0), parts - 1)")))
-    pairs = a.join(blocks, ["cls", "part"]).where("step > 0 or part >= pa")
-    return pairs.select("fa", F.col("v").alias("fb"), ((F.col("step") == 0) & (F.col("part") == F.col("pa"))).alias("same"))
-
-
-def _has_near(batches):
-    """Fingerprints that have another within ``APART`` bits."""
-    for b in batches:
-        for i in range(b.num_rows):
-            x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fa", "fb"))
-            same, near_x, near_y = b.column("same")[i].as_py(), np.zeros(len(x), bool), np.zeros(len(y), bool)
-            for k in range(0, len(x), 64):
-                near = np.bitwise_count(x[k : k + 64, None] ^ y[None, :]) <= APART
-                if same:
-                    near[np.arange(len(near)), np.arange(k, k + len(near))] = False
-                near_x[k : k + 64] |= near.any(axis=1)
-                near_y |= near.any(axis=0)
-            found = np.unique(np.concatenate([x[near_x], y[near_y]]))
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["fp"])
-
-
-def _wide_links(most: int):
-    """Of two blocks, enough links to join what is connected by wide distances of at most ``most``."""
+    return np.unique(_digests(w, SET_SHINGLE)) if w else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, common ones last: sets of at least this likeness share one of theirs."""
+    take = len(h) - int(np.ceil(similarity * len(h) - SLACK)) + 1
+    late = np.isin(h, common, assume_unique=True)
+    return np.concatenate([h[~late], h[late]])[:take]
+
+
+def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingle: int) -> DataFrame:
+    """``keys``, ``fp``, a digest ``sid`` of the shingle set, its size ``n`` and its ``prefix``."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def each_sampled(batches):
+        for b in batches:
+            found = np.concatenate([np.empty(0, np.uint64), *(shingle_set(t) for t in utf8(b.column(0)))])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    often = sample.mapInArrow(each_sampled, "h long").groupBy("h").count().where(F.col("count") >= max(3, SAMPLE * COMMON))
+    common = np.array([r[0] for r in often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
 
     def each(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                (x, wx), (y, wy) = (parts(b.column(c)[i].values) for c in ("fa", "fb"))
-                near = np.zeros((len(x), len(y)), bool)
-                for k in range(0, len(x), 64):
-                    p, q = np.nonzero(np.bitwise_count(x[k : k + 64, None] ^ y[None, :]) <= APART)
-                    for j in range(0, len(p), 1 << 15):
-                        r, c = p[j : j + (1 << 15)] + k, q[j : j + (1 << 15)]
-                        near[r, c] = np.bitwise_count(wx[r] ^ wy[c]).sum(axis=1, dtype=np.int64) <= most
-                r, c = near.any(axis=1), near.any(axis=0)
-                near, x, y = near[r][:, c], x[r].view(np.int64), y[c].view(np.int64)
-                if not len(x):
-                    continue
-                left, right, top = x.copy(), y.copy(), np.iinfo(np.int64).max
-                while True:
-                    low = np.minimum(right, np.where(near, left[:, None], top).min(axis=0))
-                    new = np.minimum(left, np.where(near, low[None, :], top).min(axis=1))
-                    if (low == right).all() and (new == left).all():
-                        break
-                    left, right = new, low
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])), pa.array(np.concatenate([left, right]))], ["src", "dst"])
-
-    def parts(v: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        fp = v.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        return fp, np.frombuffer(b"".join(v.field("wide").to_pylist()), np.uint64).reshape(len(fp), -1)
+            texts = utf8(b.column(b.num_columns - 1))
+            fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            sets = [shingle_set(t) for t in texts]
+            sid = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            first = [prefix(h, similarity, common).view(np.int64) for h in sets]
+            values = [pa.array(fp), pa.array(sid), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *values], [*keys, "fp", "sid", "n", "prefix"])
 
-    return each
+    schema = docs.select(*keys).schema.add("fp", "long").add("sid", "long").add("n", "long").add("prefix", ArrayType(LongType()))
+    return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, schema)
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, text: str, similarity: float) -> DataFrame:
-    """Links ``src, dst`` of fingerprints whose texts share about ``similarity`` of their five-word shingles, or more.
+def _alike(similarity: float):
+    """Pairs of sets whose exact likeness is ``similarity`` or more."""
 
-    Texts with another within ``APART`` bits of the 64, by tiled comparison within like word
-    counts, get a wide fingerprint; the share of differing bits in it is the angle between
-    the shingle sets over pi.  ``rows`` holds ``__id, __d, fp, n`` of each document.
-    """
-    cls = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(RATIO))).cast("int")
-    kinds = save(rows.groupBy("fp").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), cls.alias("cls"))).alias("p")))
-    near = _class_pairs(kinds.select("fp", F.col("p.cls").alias("cls")), "fp").mapInArrow(_has_near, "fp long").distinct()
-    chosen = save(kinds.join(near, "fp").select("fp", "p.id", "p.d", "p.cls"))
-    small_batches(docs.sparkSession)
+    def each(batches):
+        for b in batches:
+            hold = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("ha"), b.column("hb"), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hold[i] = both >= similarity * (len(x) + len(y) - both) - SLACK
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hold))
+
+    return each
+
+
+def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """Those of the saved pairs ``a, b`` of sets that are alike, by the sets of their texts."""
 
-    def widened(batches):
+    def each(batches):
         for b in batches:
-            wide = pa.array([wide_fingerprint(t) for t in utf8(b.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), wide], ["fp", "cls", "wide"])
+            sets = pa.array([shingle_set(t).tobytes() for t in utf8(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["sid", "h"])
+
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    k = kinds.join(wanted, "sid").select("sid", "id", "d").alias("k")
+    found = docs.alias("x").join(k, F.col("x.__id").eqNullSafe(F.col("k.id")) & (F.col("x.__d") == F.col("k.d")))
+    found = found.select("k.sid", F.col(f"x.{text}").alias("t")).mapInArrow(each, "sid long, h binary").dropDuplicates(["sid"])
+    sets = Saved(found)
+    release(docs.sparkSession)
+    both = pairs.join(sets.df.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a")
+    both = both.join(sets.df.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
+    out = save(both.select("a", "b", "ha", "hb").mapInArrow(_alike(similarity), "a long, b long"))
+    sets.drop()
+    release(docs.sparkSession)
+    return out
 
-    a, b = docs.alias("a"), chosen.alias("b")
-    texts = a.join(b, F.col("a.__id").eqNullSafe(F.col("b.id")) & (F.col("a.__d") == F.col("b.d")))
-    texts = texts.select("b.fp", "b.cls", F.col(f"a.{text}").alias("t")).mapInArrow(widened, "fp long, cls int, wide binary")
-    texts = save(texts).dropDuplicates(["fp"])
-    angle = np.arccos(2 * similarity / (1 + similarity))
-    pairs = _class_pairs(texts.withColumn("w", F.struct("fp", "wide")), "w")
-    with batch_rows(docs.sparkSession, 4):
-        return save(pairs.mapInArrow(_wide_links(int(WIDE * angle / np.pi)), "src long, dst long").where("src <> dst"))
+
+def similar_links(docs: DataFrame, rows: DataFrame, text: str, similarity: float) -> DataFrame:
+    """Links ``src, dst`` of fingerprints that join what is connected by sharing ``similarity`` of the five-word shingles.
+
+    Exact: sets as alike as that share a shingle of their prefixes, and more of them the less
+    their remainders can make up for; each pair proposed so is checked on the whole sets.
+    Sets are first compared with the lowest that shares a prefix shingle; then only pairs
+    which those links leave apart, so that a group of copies is not compared with itself.
+    ``rows`` holds ``__id, __d, fp, sid, n, prefix`` of each document.
+    """
+    first = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), "fp", "n", "prefix")
+    kinds = Saved(rows.groupBy("sid").agg(F.min(first).alias("p")).select("sid", "p.*"))
+    tokens = kinds.df.select("sid", "n", F.explode("prefix").alias("h"))
+    release(docs.sparkSession)
+    shared = Saved(tokens.join(tokens.groupBy("h").count().where("count > 1").select("h"), "h"))
+    release(docs.sparkSession)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Of ``a, na, b, nb`` for each shared prefix shingle, the pairs that can be alike."""
+        t, less, more = F.lit(float(similarity)), F.least("na", "nb"), F.greatest("na", "nb")
+        sized = pairs.where(less >= t * more - SLACK).groupBy("a", "na", "b", "nb").count()
+        reach = F.col("count") + F.ceil(t * more - SLACK) - 1
+        return sized.where(reach >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+
+    low = shared.df.groupBy("h").agg(F.min(F.struct("sid", "n")).alias("low")).select("h", F.col("low.sid").alias("a"), F.col("low.n").alias("na"))
+    s = shared.df.join(low, "h").where("a <> sid")
+    pairs = Saved(candidates(s.select("a", "na", F.col("sid").alias("b"), F.col("n").alias("nb"))))
+    release(docs.sparkSession)
+    star = _verified(docs, kinds.df, pairs.df, text, similarity)
+    joined = star_contraction(star, "a", "b").withColumnRenamed("id", "sid")
+    comp = shared.df.join(joined, "sid", "left").select("sid", "n", "h", F.coalesce("comp", "sid").alias("comp"))
+    apart = Saved(comp)
+    shared.drop()
+    release(docs.sparkSession)
+    several = apart.df.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    left = apart.df.join(several, "h")
+    a, b = (left.select("h", F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
+    rest = Saved(candidates(a.join(b, "h").where("ca < cb")))
+    apart.drop()
+    release(docs.sparkSession)
+    links = star.union(_verified(docs, kinds.df, rest.df, text, similarity))
+    fp = kinds.df.select("sid", "fp")
+    links = links.join(fp.select(F.col("sid").alias("a"), F.col("fp").alias("src")), "a").join(fp.select(F.col("sid").alias("b"), F.col("fp").alias("dst")), "b")
+    equal = rows.select("sid", F.col("fp").alias("src")).join(fp.withColumnRenamed("fp", "dst"), "sid").where("src <> dst")
+    out = save(links.select("src", "dst").union(equal.select("src", "dst")).where("src <> dst").distinct())
+    for t in (kinds, pairs, rest):
+        t.drop()
+    return out
 
 
 def one_of_each(
@@ -284,7 +311,7 @@ def one_of_each(
     """``docs`` with one row of each near-duplicate group: the one of smallest id, then of smallest text digest.
 
     Rows link where their fingerprints differ in at most ``radius`` bits or, if
-    ``similarity`` is given, where a wide fingerprint puts their likeness at that or more.
+    ``similarity`` is given, where their five-word shingle sets are as alike as that or more.
     """
     digest = F.coalesce(F.md5(F.encode(F.col(text), "UTF-8")), F.lit(""))
     rows = near_duplicates(docs.withColumn("__d", digest), doc_id, text, radius, shingle, ("__d",), similarity)

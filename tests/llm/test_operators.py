@@ -104,6 +104,42 @@ def test_one_of_each(docs):
     assert not [i for i, _ in kept if i is None]
 
 
+def brute_likeness(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def brute_kept(texts):
+    """Ids that stay: one of each group linked by likeness or by two bits."""
+    items = [(brute_fingerprint(t), t) for t in texts]
+    comp = brute_components(items, lambda a, b: (a[0] ^ b[0]).bit_count() <= 2 or brute_likeness(a[1], b[1]) >= 0.8)
+    return sorted({comp.index(c) for c in comp})
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r[0] for r in simhash.one_of_each(docs).select("doc_id").collect())
+
+
+def fresh(n, seed):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**9, n))
+
+
+def test_near_copies_are_those_of_likeness(spark):
+    """Short texts with a word appended, and pairs just over and just under 0.8."""
+    texts = []
+    for n in (5, 6, 7, 8, 9, 10, 12, 20):
+        texts += [fresh(n, n), fresh(n, n) + " more"]
+    for seed, n in enumerate((40, 100, 400)):
+        base = fresh(n, 100 + seed)
+        for share in (0.70, 0.78, 0.79, 0.80, 0.81, 0.85):
+            texts += [base.replace("w", f"{share}w"), base.replace("w", f"{share}w") + " " + fresh(round((n - 4) / share) - n + 4, 200 + seed)]
+    texts += ["", "  ", "one", "One", "line " * 50 + fresh(30, 9), "line " * 50 + fresh(30, 10)]
+    want = brute_kept(texts)
+    assert kept_of(spark, texts) == want and len(want) < len(texts)
+    assert [brute_likeness(texts[6], texts[7]), want.count(7)] == [0.8, 0]
+
+
 # 2 packing
 
 
