@@ -140,6 +140,17 @@ def test_near_copies_are_those_of_likeness(spark):
     assert [brute_likeness(texts[6], texts[7]), want.count(7)] == [0.8, 0]
 
 
+def test_near_copies_with_repeated_passages(spark):
+    """A repeated passage changes the number of words, not the set of shingles."""
+    texts = []
+    for seed in range(300, 304):
+        half = fresh(100, seed)
+        again = fresh(100, seed + 10)
+        texts += [f"{half} {again}", f"{half} {again} {again} {again}"]
+    want = brute_kept(texts)
+    assert want == [0, 2, 4, 6] and kept_of(spark, texts) == want
+
+
 # 2 packing
 
 
