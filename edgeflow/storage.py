@@ -26,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's handle of a path, and of the file system that it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = file_system(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = file_system(spark, path)
+    fs.delete(at, True)
+
+
 class Saved:
     """A table in the shared folder, with the means to remove it."""
 
@@ -36,9 +52,7 @@ class Saved:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def save(df: DataFrame) -> DataFrame:
