@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeflow.llm.text import batch_rows
 from edgeflow.operators.components import star_contraction
+from edgeflow.operators.ordered import in_order, with_running
 from edgeflow.storage import save
 
 #: Vectors in a block that one comparison holds; bounds memory, not results.
 BLOCK = 1024
+#: Length levels of the candidates, at most.
+LEVELS = 256
 
 
 def rows_of(column: pa.Array) -> list[np.ndarray]:
@@ -68,8 +72,8 @@ def near_links(
     every candidate is checked exactly, so no false link is made; two vectors at a cosine of
     0.98 share none of the tables with a probability under 1e-4, closer ones less.
     Equal vectors are one class with a count, and blocks of a bucket are compared pairwise,
-    so groups of copies are never expanded into pairs: a block pair yields counts and a
-    spanning set of links.  A pair found in several tables counts in the first only.
+    each pair of blocks under its own key, so groups of copies are never expanded into pairs:
+    a block pair yields counts and a spanning set of links.  A pair found in several tables counts in the first only.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows of
     null label, link with nothing; vectors of unequal length neither.  Null ids yield null
     components unless they link.  An empty table gives no rows.  Other columns are ignored.
@@ -80,12 +84,12 @@ def near_links(
     vec = F.col(vector) if single else F.col(vector).cast("array<double>")
     source = rows.select(F.col(vec_id).alias("id"), vec.alias("vec"), F.col(label).alias("label"))
     good = usable("vec") & F.col("label").isNotNull() & F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
-    source = source.withColumn("class", F.when(good, F.xxhash64("label", "vec")))
-    classes = save(
-        source.where("class is not null").groupBy("class").agg(
-            F.min("id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec")
-        )
+    source = source.withColumns({f"d{k}": F.when(good, F.xxhash64(F.lit(k), "label", "vec")) for k in (1, 2)})
+    # Equal vectors are known by 128 bits; their class gets a number of its own, fixed by saving it.
+    equal = source.where("d1 is not null").groupBy("d1", "d2").agg(
+        F.min("id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec")
     )
+    classes = save(equal.withColumn("class", F.monotonically_increasing_id()))
     lattice = Lattice(tables, hashes, width)
     kind = classes.schema["label"].dataType.simpleString()
 
@@ -109,13 +113,18 @@ def near_links(
     shared = shared.select("bucket", F.ceil(F.col("m") / BLOCK).alias("parts"))
     placed = cells.join(shared, "bucket").join(classes.select("class", "n", "vec"), "class")
     blocks = save(
-        placed.groupBy("bucket", "tab", F.pmod(F.xxhash64("class"), "parts").alias("part")).agg(
+        placed.groupBy("bucket", "tab", "parts", F.pmod(F.xxhash64("class"), "parts").alias("part")).agg(
             F.collect_list(F.struct("class", "n", "vec")).alias("v")
         )
     )
-    a = blocks.select("bucket", "tab", F.col("part").alias("pa"), F.col("v").alias("va"))
-    pairs = a.join(blocks.select("bucket", F.col("part").alias("pb"), F.col("v").alias("vb")), "bucket").where("pb >= pa")
-    pairs = pairs.select("tab", (F.col("pa") == F.col("pb")).alias("same"), "va", "vb")
+    # A bucket of one block is compared in place; of more, each pair of blocks meets under a key of its own.
+    inside = blocks.select("tab", F.lit(True).alias("same"), F.col("v").alias("va"), F.lit(None).cast(blocks.schema["v"].dataType).alias("vb"))
+    several = blocks.where("parts > 1")
+    last = F.col("parts") - 1
+    a = several.where(F.col("part") < last).select("bucket", "tab", F.col("part").alias("pa"), F.explode(F.sequence(F.col("part") + 1, last)).alias("pb"), F.col("v").alias("va"))
+    b = several.where("part > 0").select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("part") - 1)).alias("pa"), F.col("part").alias("pb"), F.col("v").alias("vb"))
+    across = a.join(b, ["bucket", "pa", "pb"]).select("tab", F.lit(False).alias("same"), "va", "vb")
+    pairs = inside.union(across)
 
     def compared(batches):
         for b in batches:
@@ -167,10 +176,11 @@ def near_links(
     known = save(known)
     lows = known.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = known.join(lows, "comp").select("class", "n_links", "component_id")
-    out = source.select("id", "class").join(named, "class", "left").select(
+    named = classes.select("d1", "d2", "class").join(named, "class").drop("class")
+    out = source.select("id", "d1", "d2").join(named, ["d1", "d2"], "left").select(
         F.col("id").alias(vec_id),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("d1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.col(vec_id).eqNullSafe(F.col("component_id")))
 
@@ -179,126 +189,151 @@ def quantised(column: str, scale: float):
     return F.transform(F.col(column).cast("array<double>"), lambda x: F.floor(x * scale))
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    return out
+
+
+def _best(qs: pa.StructArray, floor: list, cs: pa.StructArray, k: int, coordinate_from: float):
+    """(query, (candidates, scores)): the k best of those that reach the query's floor, if it has one."""
+    width = int(max(x.field("v").value_lengths().to_numpy(zero_copy_only=False).max(initial=0) for x in (qs, cs)))
+    a, c = _matrix(qs.field("v"), width), _matrix(cs.field("v"), width)
+    an, cn = (x.field("norm").to_numpy(zero_copy_only=False) for x in (qs, cs))
+    # Ids as whole numbers in their order, null last, so that ties can be told by them.
+    every = pa.concat_arrays([qs.field("id"), cs.field("id")])
+    order = np.argsort(pa.compute.sort_indices(every).to_numpy())
+    values = every.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    same, tie = values[: len(a)], order[len(a) :]
+    group = values[len(a) :]
+    big = float(np.abs(a).max(initial=0)) * float(np.abs(c).max(initial=0)) * width
+    kind = np.float64 if big < 2**53 else np.int64 if big < 2**62 else object
+    a, c = a.astype(kind), c.astype(kind)
+    longest = cn.max(initial=0.0)
+    focus = np.abs(a).argmax(axis=1) if width else np.zeros(len(a), np.int64)
+    unit = np.divide(c.astype(np.float64), cn[:, None], where=cn[:, None] > 0, out=np.zeros(c.shape))
+    for s in range(0, len(a), 64):
+        rows_, pick = range(s, min(s + 64, len(a))), []
+        for r in rows_:
+            need = floor[r]
+            if need is None or need <= 0 or not an[r]:
+                pick.append(None)  # nothing to prune with yet
+                continue
+            cosine = need / (an[r] * longest) * (1 - 1e-9) if longest else 2.0
+            if cosine > 1:
+                pick.append(np.zeros(len(c), bool))
+            elif cosine >= coordinate_from:
+                f = float(a[r, focus[r]]) / an[r]
+                reach = f * unit[:, focus[r]] + np.sqrt(max(0.0, 1 - f * f)) * np.sqrt(np.maximum(0, 1 - unit[:, focus[r]] ** 2))
+                pick.append(reach >= cosine - 1e-9)
+            else:
+                pick.append(cn * an[r] >= need * (1 - 1e-9))
+        some = None if any(p is None for p in pick) else np.flatnonzero(np.logical_or.reduce(pick))
+        at = np.arange(len(c)) if some is None else some
+        if not len(at):
+            continue
+        product = a[s : s + 64] @ c[at].T
+        for r in rows_:
+            score = product[r - s]
+            ok = group[at] != same[r]
+            if floor[r] is not None:
+                ok &= score >= floor[r]
+            j = np.flatnonzero(ok)
+            if len(j) > k:
+                kth = np.partition(score[j], len(j) - k)[len(j) - k]
+                j = j[score[j] >= kth]
+                j = j[np.lexsort((tie[at[j]], -score[j]))][:k]
+            if len(j):
+                yield r, (at[j], score[j])
+
+
 def top_products(
     rows: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5,
     scale: float = 256.0, bucket: int = 4096, queries: int = 512, coordinate_from: float = 0.9,
 ) -> DataFrame:
     """Exact inner-product top-k of integer vectors ``floor(scale * x)``: ``query_id, rank, vec_id, score``.
 
-    Candidates are grouped by vector length into buckets of about ``bucket`` rows and queries
-    into blocks of ``queries``.  The longest vectors' bucket gives every query a first
-    threshold.  For any other bucket the threshold, divided by the query's length and the
-    bucket's greatest, is the cosine a candidate must reach there: over 1 the bucket is
-    skipped; from ``coordinate_from`` candidates are pruned by what the query's largest
+    Candidates are grouped by vector length into levels, dealt into tiles of about ``bucket``
+    rows.  Every query first meets a tile of the longest, which gives it a threshold.  The
+    threshold divided by the query's length is the length that a candidate must reach; divided
+    by a tile's greatest length too, it is the cosine a candidate must reach there: over 1 the
+    tile is skipped; from ``coordinate_from`` candidates are pruned by what the query's largest
     coordinate allows, below by length.  What is left is verified by exact products.
-    A candidate with the query's own id is left out; ties go to the smaller id; a query has
-    fewer rows if there are fewer candidates.  Vectors that are null, empty or hold null or
+    Queries are put into blocks of ``queries`` in the order of the length they need, so that a
+    block meets only the levels that its least demanding query needs; a tile and a block
+    meet under a key of their own, so no task receives more than one of each at a time.
+    Candidates with the query's own id are left out; ties go to the smaller id; a query has
+    fewer rows if there are fewer candidates.  Of rows with repeated ids each is a candidate,
+    and each that is a query gets its own ranks.  Vectors that are null, empty or hold null or
     non-finite components take no part; components missing at the end count as 0.
-    Null ids are candidates that sort last.  An empty table gives no rows.
+    Null ids are candidates that sort last.  An empty table gives no rows; other columns are ignored.
     """
     spark = rows.sparkSession
     ints = rows.withColumn("__v", F.col(vector).cast("array<double>")).where(usable("__v"))
     ints = ints.select(F.col(vec_id).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), quantised("__v", scale).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    ints = save(ints.withColumn("norm", norm))
-    n, n_queries = ints.count(), ints.where("q").count()
-    # Bounds of the length classes, at most 256 of them; a class of many rows is dealt into parts.
-    classes = max(1, min(256, n // bucket))
-    cuts = ints.agg(F.percentile_approx("norm", [i / classes for i in range(1, classes)] or [0.5], 10_000)).first()[0] or []
+    # Rows are told apart by a number that is fixed by saving it.
+    ints = save(ints.withColumns({"norm": norm, "row": F.monotonically_increasing_id()}))
+    kind = ints.schema["id"].dataType.simpleString()
+    # Bounds of the levels; a level of many rows is dealt into parts.
+    levels = max(1, min(LEVELS, ints.count() // bucket))
+    cuts = ints.agg(F.percentile_approx("norm", [i / levels for i in range(1, levels)] or [0.5], 10_000)).first()[0] or []
     level = sum((F.when(F.col("norm") < float(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    leveled = ints.select("id", "v", "norm", level.alias("level"))
-    parts = leveled.groupBy("level").agg(F.ceil(F.count("*") / bucket).alias("parts"))
-    cand = save(
-        leveled.join(F.broadcast(parts), "level")  # at most 256 rows
-        .groupBy("level", F.pmod(F.xxhash64("id", "v"), "parts").alias("part"))
-        .agg(F.collect_list(F.struct("id", "norm", "v")).alias("c"), F.max("norm").alias("longest"))
+    leveled = ints.select("id", "v", "norm", "row", level.alias("level"))
+    sizes = leveled.groupBy("level").agg(F.ceil(F.count("*") / bucket).alias("parts"), F.max("norm").alias("longest"))
+    sizes = sorted(map(tuple, sizes.collect())) or [(0, 1, 0.0)]  # at most LEVELS rows
+    of_level = F.create_map(*[F.lit(x) for lv, parts, _ in sizes for x in (lv, parts)])
+    tiles = leveled.groupBy("level", F.pmod(F.xxhash64("row"), of_level[F.col("level")]).alias("part"))
+    tiles = save(tiles.agg(F.collect_list(F.struct("id", "norm", "v")).alias("c")))
+    # One tile of the longest, of about ``bucket`` rows, goes to all tasks.
+    longest = tiles.where((F.col("level") == sizes[0][0]) & (F.col("part") == 0)).select("c").toArrow().column("c").combine_chunks()
+    head = spark.sparkContext.broadcast(longest.values if len(longest) else None)
+
+    def first_scores(batches):
+        for b in batches:
+            floor = [None] * b.num_rows
+            if head.value is not None:
+                for r, scores in _best(pa.StructArray.from_arrays([b.column(c) for c in ("id", "norm", "v")], ["id", "norm", "v"]), floor, head.value, k, coordinate_from):
+                    floor[r] = int(scores[1].min()) if len(scores[1]) == k else None
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor, pa.int64())], [*b.schema.names, "floor"])
+
+    asked = ints.where("q").select("row", "id", "norm", "v")
+    with batch_rows(spark, 4096):
+        asked = save(asked.mapInArrow(first_scores, f"row long, id {kind}, norm double, v array<long>, floor long"))
+    # The length a candidate must reach; queries without a positive threshold meet every level.
+    need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm") * (1 - 1e-9)).otherwise(F.lit(-1.0))
+    placed = with_running(in_order(asked.withColumn("need", need), "need", "row"), F.struct("need", "row"), place=F.lit(1))
+    deepest = sum((F.when(F.col("need") <= x, 1).otherwise(0) for _, _, x in sizes), F.lit(-1))
+    blocks = placed.groupBy(F.expr(f"(place - 1) div {queries}").alias("block")).agg(
+        F.collect_list(F.struct("row", "id", "norm", "v", "floor")).alias("qs"), F.max(deepest).alias("deepest")
     )
-    n_blocks = max(1, -(-n_queries // queries))
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).alias("block")
-    asked = ints.where("q").select("id", "v", "norm", block)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    blocks = save(blocks.where("deepest >= 0"))
+    depth = dict(map(tuple, blocks.groupBy("deepest").count().collect()))  # at most LEVELS rows
+    # Blocks come in the order of what they need, so those that a level must meet are the first so many.
+    meets = F.create_map(*[F.lit(x) for i, (lv, *_) in enumerate(sizes) for x in (lv, sum(n for d, n in depth.items() if d >= i))])
+    upto = F.array(*[F.lit(lv) for lv, *_ in sizes])
+    left = blocks.select("block", "qs", F.explode(F.slice(upto, F.lit(1), F.col("deepest") + 1)).alias("level"))
+    left = left.select("block", "qs", "level", F.explode(F.sequence(F.lit(0).cast("bigint"), of_level[F.col("level")].cast("bigint") - 1)).alias("part"))
+    n_meets = meets[F.col("level")].cast("bigint")
+    right = tiles.where(n_meets > 0).select("level", "part", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), n_meets - 1)).alias("block"))
 
     def scored(batches):
         for b in batches:
             for i in range(b.num_rows):
-                hit = best(b.column("qs")[i].values, b.column("c")[i].values)
-                if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(hit, (pa.int64(),) * 3, strict=True)], ["query_id", "vec_id", "score"])
-
-    def matrix(column: pa.Array, width: int) -> np.ndarray:
-        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        if (sizes == width).all():
-            return flat.reshape(-1, width)
-        out = np.zeros((len(sizes), width), np.int64)
-        out[np.arange(width)[None, :] < sizes[:, None]] = flat
-        return out
-
-    def best(qs: pa.StructArray, cs: pa.StructArray):
-        width = int(max(x.field("v").value_lengths().to_numpy(zero_copy_only=False).max() for x in (qs, cs)))
-        a, c = matrix(qs.field("v"), width), matrix(cs.field("v"), width)
-        an, cn = (x.field("norm").to_numpy(zero_copy_only=False) for x in (qs, cs))
-        ai, ci = qs.field("id").to_pylist(), cs.field("id").to_pylist()
-        floor = qs.field("floor").to_pylist()
-        order = {None: float("inf")}
-        tie = np.array([order.get(x, x) for x in ci], dtype=object if any(x is None for x in ci) else np.int64)
-        big = float(np.abs(a).max(initial=0)) * float(np.abs(c).max(initial=0)) * width
-        exact = (np.float64, a.astype(np.float64), c.astype(np.float64)) if big < 2**53 else (np.int64, a, c) if big < 2**62 else (object, a.astype(object), c.astype(object))
-        longest = cn.max()
-        focus = np.abs(a).argmax(axis=1)
-        out = [], [], []
-        unit = np.divide(c, cn[:, None], where=cn[:, None] > 0, out=np.zeros(c.shape))
-        for s in range(0, len(a), 64):
-            rows_, pick = range(s, min(s + 64, len(a))), []
-            for r in rows_:
-                need = floor[r]
-                if need is None or need <= 0 or not an[r]:
-                    pick.append(None)  # nothing to prune with yet
-                    continue
-                cosine = need / (an[r] * longest) * (1 - 1e-9) if longest else 2.0
-                if cosine > 1:
-                    pick.append(np.zeros(len(c), bool))
-                elif cosine >= coordinate_from:
-                    f = a[r, focus[r]] / an[r]
-                    reach = f * unit[:, focus[r]] + np.sqrt(max(0.0, 1 - f * f)) * np.sqrt(np.maximum(0, 1 - unit[:, focus[r]] ** 2))
-                    pick.append(reach >= cosine - 1e-9)
-                else:
-                    pick.append(cn * an[r] >= need * (1 - 1e-9))
-            union = None if any(p is None for p in pick) else np.flatnonzero(np.logical_or.reduce(pick))
-            at = np.arange(len(c)) if union is None else union
-            if not len(at):
-                continue
-            product = exact[1][s : s + 64] @ exact[2][at].T
-            for r in rows_:
-                score = product[r - s]
-                ok = np.array([ci[j] != ai[r] for j in at]) if ai[r] is None else tie[at] != ai[r]
-                if floor[r] is not None:
-                    ok &= score >= floor[r]
-                j = np.flatnonzero(ok)
-                if len(j) > k:
-                    kth = np.partition(score[j], len(j) - k)[len(j) - k]
-                    j = j[score[j] >= kth]
-                    j = j[np.lexsort((tie[at[j]].astype(np.float64) if tie.dtype == object else tie[at[j]], -score[j]))][:k]
-                for x in j:
-                    out[0].append(ai[r])
-                    out[1].append(ci[at[x]])
-                    out[2].append(int(score[x]))
-        return out if out[0] else None
-
-    def against(tiles: DataFrame, floors: DataFrame | None) -> DataFrame:
-        q = asked.join(floors, asked["id"].eqNullSafe(floors["query_id"]), "left").drop("query_id") if floors is not None else asked.withColumn("floor", F.lit(None).cast("long"))
-        blocks = q.groupBy("block").agg(F.collect_list(F.struct("id", "norm", "v", "floor")).alias("qs"))
-        return tiles.select("c", every.alias("block")).join(blocks, "block").select("qs", "c").mapInArrow(scored, "query_id long, vec_id long, score long")
-
-    def ranked(hits: DataFrame) -> DataFrame:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                qs, c = b.column("qs")[i].values, b.column("c")[i].values
+                hits = list(_best(qs, qs.field("floor").to_pylist(), c, k, coordinate_from))
+                if hits:
+                    r = pa.array(np.repeat([r for r, _ in hits], [len(at) for _, (at, _) in hits]))
+                    at, score = (np.concatenate(x) for x in zip(*(x for _, x in hits), strict=True))
+                    columns = qs.field("row").take(r), qs.field("id").take(r), c.field("id").take(pa.array(at)), pa.array(score.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays(list(columns), ["row", "query_id", "vec_id", "score"])
 
     with batch_rows(spark, 4):
-        head = save(ranked(against(cand.where("level = 0 and part = 0"), None)))
-    floors = head.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    with batch_rows(spark, 4):
-        rest = save(ranked(against(cand.where("level <> 0 or part <> 0"), floors)).select("query_id", "vec_id", "score"))
-    return ranked(head.select("query_id", "vec_id", "score").union(rest)).select("query_id", "rank", "vec_id", "score")
+        hits = left.join(right, ["level", "part", "block"]).select("qs", "c")
+        hits = save(hits.mapInArrow(scored, f"row long, query_id {kind}, vec_id {kind}, score long"))
+    w = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
