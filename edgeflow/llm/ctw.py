@@ -7,15 +7,18 @@ Every node holds the Krichevsky-Trofimov (KT) estimate of the bits seen there, a
 mixes, at every depth, "stop here" with "look one byte further" in the proportion of the
 two block probabilities.  The trees are trained on the training texts, then held fixed.
 
-Dataflow.  Texts are dealt into blocks of bounded size.  A block asks for the words and the
-(DEPTH + 1)-grams it contains, once each, with their training counts, packed by shard.  A
-shard adds up the counts of all blocks, evaluates its subtrees and answers each block.  A
-shard owns whole subtrees: all grams with the same ``split`` bytes before the predicted one.
-What travels is the distinct grams and words of blocks, so it grows with the corpus; only
-the nodes above the subtrees go to the driver, whose number the alphabet bounds
-(255 * 65,793 for three bytes) and which are counted first; past ``TOP_ROWS`` shards own the
-larger subtrees of two bytes, which leaves at most 255 * 257 rows above.
-Words travel as 64-bit hashes.
+Dataflow.  Texts are dealt into blocks of bounded size.  A block asks each shard of the
+model for the distinct words and (DEPTH + 1)-grams it contains, with their training counts,
+packed.  A shard owns whole subtrees: all grams with the same ``split`` bytes before the
+predicted one.  Requests to a shard are added up ``FAN`` blocks at a time, round by round, so
+no task sees more than ``FAN`` packed rows, and each row at most the shard's distinct grams.
+A shard evaluates its subtrees once and answers the blocks, again ``FAN`` at a time.
+What travels is the distinct grams and words of blocks, so it grows with the corpus; the model
+grows with the corpus's distinct grams, which its alphabet bounds, and is dealt over up to
+``SHARDS`` shards.  Only the nodes above the subtrees go to the driver, whose number the
+alphabet bounds (255 * 65,793 for three bytes) and which are counted first; past ``TOP_ROWS``
+shards own the larger subtrees of two bytes, which leaves at most 255 * 257 rows above.
+Words travel as 64-bit hashes, probabilities of grams in single precision.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 
 from edgeflow.llm.language import fold
 from edgeflow.llm.text import utf8, words
-from edgeflow.storage import save
+from edgeflow.storage import Saved, release, save
 
-DEPTH = 5
+DEPTH = 6
 TOP_ROWS = 1_000_000
+#: Parts of the model, at most, and blocks that are added up or answered at once.
+SHARDS, FAN = 4096, 32
 #: Bytes of text that make up a block, about.
 BLOCK_BYTES = 16_000_000
 END = b"\x00"
@@ -53,14 +58,27 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
 
 
-def grams(text: bytes | None) -> np.ndarray:
-    """The text's (DEPTH + 1)-grams, one per byte: preceding bytes (zero before the start) and the byte, big-endian."""
-    w = words(text)
-    line = np.frombuffer(bytes(DEPTH) + b" ".join([*w, END]), np.uint8).astype(np.int64)
-    out = np.zeros(len(line) - DEPTH, np.int64)
+def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as modelled, one after the other: bytes, each text after DEPTH zeros, and the texts' own lengths."""
+    own = [b" ".join([*words(t), END]) for t in texts]
+    start = bytes(DEPTH)
+    return np.frombuffer(b"".join([x for t in own for x in (start, t)]), np.uint8), np.fromiter(map(len, own), np.int64, len(own))
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(DEPTH + 1)-grams of the texts, one per byte: the preceding bytes and the byte, big-endian; and bytes per text."""
+    line, size = lines(texts)
+    if not len(size):
+        return np.zeros(0, np.int64), size
+    gram = np.zeros(len(line) - DEPTH, np.int64)
     for j in range(DEPTH + 1):
-        out = (out << 8) | line[j : j + len(out)]
-    return out
+        gram = (gram << 8) | line[j : j + len(gram)]
+    # What ends in the zeros before a later text is no gram of a text.
+    ends = np.cumsum(size + DEPTH) - DEPTH
+    inside = np.ones(len(gram), bool)
+    for k in range(DEPTH):
+        inside[ends[:-1] + k] = False
+    return gram[inside], size
 
 
 def _bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +152,8 @@ def _probability(levels: dict[int, Level], gram: np.ndarray, top: int, deeper: n
 class Block:
     """The words and grams of a block's texts."""
 
-    #: Texts and grams sorted at once; bounds memory.
-    TEXTS, GRAMS = 1 << 15, 1 << 21
+    #: Bytes of text whose grams are sorted at once; bounds memory.
+    PART = 1 << 21
 
     def __init__(self, texts: list[bytes]):
         index: dict[bytes, int] = {}
@@ -147,21 +165,25 @@ class Block:
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
         self.texts = texts
 
-    def gram_runs(self):
-        """(text, gram, count) arrays, some texts at a time; sorted by gram."""
-        a = 0
-        while a < len(self.texts):
-            part, size = [], 0
-            while a + len(part) < len(self.texts) and len(part) < self.TEXTS and size < self.GRAMS:
-                part.append(grams(self.texts[a + len(part)]))
-                size += len(part[-1])
-            which = np.repeat(np.arange(len(part), dtype=np.uint64), [len(g) for g in part])
-            both = np.sort((np.concatenate(part).astype(np.uint64) << np.uint64(16)) | which)
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            n = np.diff(first, append=len(both))
-            both = both[first]
-            yield a + (both & np.uint64(0xFFFF)).astype(np.int64), (both >> np.uint64(16)).astype(np.int64), n
-            a += len(part)
+    def parts(self, chosen: np.ndarray):
+        """Runs of the chosen texts, of about PART bytes, and of at least one text."""
+        part, size = [], 0
+        for i in chosen.tolist():
+            part.append(i)
+            size += len(self.texts[i])
+            if size >= self.PART:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+    def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams of the chosen texts, sorted, and how often each occurs."""
+        found = [np.unique(grams([self.texts[i] for i in p])[0], return_counts=True) for p in self.parts(chosen)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        gram, (n,) = _group(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return gram, n
 
 
 def _shard_of_gram(gram: np.ndarray, split: int, shards: int) -> np.ndarray:
@@ -170,44 +192,94 @@ def _shard_of_gram(gram: np.ndarray, split: int, shards: int) -> np.ndarray:
     return ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
 
 
-def _pack(shard: np.ndarray, shards: int, *values: np.ndarray) -> list[list[bytes]]:
-    """Each array cut by shard; elements keep their order inside one."""
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Sorted whole numbers as gaps, byte plane by byte plane: short once compressed."""
+    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    return gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplanes(data: bytes, width: int, kind=np.int64) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :width] = rows
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64).astype(kind)
+
+
+#: Bytes of a gram, of a word's hash, and of a count in a block or in a sum of blocks.
+GRAM, WORD, COUNT = DEPTH + 1, 8, 6
+
+
+def _counts_packed(n: np.ndarray) -> bytes:
+    return n.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :COUNT].T.tobytes()
+
+
+def _counts_unpacked(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(COUNT, -1).T
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :COUNT] = rows
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> list[np.ndarray]:
+    """Positions of each shard's elements, in their order."""
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    return [[v[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for v in values]
+    return [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+PACKED = "words binary, word_n binary, grams binary, gram_n binary"
+NAMES = ["words", "word_n", "grams", "gram_n"]
 
 
 def _requests(split: int, shards: int):
-    names = ["block", "shard", "words", "word_n", "grams", "gram_n"]
-    types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    """For each shard, a block's distinct words and grams with their training counts."""
 
     def ask(table: pa.Table) -> pa.Table:
         block = Block([t for c in table.column("text").chunks for t in utf8(c)])
         trains = ~np.array(table.column("held").to_pylist(), bool)
         word_n = np.bincount(block.word[trains[block.doc]], minlength=len(block.hashes))
-        parts = [_group(g, n * trains[d]) for d, g, n in block.gram_runs()]
-        gram, (gram_n,) = _group(np.concatenate([k for k, _ in parts]), np.concatenate([n[0] for _, n in parts]))
-        w, wn = _pack((block.hashes % np.uint64(shards)).astype(np.int64), shards, block.hashes, word_n.astype(np.uint32))
-        g, gn = _pack(_shard_of_gram(gram, split, shards), shards, gram, gram_n.astype(np.uint32))
-        rows = [[table.column("block")[0].as_py()] * shards, list(range(shards)), w, wn, g, gn]
-        return pa.table([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
+        order = np.argsort(block.hashes)
+        hashes, word_n = block.hashes[order], word_n[order]
+        (g, n), (other, _) = block.counts(np.flatnonzero(trains)), block.counts(np.flatnonzero(~trains))
+        gram, (gram_n,) = _group(np.concatenate([g, other]), np.concatenate([n, np.zeros(len(other), np.int64)]))
+        rows = [[], [], [], [], [], []]
+        of_word, of_gram = _by_shard((hashes % np.uint64(shards)).astype(np.int64), shards), _by_shard(_shard_of_gram(gram, split, shards), shards)
+        for s, (w, x) in enumerate(zip(of_word, of_gram, strict=True)):
+            cells = table.column("block")[0].as_py(), s, planes(hashes[w], WORD), _counts_packed(word_n[w]), planes(gram[x], GRAM), _counts_packed(gram_n[x])
+            for column, cell in zip(rows, cells, strict=True):
+                column.append(cell)
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["block", "shard", *NAMES])
+
+    return ask, f"block long, shard long, {PACKED}"
+
+
+def _summed(table: pa.Table, keys: str, counts: str, width: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    key = np.concatenate([unplanes(b, width, kind) for b in table.column(keys).to_pylist()])
+    n = np.concatenate([_counts_unpacked(b) for b in table.column(counts).to_pylist()])
+    key, (n,) = _group(key, n)
+    return key, n
 
-    return ask, "block long, shard long, words binary, word_n binary, grams binary, gram_n binary"
 
+def _merged(table: pa.Table) -> pa.Table:
+    """The requests of some blocks to a shard as one."""
+    word, n = _summed(table, "words", "word_n", WORD, np.uint64)
+    gram, gn = _summed(table, "grams", "gram_n", GRAM, np.int64)
+    cells = table.column("shard")[0].as_py(), table.column("to")[0].as_py(), planes(word, WORD), _counts_packed(n), planes(gram, GRAM), _counts_packed(gn)
+    return pa.table([pa.array([c], t) for c, t in zip(cells, [pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["shard", "to", *NAMES])
 
-def _summed(table: pa.Table, keys: str, counts: str, kind) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate([np.frombuffer(b, kind) for b in table.column(keys).to_pylist()])
-    n = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column(counts).to_pylist()]).astype(np.int64)
-    key, (n,) = _group(key, n)
-    return key, n
+
+def _one(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A shard's words and grams with their counts, from its one merged row."""
+    row = {c: table.column(c)[0].as_py() for c in NAMES}
+    return unplanes(row["words"], WORD, np.uint64), _counts_unpacked(row["word_n"]), unplanes(row["grams"], GRAM), _counts_unpacked(row["gram_n"])
 
 
 def _summary(split: int):
     """A shard's word totals (key -1: tokens, distinct) and its nodes, added up by what lies above them."""
 
     def summarise(table: pa.Table) -> pa.Table:
-        _, n = _summed(table, "words", "word_n", np.uint64)
-        gram, gn = _summed(table, "grams", "gram_n", np.int64)
+        _, n, gram, gn = _one(table)
         level = _levels(gram[gn > 0], gn[gn > 0], split)[split]
         up = (((level.key >> 8) & ((1 << (8 * (split - 1))) - 1)) << 8) | (level.key & 255)
         key, (zeros, ones, below) = _group(up, level.zeros, level.ones, level.weighted)
@@ -232,36 +304,59 @@ def _top(rows: pa.Table, split: int) -> dict[int, Level]:
     return levels
 
 
-def _answers(split: int, top):
-    def answer(table: pa.Table) -> pa.Table:
-        word, n = _summed(table, "words", "word_n", np.uint64)
-        gram, gn = _summed(table, "grams", "gram_n", np.int64)
+def _model(split: int, top):
+    """A shard's words with their counts, and its grams with their log10 probabilities."""
+
+    def evaluate(table: pa.Table) -> pa.Table:
+        word, n, gram, gn = _one(table)
         p = _probability(_levels(gram[gn > 0], gn[gn > 0], split), gram, split)
         p = _probability(top.value, gram, 0, p, split - 1)
         logs = np.log10(np.where(np.isnan(p), 0.5, p)).sum(axis=1)
+        cells = table.column("shard")[0].as_py(), planes(word, WORD), _counts_packed(n), planes(gram, GRAM), logs.astype("<f8").tobytes()
+        return pa.table([pa.array([c], t) for c, t in zip(cells, [pa.int64(), *[pa.binary()] * 4], strict=True)], ["shard", *NAMES[:3], "logs"])
+
+    return evaluate, "shard long, words binary, word_n binary, grams binary, logs binary"
+
+
+def _answers():
+    """What a shard's model says to the requests of some blocks, in the order of each request."""
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        row = {c: model.column(c)[0].as_py() for c in (*NAMES[:3], "logs")} if len(model) else None
+        if row is None or not len(asked):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["block", "shard", "word_n", "logs"])
+        word, n = unplanes(row["words"], WORD, np.uint64), _counts_unpacked(row["word_n"])
+        gram, logs = unplanes(row["grams"], GRAM), np.frombuffer(row["logs"], "<f8").astype("<f4")
         c, s = [], []
-        for w, g in zip(table.column("words").to_pylist(), table.column("grams").to_pylist(), strict=True):
-            c.append(n[np.searchsorted(word, np.frombuffer(w, np.uint64))].astype(np.uint32).tobytes())
-            s.append(logs[np.searchsorted(gram, np.frombuffer(g, np.int64))].tobytes())
-        return pa.table([table.column("block"), table.column("shard"), pa.array(c, pa.binary()), table.column("grams"), pa.array(s, pa.binary())], ["block", "shard", "word_n", "grams", "logs"])
+        for w, g in zip(asked.column("words").to_pylist(), asked.column("grams").to_pylist(), strict=True):
+            c.append(_counts_packed(n[np.searchsorted(word, unplanes(w, WORD, np.uint64))]))
+            s.append(logs[np.searchsorted(gram, unplanes(g, GRAM))].tobytes())
+        return pa.table([asked.column("block"), asked.column("shard"), pa.array(c, pa.binary()), pa.array(s, pa.binary())], ["block", "shard", "word_n", "logs"])
 
-    return answer, "block long, shard long, word_n binary, grams binary, logs binary"
+    return answer, "block long, shard long, word_n binary, logs binary"
 
 
-def _scores(shards: int, end_n: int, total: int, distinct: int):
+def _scores(split: int, shards: int, end_n: int, total: int, distinct: int):
     def given(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block([t for c in docs.column("text").chunks for t in utf8(c)])
-        by = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "word_n", "grams", "logs")), strict=True))
+        everyone = np.arange(len(block.texts))
+        by = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "word_n", "logs")), strict=True))
+        gram, _ = block.counts(everyone)
+        logs = np.empty(len(gram))
+        order = np.argsort(block.hashes)
+        of_word, of_gram = _by_shard((block.hashes[order] % np.uint64(shards)).astype(np.int64), shards), _by_shard(_shard_of_gram(gram, split, shards), shards)
         c = np.empty(len(block.hashes))
-        c[np.argsort(block.hashes % np.uint64(shards), kind="stable")] = np.frombuffer(b"".join(x[1] for x in by), np.uint32)
-        gram, logs = np.frombuffer(b"".join(x[2] for x in by), np.int64), np.frombuffer(b"".join(x[3] for x in by), np.float64)
-        order = np.argsort(gram)
-        gram, logs = gram[order], logs[order]
+        for s, word_n, log in by:
+            c[order[of_word[s]]] = _counts_unpacked(word_n)
+            logs[of_gram[s]] = np.frombuffer(log, "<f4")
         n = len(block.texts)
         score, size = np.zeros(n), np.zeros(n, np.int64)
-        for doc, g, k in block.gram_runs():
-            score += np.bincount(doc, logs[np.searchsorted(gram, g)] * k, n)
-            size += np.bincount(doc, k, n).astype(np.int64)
+        for p in block.parts(everyone):
+            g, sizes = grams([block.texts[i] for i in p])
+            seen, place = np.unique(g, return_inverse=True)
+            each = logs[np.searchsorted(gram, seen)][place]
+            score[p] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
+            size[p] = sizes
         tokens = block.n_words + 1
         base = np.bincount(block.doc, np.log10(c + 0.5)[block.word], n) + np.log10(end_n + 0.5)
         base -= tokens * np.log10(total + 0.5 * (distinct + 1))
@@ -281,8 +376,9 @@ def score(
     Rows with ``crc32(doc_id as text) mod folds = held`` teach nothing; a null id teaches.
     ``base_score`` is the log10 probability under the smoothed word unigram, ``score`` under
     the context trees; ``bits_per_byte`` is the latter's code length over ``n_bytes``, the
-    text's bytes as modelled.  Null and empty texts are one end token.  Repeated rows are
-    rows; an empty table gives no rows; other columns are ignored.
+    text's bytes as modelled.  Null and empty texts are one end token; a very long text is
+    scored whole, within its block.  Repeated rows are rows and score alike; an empty table
+    gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -290,22 +386,43 @@ def score(
     kind = source.schema["id"].dataType.simpleString()
     size, end_n = source.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held"))).first()
     n_blocks = int((size or 0) // block_bytes) + 1
-    shards = min(n_blocks, 4096)
+    shards = min(n_blocks, SHARDS)
     source = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
     for split in (3, 2):
         ask, schema = _requests(split, shards)
-        asked = save(source.groupBy("block").applyInArrow(ask, schema))
+        asked = Saved(source.groupBy("block").applyInArrow(ask, schema))
+        merged, groups = asked.df.withColumnRenamed("block", "to"), n_blocks
+        before = None
+        while groups > 1 or before is None:
+            groups = -(-groups // FAN)
+            up = merged.withColumn("to", F.expr(f"`to` div {FAN}")).groupBy("shard", "to")
+            up = Saved(up.applyInArrow(_merged, f"shard long, `to` long, {PACKED}"))
+            if before:
+                before.drop()
+            before, merged = up, up.df
         summarise, schema = _summary(split)
-        sums = asked.groupBy("shard").applyInArrow(summarise, schema).groupBy("key")
+        sums = merged.groupBy("shard").applyInArrow(summarise, schema).groupBy("key")
         sums = save(sums.agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]))
         if split == 2 or sums.count() <= TOP_ROWS:
             break
+        asked.drop()
+        before.drop()
     rows = sums.toArrow()
     words_row = rows.filter(pa.compute.equal(rows.column("key"), -1)).to_pylist() or [{"zeros": 0, "ones": 0}]
     total, distinct = words_row[0]["zeros"] + end_n, words_row[0]["ones"] + int(end_n > 0)
     top = spark.sparkContext.broadcast(_top(rows.filter(pa.compute.greater_equal(rows.column("key"), 0)), split))
-    answer, schema = _answers(split, top)
-    answers = asked.groupBy("shard").applyInArrow(answer, schema)
-    given, schema = _scores(shards, end_n, total, distinct)
-    out = source.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(given, f"id {kind}, {schema}")
+    evaluate, schema = _model(split, top)
+    model = Saved(merged.groupBy("shard").applyInArrow(evaluate, schema))
+    before.drop()
+    # A shard answers some blocks at a time, each time with its own copy of the shard.
+    turns = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_blocks - 1) // FAN).cast("bigint")))
+    questions = asked.df.select("block", "shard", F.expr(f"block div {FAN}").alias("turn"), "words", "grams")
+    answer, schema = _answers()
+    answers = questions.groupBy("shard", "turn").cogroup(model.df.withColumn("turn", turns).groupBy("shard", "turn")).applyInArrow(answer, schema)
+    answers = Saved(answers)
+    asked.drop()
+    model.drop()
+    release(spark)
+    given, schema = _scores(split, shards, end_n, total, distinct)
+    out = source.groupBy("block").cogroup(answers.df.groupBy("block")).applyInArrow(given, f"id {kind}, {schema}")
     return out.withColumnRenamed("id", doc_id)
