@@ -11,19 +11,18 @@ partition is merged in rounds of ``FAN`` partitions, so no task ever holds more
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from edgeflow.llm.text import small_batches
+from edgeflow.llm.text import batch_rows
 from edgeflow.llm.tokens import word_ids
-from edgeflow.storage import save
+from edgeflow.storage import Saved
 
 FAN = 16
-COLUMNS = ["start", "length", "ids", "doc_tokens", "round", "part", "window", "offset", "filled", "closed"]
-TYPES = "start long, length long, ids binary, doc_tokens long, round int, part long, window long, offset long, filled long, closed boolean"
+TYPES = "start long, length long, ids binary, doc_tokens long, round integer, part long, window long, offset long, filled long, closed boolean"
 
 
 class Packer:
@@ -101,15 +100,22 @@ def pack(
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers; the pieces of a
     document are its whole id sequence (the text's ids, then ``end_id``), each id once.
     Pieces of a sequence lie from offset 0 without gaps; ``filled`` is the sequence's length
-    before padding.  A null or empty text is one piece of ``end_id``.  Rows with repeated or
-    null ids are documents of their own.  An empty table gives no pieces.  Other columns are
-    ignored.
+    before padding.  ``doc_id`` may be of any type.  A null or empty text is one piece of
+    ``end_id``; a very long one is many full windows, handed on as they fill.  Among open
+    windows of equal room the oldest is taken.  Rows with repeated or null ids are documents
+    of their own.  An empty table gives no pieces.  Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
+    schema = source.select("doc_id").schema
+    for field in TYPES.split(", "):
+        schema = schema.add(*field.split(" "))
+    arrow = to_arrow_schema(schema)
     end = np.array([end_id], "<u4").tobytes()
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     def first(batches):
         coder = word_ids(tokenizer)
         packer = Packer(size, windows, min_cut, 0, TaskContext.get().partitionId())
@@ -122,43 +128,29 @@ def pack(
         packer.finish(False)
         yield batch(packer.take())
 
-    names = ["doc_id", *COLUMNS]
-    schema = f"doc_id {kind}, {TYPES}"
-    arrow = pa.schema(
-        [pa.field("doc_id", _arrow(kind))]
-        + [pa.field(c, t) for c, t in zip(COLUMNS, [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_()], strict=True)]
-    )
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
     def again(turn: int, last: bool):
-        def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            packer = Packer(size, windows, min_cut, turn, int(key[0]))
-            pdf = pdf.sort_values(["part", "window", "offset"])
-            for doc, start, ids, total in zip(pdf.doc_id.astype(object).where(pdf.doc_id.notna(), None), pdf.start, pdf.ids, pdf.doc_tokens, strict=True):
-                packer.add(doc, int(start), bytes(ids), int(total))
+        def merge(key: tuple, table: pa.Table) -> pa.Table:
+            packer = Packer(size, windows, min_cut, turn, key[0].as_py())
+            table = table.sort_by([(c, "ascending") for c in ("part", "window", "offset")])
+            for piece in zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
+                packer.add(*piece)
             packer.finish(last)
-            return pd.DataFrame(packer.take(), columns=names)
+            return pa.Table.from_batches([batch(packer.take())])
 
         return merge
 
-    made = [save(source.mapInArrow(first, schema))]
-    parts = made[0].where("not closed").agg(F.max("part")).first()[0]
+    with batch_rows(docs.sparkSession):
+        made = [Saved(source.mapInArrow(first, schema))]
+    parts = made[0].df.where("not closed").agg(F.max("part")).first()[0]
     turn = 0
     while parts is not None:
         turn, parts = turn + 1, (parts or 0) // FAN
-        left = made[-1].where("not closed").withColumn("to", F.expr(f"part div {FAN}"))
-        made.append(save(left.groupBy("to").applyInPandas(again(turn, parts == 0), schema)))
+        left = made[-1].df.where("not closed").withColumn("to", F.expr(f"part div {FAN}"))
+        made.append(Saved(left.groupBy("to").applyInArrow(again(turn, parts == 0), schema)))
         if parts == 0:
             break
-    out = made[0].where("closed")
+    out = made[0].df.where("closed")
     for m in made[1:]:
-        out = out.union(m.where("closed"))
+        out = out.union(m.df.where("closed"))
     sequence = F.expr("shiftleft(cast(round as bigint), 58) | shiftleft(part, 32) | window").alias("sequence_id")
     return out.select(F.col("doc_id").alias(doc_id), "start", "length", "ids", "doc_tokens", sequence, "offset", "filled")
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -43,13 +43,17 @@ class WordIds(dict):
     def _full(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _plain(self, s: str) -> bool:
+        """Latin-1 letters alone, which the model encodes as the whole tokenizer would."""
+        return self.lower and s.isalpha() and (s.isascii() or max(s) < "\u0100")
+
     def __missing__(self, s: str) -> bytes:
         if not s:
             ids = b""
-        elif self.lower and len(s) > 1 and s[-1] in ".," and s[:-1].isalpha():
-            ids = self[s[:-1]] + self[s[-1]]
-        elif self.lower and s.isalpha() and (s.isascii() or max(s) < "\u0100"):
+        elif self._plain(s):
             ids = self[low] if (low := s.lower()) != s else self._model(s)
+        elif len(s) > 1 and s[-1] in ".," and self._plain(s[:-1]):
+            ids = self[s[:-1]] + self[s[-1]]
         else:
             ids = self._full(s)
         self[s] = ids
