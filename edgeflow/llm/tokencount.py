@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import batch_rows, small_batches
+from edgeflow.llm.text import batch_rows
 from edgeflow.llm.tokens import word_ids
-from edgeflow.storage import Saved, shared_dir
+from edgeflow.storage import Saved, remove, shared_dir
 
 #: Tokens of a block.
 BLOCK = 1 << 20
@@ -26,28 +26,46 @@ END = 0
 WIDTH = 2
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, text: str = "text", max_docs: int = 50_000) -> None:
-    """Write the texts, in their order within partitions, as flat files of 16-bit ids.
+def _placed(docs: DataFrame) -> DataFrame:
+    """Rows in an order within partitions that does not depend on how they arrive."""
+    return docs.select("*", F.xxhash64("text").alias("digest")).sortWithinPartitions("id", "digest")
 
-    A stored id is the vocabulary's plus one; 0 ends a document.  At most ``max_docs``
-    documents go to a file.  The text sink writes a row's bytes as they are and the end id as
-    its line separator, so any file system Spark knows will do.
+
+def write_flat(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 64 << 20) -> None:
+    """Write the texts, by id and text digest within partitions, as flat files of 16-bit ids.
+
+    A stored id is the vocabulary's plus one; 0 ends a document; a vocabulary that needs more
+    than 16 bits raises.  A file is closed once it holds ``max_bytes``.  The text sink writes
+    a row's bytes as they are and the end id as its line separator, so any file system Spark
+    knows will do.
     """
-    small_batches(docs.sparkSession)
 
     def coded(batches):
-        coder = word_ids(tokenizer)
+        coder, file, size, place = word_ids(tokenizer), 0, 0, 0
         for b in batches:
-            rows = [(np.frombuffer(coder.ids(t), "<u4") + 1).astype("<u2").tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
-
-    rows = docs.select(text).mapInArrow(coded, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    rows.write.option("lineSep", "\x00" * WIDTH).option("maxRecordsPerFile", max_docs).text(path)
+            rows, files, places = [], [], []
+            for t in b.column(0).to_pylist():
+                ids = np.frombuffer(coder.ids(t), "<u4") + 1
+                if len(ids) and int(ids.max()) >> 8 * WIDTH:
+                    raise ValueError(f"an id does not fit into {WIDTH} bytes")
+                if size >= max_bytes:
+                    file, size = file + 1, 0
+                rows.append(ids.astype("<u2").tobytes())
+                files.append(file)
+                places.append(place)
+                size, place = size + len(rows[-1]) + WIDTH, place + 1
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(places, pa.int64()), pa.array(rows, pa.binary())], ["file", "place", "ids"])
+
+    source = _placed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).select("text")
+    rows = source.mapInArrow(coded, "file long, place long, ids binary").sortWithinPartitions("file", "place")
+    with batch_rows(docs.sparkSession):
+        rows.select("file", F.col("ids").cast("string").alias("value")).write.option("lineSep", "\x00" * WIDTH).partitionBy("file").text(path)
 
 
 def scan(spark: SparkSession, path: str, end_id: int = END, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """``file, block, n_tokens, ends``: each block's token count and its separators' places in the file."""
     kind = {1: "<u1", 2: "<u2", 4: "<u4"}[width]
+
     def searched(batches):
         for b in batches:
             for i in range(b.num_rows):
@@ -60,7 +78,7 @@ def scan(spark: SparkSession, path: str, end_id: int = END, width: int = WIDTH,
                     ["file", "block", "n_tokens", "ends"],
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(searched, "file string, block long, n_tokens long, ends array<long>")
 
 
@@ -84,33 +102,33 @@ def stitch(blocks: DataFrame) -> DataFrame:
     return whole.union(rest)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", max_docs: int = 50_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 64 << 20) -> DataFrame:
     """``doc_id, n_tokens`` of every document, by way of flat files in the shared folder.
 
-    Null and empty texts have 0 tokens (their separator is not counted); rows of repeated or
-    null id are rows; an empty table gives none; other columns are ignored.  A document is
-    known by its file and its place there, which follow from the order in which ``docs`` is
-    read; a source whose order is not stable should be saved first.  A mismatch raises.
+    Null and empty texts have 0 tokens (their separator is not counted); very long texts are
+    scanned block by block; rows of repeated or null id are rows, and equal rows count alike;
+    an empty table gives none; other columns are ignored.  A document is known by its
+    partition and its place there in the order of id and text digest, so the order in which
+    rows arrive is of no account; a source that deals its rows out to partitions anew each
+    time it is read should be saved first.  A number of documents that differs raises.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/edgeflow-flat-{uuid.uuid4().hex}"
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    write_flat(source, path, tokenizer, "text", max_docs)
+    write_flat(docs, path, tokenizer, doc_id, text, max_bytes)
     with batch_rows(spark, 1):
         blocks = Saved(scan(spark, path))
-    _drop(spark, path)
-    name = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)[^/]*$", 1).cast("long")
-    part = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)[^/]*$", 2).cast("long")
-    found = stitch(blocks.df).select(name.alias("part"), (part * max_docs + F.col("ordinal")).alias("place"), "n_tokens", F.lit(1).alias("found"))
-    number = source.select("id", "text", F.monotonically_increasing_id().alias("m"))
+    remove(spark, path)
+    at = lambda i: F.regexp_extract("file", r"file=(\d+)/part-(\d+)-", i).cast("long")
+    held = blocks.df.groupBy("file").agg(F.sum(F.size("ends").cast("long")).alias("n"))
+    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("file", at(2).alias("part"), at(1).alias("number"), "n")
+    held = held.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    found = stitch(blocks.df).join(held, "file")
+    found = found.select("part", (F.col("earlier") + F.col("ordinal")).alias("place"), "n_tokens", F.lit(1).alias("found"))
+    number = _placed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).select("id", F.monotonically_increasing_id().alias("m"))
     ids = number.select("id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), F.lit(1).alias("asked"))
     both = ids.join(found, ["part", "place"], "full")
     wrong = F.raise_error(F.lit("the flat files and the table differ in their documents"))
     return both.select(
         F.col("id").alias(doc_id), F.when(F.col("found").isNull() | F.col("asked").isNull(), wrong.cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens")
     )
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
