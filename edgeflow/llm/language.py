@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import batch_rows, small_batches
+from edgeflow.llm.text import batch_rows, slices
 from edgeflow.storage import Saved, save
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -177,14 +177,13 @@ class Languages:
         keys = [c for c in (docs.columns if keys is None else keys) if c not in ("lang_pred", "score")]
         names, p, prior, path = [str(x) for x in self.names], self.p, np.log(self.prior), self.path
         model = self.key
-        small_batches(docs.sparkSession)
 
         def each(batches):
             if _SCORED.get("model") != model:
                 _SCORED.clear()
                 _SCORED.update(model=model, known={}, table=np.empty((1 << 16, max(1, len(names)))))
             known, table = _SCORED["known"], _SCORED["table"]
-            for b in batches:
+            for b in slices(batches):
                 texts = [words(t) for t in b.column(b.num_columns - 1).to_pylist()] if names else [[]] * b.num_rows
                 if len(known) * table.shape[1] > CACHE:
                     known.clear()
@@ -219,7 +218,6 @@ def fit(labelled: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     The share follows from a count, so the sample is bounded in the mean, whatever the input.  Rows of null language teach nothing; null texts only count as documents of their language.
     """
-    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     share = min(1.0, sample_rows / max(1, rows.count()))
     bounded = Saved(rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))))
@@ -232,7 +230,7 @@ def fit(labelled: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def counted(batches):
         seen = Counter()
-        for b in batches:
+        for b in slices(batches):
             for x, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 seen.update((column[x], w) for w in words(t))
             if len(seen) > 300_000:

@@ -21,7 +21,10 @@ def vocabulary(name: str) -> str:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix.remove_repeats(table(spark, sf_dir, "documents"), least=400, keep="none")
     gone = (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed")
-    return rows.select("doc_id", "n_bytes", gone, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    spans = F.size("spans").cast("long").alias("n_spans")
+    # A span may end inside a character; what is left of it shows as U+FFFD in the text, not in the digest.
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return rows.select("doc_id", "n_bytes", gone, spans, F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from edgeflow.llm.text import small_batches, utf8, words
+from edgeflow.llm.text import slices, utf8, words
 from edgeflow.operators.components import star_contraction
 from edgeflow.storage import Saved, release, save
 
@@ -54,11 +54,10 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str, keys: list[str], shingle: int = 3) -> DataFrame:
     """``keys`` and the fingerprint as a BIGINT bit pattern ``fp``."""
-    small_batches(docs.sparkSession)
     fields = docs.select(*keys).schema
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = utf8(b.column(b.num_columns - 1))
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*keys, "fp"])
@@ -193,12 +192,11 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingle: int) -> DataFrame:
     """``keys``, ``fp``, a digest ``sid`` of the shingle set, its size ``n`` and its ``prefix``."""
     spark = docs.sparkSession
-    small_batches(spark)
     share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def each_sampled(batches):
-        for b in batches:
+        for b in slices(batches):
             found = np.concatenate([np.empty(0, np.uint64), *(shingle_set(t) for t in utf8(b.column(0)))])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
@@ -206,7 +204,7 @@ def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingl
     common = np.array([r[0] for r in often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = utf8(b.column(b.num_columns - 1))
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             sets = [shingle_set(t) for t in texts]
@@ -223,7 +221,7 @@ def _alike(similarity: float):
     """Pairs of sets whose exact likeness is ``similarity`` or more."""
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             hold = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("ha"), b.column("hb"), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -238,7 +236,7 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, text: str, si
     """Those of the saved pairs ``a, b`` of sets that are alike, by the sets of their texts."""
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = pa.array([shingle_set(t).tobytes() for t in utf8(b.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], ["sid", "h"])
 

@@ -17,26 +17,27 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-#: Rows of whole texts that travel to a Python worker at once; bounds memory, not results.
+#: Rows of whole texts that travel to a Python worker at once, and their bytes; bounds memory, not results.
 BATCH_ROWS = 512
-ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def slices(batches, rows: int = BATCH_ROWS):
+    """The batches' rows, so many at a time: for results that are computed after the call that plans them,
+    when the session's own settings hold.  Spark's own bound on a batch's bytes bounds the rest."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 @contextmanager
-def batch_rows(spark, rows: int):
-    """So many rows at a time to Python workers, for what runs inside."""
-    before = spark.conf.get(ROWS)
-    spark.conf.set(ROWS, rows)
+def batch_rows(spark, rows: int = BATCH_ROWS):
+    """So many rows at a time to Python workers, for what is computed inside; then the session's own settings again."""
+    before = {k: spark.conf.get(k) for k in SETTINGS}
     try:
+        for k, v in (SETTINGS | {next(iter(SETTINGS)): rows}).items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(ROWS, before)
-
-
-def small_batches(spark) -> None:
-    """Whole texts are large rows: from now on send fewer to a worker at a time than Spark's default.
-
-    The setting stays, as results are computed after the call that plans them.
-    """
-    spark.conf.set(ROWS, BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        for k, v in before.items():
+            spark.conf.set(k, v)

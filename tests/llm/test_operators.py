@@ -248,9 +248,15 @@ def test_forward_sums_all_segmentations():
 def test_token_counts(spark, docs, nothing, tokenizer, tmp_path):
     path = queries.vocabulary("word_bpe_49k.json")
     want = sorted([(r[0], len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in ROWS], key=repr)
-    for most in (50_000, 2):
-        assert rows(tokencount.count_tokens(docs, path, max_docs=most), "doc_id", "n_tokens") == want
+    for most in (64 << 20, 500, 1):
+        assert rows(tokencount.count_tokens(docs, path, max_bytes=most), "doc_id", "n_tokens") == want
+    assert rows(tokencount.count_tokens(docs.orderBy(F.rand(1)).repartition(5, "doc_id"), path), "doc_id", "n_tokens") == want
     assert tokencount.count_tokens(nothing, path).count() == 0
+    with pytest.raises(Exception, match="does not fit"):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tokencount, "WIDTH", 1)
+            one = tokencount.count_tokens(docs, path).count()
+            assert one < 0
     tokencount.write_flat(docs, str(tmp_path / "f"), path)
     for block in (1, 5, 64):
         got = tokencount.stitch(tokencount.scan(spark, str(tmp_path / "f"), block=block)).collect()
@@ -295,23 +301,40 @@ def test_near_links(spark, monkeypatch):
     assert vectors.near_links(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bucket,queries_", [(4096, 512), (7, 3)])
+@pytest.mark.parametrize("bucket,queries_", [(4096, 512), (7, 3), (1, 1)])
 def test_top_products(spark, bucket, queries_):
     r = np.random.default_rng(8)
     data = [(i, (r.standard_normal(6) * r.choice([0.01, 1, 5])).round(2).tolist()) for i in range(120)]
     data += [(120, None), (121, [float("nan")] * 6), (150, data[3][1]), (151, data[3][1]), (152, [0.0] * 6), (200, [1.0, 2.0])]
+    data += [(0, data[0][1]), (0, [1.5] * 6), (7, data[7][1]), (50, data[50][1]), (None, data[9][1]), (None, data[9][1])]  # repeated and null ids
     fine = [(i, [math.floor(256 * x) for x in v] + [0] * (6 - len(v))) for i, v in data if v and np.isfinite(v).all()]
     want = []
     for q, a in fine:
-        if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in fine if i != q)[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("norm", F.lit("x"))
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i is None, i or 0) for i, b in fine if i != q)[:5]
+            want += [(q, k + 1, None if no else i, -s) for k, (s, no, i) in enumerate(best)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("norm", F.lit("x")).repartition(3)
     got = vectors.top_products(df, F.col("vec_id") % 50 == 0, bucket=bucket, queries=queries_)
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert vectors.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_pruned_tiles_are_not_joined(spark):
+    """Queries that only long candidates can answer meet the level of the longest alone."""
+    r = np.random.default_rng(2)
+    unit = r.standard_normal((600, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    data = [(i, (unit[i] * (100 if i < 300 else 0.1)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    met = []
+    save = vectors.save
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(vectors, "save", lambda x: met.append(save(x)) or met[-1])
+        vectors.top_products(df, F.col("vec_id") < 20, bucket=100, queries=10).collect()
+    blocks = next(x for x in met if "deepest" in x.columns)
+    assert blocks.count() == 2 and blocks.agg(F.max("deepest")).first()[0] < 5
+
+
 # 6 chat, 7 mixing: against SQL
 
 
@@ -356,34 +379,104 @@ def test_poisson(spark):
 # 9 language model
 
 
-def test_ctw(docs, nothing):
-    train = [t for i, t, *_ in ROWS if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    seen = collections.Counter(w for t in train for w in words((t or "").encode()))
+class BruteTree:
+    """Context-tree weighting by its definition, node by node."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.n, self.children, self.known = depth, collections.Counter(), collections.defaultdict(set), {}
+        for t in texts:
+            for node, bit in self.decisions(t):
+                for d in range(depth + 1):
+                    here = self.at(node, d)
+                    self.n[here, bit] += 1
+                    self.known[here] = None
+                    if d:
+                        self.children[self.at(node, d - 1)].add(here)
+
+    def decisions(self, text):
+        line = bytes(self.depth) + b" ".join([*re.sub(rb"[A-Z]", lambda m: m[0].lower(), text).split(), b"\0"])
+        for i in range(self.depth, len(line)):
+            path = ""
+            for bit in f"{line[i]:08b}":
+                yield (line[i - self.depth : i], path), int(bit)
+                path += bit
+
+    def at(self, node, d):
+        return node[0][self.depth - d :], node[1]
+
+    def kt(self, node):
+        a, b = self.n[node, 0], self.n[node, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    def weighted(self, node):
+        if self.known[node] is None:
+            own = self.kt(node)
+            if len(node[0]) < self.depth:
+                rest = sum(map(self.weighted, self.children[node]))
+                top = max(own, rest)
+                own = top + math.log(math.exp(own - top) + math.exp(rest - top)) - math.log(2)
+            self.known[node] = own
+        return self.known[node]
+
+    def probability(self, node, bit, d=0):
+        here = self.at(node, d)
+        if here not in self.known:
+            return None
+        own = (self.n[here, bit] + 0.5) / (self.n[here, 0] + self.n[here, 1] + 1)
+        deeper = self.probability(node, bit, d + 1) if d < self.depth else None
+        if deeper is None:
+            return own
+        stop = math.exp(self.kt(here) - math.log(2) - self.weighted(here))
+        return stop * own + (1 - stop) * deeper
+
+    def score(self, text):
+        return sum(math.log10(self.probability(node, bit) or 0.5) for node, bit in self.decisions(text))
+
+
+def test_ctw(docs, nothing, monkeypatch):
+    monkeypatch.setattr(ctw, "FAN", 2)
+    few = [r for r in ROWS if r[0] != 7]
+    train = [(t or "").encode() for i, t, *_ in few if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    seen = collections.Counter(w for t in train for w in words(t))
     total, distinct = sum(seen.values()) + len(train), len(seen) + 1
-    gram, n = np.unique(np.concatenate([ctw.grams((t or "").encode()) for t in train]), return_counts=True)
-    levels = ctw._levels(gram, n, 0)
+    tree = BruteTree(train, ctw.DEPTH)
     want = []
-    for i, t, *_ in ROWS:
+    for i, t, *_ in few:
         w = words((t or "").encode())
         base = sum(math.log10(seen[x] + 0.5) for x in w) + math.log10(len(train) + 0.5) - (len(w) + 1) * math.log10(total + 0.5 * (distinct + 1))
-        p = ctw._probability(levels, ctw.grams((t or "").encode()), 0)
-        score = np.log10(np.where(np.isnan(p), 0.5, p)).sum()
-        want.append((i, len(w) + 1, sum(seen[x] > 0 for x in w) + 1, total, pytest.approx(base), pytest.approx(score)))
-    for block_bytes in (10**9, 2000):
-        got = ctw.score(docs, block_bytes=block_bytes).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
-        key = lambda r: (r[0] is None, r[0], r[1])
+        want.append((i, len(w) + 1, sum(seen[x] > 0 for x in w) + 1, total, pytest.approx(base), pytest.approx(tree.score((t or "").encode()))))
+    key = lambda r: (r[0] is None, r[0], r[1])
+    for block_bytes in (10**9, 1000):
+        got = ctw.score(docs.where("doc_id is null or doc_id <> 7"), block_bytes=block_bytes)
+        got = got.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
         assert [tuple(r) for r in sorted(got, key=key)] == sorted(want, key=key)
     assert ctw.score(nothing).count() == 0
+    assert ctw.score(docs).where("doc_id = 7").first()["n_tokens"] == 20_001
+
+
+def test_ctw_beats_words(spark):
+    got = ctw.score(queries.table(spark, "/root/testdata/sf0.01", "documents")).where("held_out")
+    trees, unigrams = got.agg(F.sum("score"), F.sum("base_score")).first()
+    assert trees > unigrams
 
 
 def test_ctw_is_a_distribution():
-    levels = ctw._levels(*np.unique(ctw.grams(BASE.encode()), return_counts=True), 0)
-    context = int(ctw.grams(BASE.encode())[50]) >> 8
+    gram = ctw.grams([BASE.encode()])[0]
+    levels = ctw._levels(*np.unique(gram, return_counts=True), 0)
+    context = int(gram[50]) >> 8
     every = np.array([(context << 8) | b for b in range(256)])
     p = ctw._probability(levels, every, 0)
     assert np.where(np.isnan(p), 0.5, p).prod(axis=1).sum() == pytest.approx(1)
 
 
+def test_planes():
+    r = np.random.default_rng(1)
+    for width in (7, 8):
+        x = np.sort(r.integers(0, 1 << (8 * width - 1), 1000, dtype=np.uint64))
+        assert (ctw.unplanes(ctw.planes(x, width), width, np.uint64) == x).all()
+    assert len(ctw.unplanes(ctw.planes(x[:0], 7), 7)) == 0
+
+
 # 1 suffix arrays
 
 
