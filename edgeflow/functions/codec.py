@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,18 +22,56 @@ def delta_length(gap: Column) -> Column:
     return (2 * F.ceil(F.length(F.hex(gap)) / 2) - 1).cast("bigint")
 
 
+def _byte_rows(values: np.ndarray) -> np.ndarray:
+    """The eight bytes of each value, highest first."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def delta_encode(gaps: np.ndarray) -> bytes:
+    """A whole stream at once: row by row the zeros, then the bytes; a gap of 0 is an error."""
+    gaps = np.asarray(gaps, np.uint64)
+    if (gaps == 0).any():
+        raise ValueError("edge (0, 0) cannot be delta coded")
+    if not len(gaps):
+        return b""
+    rows = _byte_rows(gaps)
+    size = 8 - (rows != 0).argmax(axis=1)
+    both = np.concatenate([np.zeros((len(gaps), 7), np.uint8), rows], axis=1)
+    # Eight bytes end each row; a value of so many takes as many and one less zeros before them.
+    return both[np.arange(15)[None, :] >= 15 - (2 * size - 1)[:, None]].tobytes()
+
+
+class DeltaStream:
+    """Gaps of a stream that comes in pieces; what a piece leaves unfinished goes before the next."""
+
+    def __init__(self):
+        self.rest = b""
+
+    def feed(self, piece: bytes) -> np.ndarray:
+        data = self.rest + piece
+        out, i, n = [], 0, len(data)
+        while i < n:
+            k = i
+            while k < n and not data[k]:
+                k += 1
+            end = 2 * k - i + 1
+            if k == n or end > n:
+                break
+            out.append(int.from_bytes(data[k:end], "big"))
+            i = end
+        self.rest = data[i:]
+        return np.array(out, np.uint64)
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("the delta stream ends inside a value")
+
+
 def delta_decode(data: bytes) -> list[int]:
     """Gaps of a whole stream; a stream that ends inside a value is an error."""
-    out, i, n = [], 0, len(data)
-    while i < n:
-        k = i
-        while k < n and not data[k]:
-            k += 1
-        end = k + (k - i) + 1
-        if k == n or end > n:
-            raise ValueError("the delta stream ends inside a value")
-        out.append(int.from_bytes(data[k:end], "big"))
-        i = end
+    stream = DeltaStream()
+    out = stream.feed(data).tolist()
+    stream.close()
     return out
 
 
@@ -41,10 +80,24 @@ def leb128_length(gap: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(gap)) / 7)).cast("bigint")
 
 
-def leb128(value: int) -> bytes:
-    out = bytearray()
-    while value > 127:
-        out.append(value & 127 | 128)
-        value >>= 7
-    out.append(value)
-    return bytes(out)
+def leb128(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Values as LEB128, one after the other, and how many bytes each takes."""
+    values = np.asarray(values, np.uint64)
+    steps = values[:, None] >> np.arange(0, 70, 7, dtype=np.uint64).clip(max=63)[None, :]
+    steps[:, 9] = values >> np.uint64(63)
+    size = np.maximum((steps != 0).sum(axis=1), 1)
+    place = np.arange(10)[None, :]
+    digits = (steps & np.uint64(127)).astype(np.uint8) | np.where(place < size[:, None] - 1, 128, 0).astype(np.uint8)
+    return digits[place < size[:, None]].tobytes(), size
+
+
+def leb128_decode(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of LEB128 bytes and where each begins; bytes that end inside a value are an error."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if data[-1] & 128:
+        raise ValueError("the bytes end inside a value")
+    start = np.flatnonzero(np.concatenate([[True], data[:-1] < 128]))
+    place = np.arange(len(data)) - np.repeat(start, np.diff(start, append=len(data)))
+    digits = (data & 127).astype(np.uint64) << (np.uint64(7) * place.astype(np.uint64))
+    return np.bitwise_or.reduceat(digits, start), start

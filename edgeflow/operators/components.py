@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeflow.storage import Saved
 
 
+log = logging.getLogger("edgeflow")
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
@@ -47,6 +52,7 @@ def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
         mid.drop()
         held = after
         now = _signature(held.df)
+        log.info("components: %d links left", now[0])
         if now == before:
             break
         before = now

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+import logging
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,27 @@ from edgeflow.operators.components import star_contraction
 from edgeflow.storage import Saved, save
 
 ALPHA = 0.85
+#: A heavy source's edges are dealt over so many keys.
+SALTS = 64
+#: Levels of a search whose tables are kept apart before they become one.
+TABLES = 16
+log = logging.getLogger("edgeflow")
+
+
+def _stack(tiers: list[list[Saved]], table: Saved) -> None:
+    """Keep a table; of every ``TABLES`` tables of a tier make one of the next, so that few stay, each row copied seldom."""
+    for tier in tiers:
+        tier.append(table)
+        if len(tier) < TABLES:
+            return
+        whole = tier[0].df
+        for t in tier[1:]:
+            whole = whole.union(t.df)
+        table = Saved(whole)
+        for t in tier:
+            t.drop()
+        tier.clear()
+    tiers.append([table])
 
 
 class Graph:
@@ -72,23 +94,40 @@ class Graph:
         pairs = self.edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
         return pairs.join(self.out_degree().withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("k") / F.col("deg")).alias("w"))
 
-    def pagerank(self, alpha: float = ALPHA, iterations: int = 20, cut: int = 7) -> DataFrame:
+    def pagerank(self, alpha: float = ALPHA, iterations: int = 20, cut: int = 7, heavy_from: int | None = None) -> DataFrame:
         """``id, rank``: ``iterations`` synchronous steps from zero; not normalised, dangling mass dropped.
 
         The first step gives every vertex ``1 - alpha``.  Shares are partitioned by source
         once; a step's sums leave partitioned by vertex, which is how the next step joins
-        them, so a step shuffles only the partial sums.  Lineage is cut every ``cut`` steps.
+        them, so a step shuffles only the partial sums.  A source with ``heavy_from`` targets
+        or more (by default half of a partition's even share) is dealt over ``SALTS`` keys
+        and its rank sent to each.  Lineage is cut every ``cut`` steps.
         """
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         held = Saved(self._shares())
-        w = held.df.repartition(parts, "src").persist()
+        limit = heavy_from or max(SALTS, held.df.count() // (2 * parts))
+        # As the sources' targets add up to the edges, there are at most 2 * parts of these by default.
+        heavy = Saved(held.df.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("src", F.lit(True).alias("heavy")))
+        salted = heavy.df.limit(1).count() > 0
+        key = ["src", "salt"] if salted else ["src"]
+        marked = held.df
+        if salted:
+            small = heavy.df if heavy_from else F.broadcast(heavy.df)
+            salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("dst"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+            marked = marked.join(small, "src", "left").withColumn("salt", salt).drop("heavy")
+        w = marked.repartition(parts, *key).persist()
         sums, kept = None, []
         for i in range(1, iterations):
+            log.info("pagerank: step %d of %d", i, iterations)
             if sums is None:
                 sent = w.select("dst", (F.col("w") * F.lit(alpha * (1 - alpha))).alias("c"))
             else:
                 rank = F.lit(1 - alpha) + F.coalesce("s", F.lit(0.0))
-                sent = w.join(sums, "src", "left").select("dst", (F.col("w") * alpha * rank).alias("c"))
+                told = sums
+                if salted:
+                    salts = F.when(F.col("heavy"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+                    told = sums.join(small, "src", "left").withColumn("salt", F.explode(salts)).drop("heavy")
+                sent = w.join(told, key, "left").select("dst", (F.col("w") * alpha * rank).alias("c"))
             sums = sent.groupBy("dst").agg(F.sum("c").alias("s")).withColumnRenamed("dst", "src")
             if i % cut == 0 or i == iterations - 1:
                 kept.append(Saved(sums))
@@ -98,6 +137,7 @@ class Graph:
                 del kept[:-1]
         w.unpersist()
         held.drop()
+        heavy.drop()
         if sums is None:
             sums = self.spark.createDataFrame([], "src bigint, s double")
         full = self.everywhere(sums.withColumnRenamed("src", "id"), s=F.lit(0.0))
@@ -131,6 +171,7 @@ class Graph:
             jump = mid.df.select(F.col("id").alias("low"), F.col("low").alias("far"))
             new = Saved(mid.df.join(jump, "low").select("id", F.least("low", "far").alias("label"), F.col("label").alias("old")))
             moved = new.df.where("label < old").limit(1).count()
+            log.info("label propagation: %s", "some labels fell" if moved else "no label falls any more")
             state.drop()
             mid.drop()
             state = Saved(new.df.select("id", "label")) if moved else new
@@ -148,22 +189,41 @@ class Graph:
     def bfs(self, root: int = 0) -> DataFrame:
         """``id, dist`` over edges taken both ways; null where ``root`` does not reach.
 
-        A level joins the frontier to the edges and drops what was visited.
+        A level joins the frontier to the edges.  As edges go both ways, its neighbours are of
+        the level before, its own or the next, so the last two levels are all that is left out.
+        Once half of the vertices that still have edges are visited, their edges are retired;
+        each retirement halves what is left, so all of them together write the edges twice.
         """
-        both = Saved(self.symmetric().where("src <> dst").distinct())
-        edges = both.df.persist()
-        levels = [Saved(self.spark.range(1).select(F.lit(root).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("dist")))]
-        seen = levels[0].df
+        live = Saved(self.symmetric().where("src <> dst").distinct())
+        left = live.df.select("src").distinct().count()
+        start = self.spark.range(1).select(F.lit(root).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("dist"))
+        before, front, depth, tiers = None, Saved(start), 0, [[]]
+        visited, kept_from = 1, 0
+
+        def seen(*more: Saved) -> DataFrame:
+            tables = [t.df for tier in tiers for t in tier] + [m.df for m in more if m]
+            return reduce(DataFrame.union, tables)
+
         while True:
-            front = levels[-1].df.select(F.col("id").alias("src"))
-            next_ = edges.join(front, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-            level = Saved(next_.withColumn("dist", F.lit(len(levels)).cast("bigint")))
-            if not level.df.limit(1).count():
+            depth += 1
+            step = live.df.join(front.df.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+            for known in (before, front):
+                step = step.join(known.df.select("id"), "id", "left_anti") if known else step
+            level = Saved(step.withColumn("dist", F.lit(depth).cast("bigint")))
+            found = level.df.count()
+            log.info("bfs: %d vertices at level %d", found, depth)
+            if not found:
                 break
-            levels.append(level)
-            seen = seen.union(level.df)
-        edges.unpersist()
-        return self.vertices().join(seen, "id", "left")
+            if 2 * visited >= left:
+                gone = seen(before, front).where(F.col("dist") >= kept_from)
+                rest = Saved(live.df.join(gone.select(F.col("id").alias("src")), "src", "left_anti"))
+                live.drop()
+                live, left, visited, kept_from = rest, left - visited, 0, depth
+            if before:
+                _stack(tiers, before)
+            before, front, visited = front, level, visited + found
+        live.drop()
+        return self.vertices().join(seen(before, front), "id", "left")
 
     def bfs_tree(self, root: int = 0) -> DataFrame:
         """``id, parent``: for every vertex reached, its least neighbour one level up."""

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.functions.codec import delta_bytes, leb128_length
-from edgeflow.functions.curve import hilbert_code, hilbert_point, sort_key, unsigned
+from edgeflow.functions.codec import delta_bytes, delta_decode, delta_encode, leb128_length
+from edgeflow.functions.curve import decode_array, hilbert_code, hilbert_point, sort_key, unsigned
 from edgeflow.operators.ordered import in_order, with_previous, with_running
 
+#: Edges in a row that holds a list.
+RUN = 1 << 16
+
 
 def _pattern(number: Column) -> Column:
     """A DECIMAL as a 64-bit pattern: modulo 2^64, the upper half negative."""
@@ -27,11 +32,22 @@ def curve_order(edges: DataFrame) -> DataFrame:
     return with_running(ranged, sort_key(F.col("code")), rn=F.lit(1)).select("rn", "code")
 
 
-def merge(*streams: DataFrame, distinct: bool = False) -> DataFrame:
-    """``code`` of all streams in unsigned order; ``distinct`` drops duplicates."""
+def together(*streams: DataFrame) -> DataFrame:
+    """``code`` of all streams."""
     out = streams[0].select("code")
     for s in streams[1:]:
         out = out.unionByName(s.select("code"))
+    return out
+
+
+def points(codes: DataFrame) -> DataFrame:
+    """``src, dst`` of codes."""
+    return codes.select(hilbert_point("code").alias("p")).select(F.col("p.x").alias("src"), F.col("p.y").alias("dst"))
+
+
+def merge(*streams: DataFrame, distinct: bool = False) -> DataFrame:
+    """``code`` of all streams in unsigned order; ``distinct`` drops duplicates."""
+    out = together(*streams)
     out = out.distinct() if distinct else out
     return out.orderBy(sort_key(F.col("code")))
 
@@ -59,17 +75,54 @@ def undelta(gaps: DataFrame) -> DataFrame:
     """``src, dst`` from ``rn, delta``: prefix sums, then points."""
     ranged = in_order(gaps.select("rn", "delta"), "rn")
     summed = with_running(ranged, F.col("rn"), code=unsigned(F.col("delta")).cast("decimal(38,0)"))
-    return summed.select(hilbert_point(_pattern(F.col("code"))).alias("p")).select(F.col("p.x").alias("src"), F.col("p.y").alias("dst"))
+    return points(summed.select(_pattern(F.col("code")).alias("code")))
+
+
+def delta_blocks(codes: DataFrame) -> DataFrame:
+    """``first, n, data``: distinct codes as delta streams in a BINARY column, each from code 0 and of a batch's length at most."""
 
+    def packed(batches):
+        for b in batches:
+            code = b.column(0).to_numpy().view(np.uint64)
+            if len(code):
+                data = delta_encode(np.diff(code, prepend=np.uint64(0)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([len(code)], pa.int64()), pa.array([data], pa.binary())], ["first", "n", "data"])
 
-def tiles(edges: DataFrame) -> DataFrame:
-    """``tile, ux, uy, cnt, lowers``: edges by upper 32 bits of their code, lower halves in curve order."""
+    key = sort_key(F.col("code"))
+    ranged = codes.select("code").distinct().repartitionByRange(key).sortWithinPartitions(key)
+    return ranged.mapInArrow(packed, "first long, n long, data binary")
+
+
+def undelta_blocks(blocks: DataFrame) -> DataFrame:
+    """``src, dst`` of delta streams in a BINARY column ``data``."""
+
+    def unpacked(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                code = np.cumsum(np.array(delta_decode(data), np.uint64), dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in decode_array(code)], ["src", "dst"])
+
+    return blocks.select("data").mapInArrow(unpacked, "src long, dst long")
+
+
+def _in_runs(rows: DataFrame, order: list[Column], longest: int) -> DataFrame:
+    """Adds ``run``: rows in the order, so many to a run, for groups that must not grow with a hub."""
+    ranged = in_order(rows, *order)
+    return with_running(ranged, F.struct(*order), rn=F.lit(1)).withColumn("run", F.expr(f"(rn - 1) div {longest}")).drop("rn", "part")
+
+
+def tiles(edges: DataFrame, longest: int = RUN) -> DataFrame:
+    """``tile, ux, uy, run, cnt, lowers``: edges by upper 32 bits of their code, lower halves in curve order.
+
+    A tile that lies in several runs of ``longest`` edges has a row for each.
+    """
     c = coded(edges).select(
+        sort_key(F.col("code")).alias("key"),
         F.shiftrightunsigned("code", 32).alias("tile"), F.shiftright("src", 16).cast("int").alias("ux"), F.shiftright("dst", 16).cast("int").alias("uy"),
         F.struct(F.col("code").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")).alias("low"), F.col("src").bitwiseAND(65535).cast("int").alias("lx"), F.col("dst").bitwiseAND(65535).cast("int").alias("ly")).alias("l"),
     )
     packed = F.transform(F.sort_array(F.collect_list("l")), lambda l: F.struct(l["lx"].alias("lx"), l["ly"].alias("ly")))
-    return c.groupBy("tile", "ux", "uy").agg(F.count("*").alias("cnt"), packed.alias("lowers"))
+    return _in_runs(c, [F.col("key")], longest).groupBy("tile", "ux", "uy", "run").agg(F.count("*").alias("cnt"), packed.alias("lowers"))
 
 
 def tile_counts(edges: DataFrame) -> DataFrame:
@@ -84,9 +137,10 @@ def untile(tiled: DataFrame) -> DataFrame:
     return e.select(join("ux", "l.lx").alias("src"), join("uy", "l.ly").alias("dst"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """``src, cnt, dsts``: targets in order, one row per source."""
-    return edges.groupBy("src").agg(F.count("*").alias("cnt"), F.sort_array(F.collect_list("dst")).alias("dsts"))
+def adjacency(edges: DataFrame, longest: int = RUN) -> DataFrame:
+    """``src, run, cnt, dsts``: targets in order; a source that lies in several runs of ``longest`` edges has a row for each."""
+    runs = _in_runs(edges.select("src", "dst"), [F.col("src"), F.col("dst")], longest)
+    return runs.groupBy("src", "run").agg(F.count("*").alias("cnt"), F.sort_array(F.collect_list("dst")).alias("dsts"))
 
 
 def unadjacency(runs: DataFrame) -> DataFrame:
@@ -108,9 +162,12 @@ def runs_in_order(edges: DataFrame, position: str) -> DataFrame:
 
 def csr_gaps(edges: DataFrame) -> DataFrame:
     """``node, edge, gap``: differences of a node's targets in order, the first from 0."""
-    pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("edge")).distinct()
-    w = Window.partitionBy("node").orderBy("edge")
-    return pairs.withColumn("gap", F.col("edge") - F.lag("edge", 1, 0).over(w))
+    at = F.struct("node", "edge")
+    pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("edge")).distinct().withColumn("at", at)
+    # Lags over the whole order, so that a hub is no single group.
+    gaps = with_previous(in_order(pairs, "node", "edge"), "at", F.col("at"), "before", None)
+    gap = F.when(F.col("before.node") == F.col("node"), F.col("edge") - F.col("before.edge")).otherwise(F.col("edge"))
+    return gaps.select("node", "edge", gap.alias("gap"))
 
 
 def csr_offsets(edges: DataFrame) -> DataFrame:

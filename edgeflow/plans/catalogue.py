@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from edgeflow.functions import codec, curve
 from edgeflow.operators import layout
+from edgeflow.operators.graph import Graph
 from edgeflow.plans import fixtures
-from edgeflow.sources import text
+from edgeflow.sources import binary, text
 from edgeflow.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,12 +92,12 @@ def symmetrize(spark, sf_dir):
     return fixtures.graph(spark, sf_dir).symmetric()
 
 
-def _rank_sql(steps: int) -> str:
+def _rank_sql(steps: int, name: str = "g1") -> str:
     parts = ["deg AS MATERIALIZED (SELECT src, count(*) AS deg FROM e GROUP BY src)", "r0 AS MATERIALIZED (SELECT id, 0.15::DOUBLE AS rank FROM v)"]
     for i in range(1, steps + 1):
         sent = f"SELECT e.dst, sum(0.85 * r.rank / d.deg) AS s FROM e JOIN deg d USING (src) JOIN r{i - 1} r ON r.id = e.src GROUP BY e.dst"
         parts.append(f"r{i} AS MATERIALIZED (SELECT v.id, 0.15 + coalesce(s, 0) AS rank FROM v LEFT JOIN ({sent}) t ON t.dst = v.id)")
-    return _with(f"SELECT id, {_quantised('rank')} AS q FROM r{steps}", *parts)
+    return _with(f"SELECT id, {_quantised('rank')} AS q FROM r{steps}", *parts, name=name)
 
 
 @query(_rank_sql(1))
@@ -104,6 +105,18 @@ def pagerank_step(spark, sf_dir):
     return fixtures.graph(spark, sf_dir).pagerank(iterations=2).selectExpr("id", f"{_quantised('rank')} AS q")
 
 
+@query(_rank_sql(19, "g4"))
+def pagerank_g4(spark, sf_dir):
+    """Dangling vertices: their rank goes nowhere."""
+    return fixtures.graph(spark, sf_dir, "g4").pagerank().selectExpr("id", f"{_quantised('rank')} AS q")
+
+
+@query(_rank_sql(19, "g3"))
+def pagerank_hubs(spark, sf_dir):
+    """Heavy sources dealt over several keys."""
+    return fixtures.graph(spark, sf_dir, "g3").pagerank(heavy_from=5).selectExpr("id", f"{_quantised('rank')} AS q")
+
+
 @query(_rank_sql(19))
 def pagerank(spark, sf_dir):
     return fixtures.graph(spark, sf_dir).validated().pagerank().selectExpr("id", f"{_quantised('rank')} AS q")
@@ -122,7 +135,7 @@ def _components(name):
     return lambda spark, sf_dir: fixtures.graph(spark, sf_dir, name).components()
 
 
-for _suffix, _name in (("", "g1"), ("_g2", "g2"), ("_g3", "g3")):
+for _suffix, _name in (("", "g1"), ("_g2", "g2"), ("_g3", "g3"), ("_g4", "g4")):
     QUERIES[f"label_prop{_suffix}"] = _label(_name)
     SQL[f"label_prop{_suffix}"] = _with("SELECT id, comp AS label FROM low", SYM, PAIRS, LOW, name=_name)
     QUERIES[f"components{_suffix}"] = _components(_name)
@@ -154,6 +167,15 @@ def bfs_levels(spark, sf_dir):
     return fixtures.graph(spark, sf_dir).bfs()
 
 
+def _levels(name):
+    return lambda spark, sf_dir: fixtures.graph(spark, sf_dir, name).bfs()
+
+
+for _name in ("g2", "g3", "g4"):
+    QUERIES[f"bfs_levels_{_name}"] = _levels(_name)
+    SQL[f"bfs_levels_{_name}"] = _with("SELECT v.id, b.dist FROM v LEFT JOIN b USING (id)", SYM, PAIRS, LEVELS, name=_name)
+
+
 @query(_with("SELECT coalesce(b.dist, 0) AS dist, count(*) AS n FROM v LEFT JOIN b USING (id) GROUP BY 1", SYM, PAIRS, LEVELS))
 def bfs_histogram(spark, sf_dir):
     """Unreached vertices are counted with level 0."""
@@ -235,9 +257,11 @@ def vertex_runs(spark, sf_dir):
     return layout.vertex_runs(fixtures.graph(spark, sf_dir).edges)
 
 
-@query(_with("SELECT src, count(*) AS cnt, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS dsts FROM e GROUP BY src"))
+@query(_with("SELECT src, run, count(*) AS cnt, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS dsts FROM o GROUP BY src, run", f"o AS (SELECT *, (row_number() OVER (ORDER BY src, dst) - 1) // {layout.RUN} AS run FROM e)"))
 def adjacency(spark, sf_dir):
-    return layout.adjacency(fixtures.graph(spark, sf_dir).edges).withColumn("dsts", F.concat_ws(" ", F.transform("dsts", lambda x: x.cast("string"))))
+    """A source that lies in two runs has a row for each."""
+    rows = layout.adjacency(fixtures.graph(spark, sf_dir).edges)
+    return rows.withColumn("dsts", F.concat_ws(" ", F.transform("dsts", lambda x: x.cast("string"))))
 
 
 def _streams(spark, sf_dir):
@@ -275,6 +299,115 @@ def dense_renumber(spark, sf_dir):
     return layout.dense_names(fixtures.graph(spark, sf_dir).edges)
 
 
+RENAMED = """o AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS rn FROM e), names AS MATERIALIZED (
+ SELECT id, row_number() OVER (ORDER BY place) - 1 AS dense FROM (SELECT id, min(place) AS place FROM (
+ SELECT src AS id, 2 * rn AS place FROM o UNION ALL SELECT dst, 2 * rn + 1 FROM o) GROUP BY id)),
+renamed AS MATERIALIZED (SELECT a.dense AS src, b.dense AS dst FROM e JOIN names a ON a.id = e.src JOIN names b ON b.id = e.dst)"""
+
+
+@query(_with("SELECT src, dst FROM renamed", RENAMED))
+def renamed_edges(spark, sf_dir):
+    e = fixtures.graph(spark, sf_dir).edges
+    return layout.renamed(e, layout.dense_names(e))
+
+
+# Formats: the graph goes to files in the shared folder and comes back from them.
+
+
+def _place(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/edgeflow-{name}-{uuid.uuid4().hex}"
+
+
+def _through(spark, edges: DataFrame, fmt: str, **options) -> DataFrame:
+    path = _place(spark, fmt)
+    binary.write(edges, fmt, path, **options)
+    return binary.read(spark, fmt, path)
+
+
+def _round_trip(fmt: str, times: int):
+    return lambda spark, sf_dir: _through(spark, fixtures.graph(spark, sf_dir, times=times).edges, fmt)
+
+
+for _query, _fmt, _times in (("text", "text", 1), ("vertex", "vertex", 977), ("tile", "hilbert", 977), ("delta", "compressed", 977), ("csr", "csr", 977), ("parquet", "parquet", 1)):
+    QUERIES[f"{_query}_file_roundtrip"] = _round_trip(_fmt, _times)
+    SQL[f"{_query}_file_roundtrip"] = _with(f"SELECT {'DISTINCT ' * (_fmt in ('compressed', 'csr'))}src, dst FROM e", times=_times)
+
+
+@query(_with("SELECT src, dst FROM e"))
+def converted(spark, sf_dir):
+    """Text to vertex runs to tiles."""
+    paths = [_place(spark, x) for x in ("text", "vertex", "tiles")]
+    binary.write(fixtures.graph(spark, sf_dir).edges, "text", paths[0])
+    binary.convert(spark, ("text", paths[0]), ("vertex", paths[1]))
+    binary.convert(spark, ("vertex", paths[1]), ("hilbert", paths[2]))
+    return binary.read(spark, "hilbert", paths[2])
+
+
+@query(_with("SELECT src, dst FROM renamed", RENAMED))
+def dense_tiles(spark, sf_dir):
+    """Vertex runs to tiles whose vertices are renamed by first appearance."""
+    paths = [_place(spark, x) for x in ("vertex", "tiles")]
+    binary.write(fixtures.graph(spark, sf_dir).edges, "vertex", paths[0])
+    binary.convert(spark, ("vertex", paths[0]), ("hilbert", paths[1]), dense=True)
+    return binary.read(spark, "hilbert", paths[1])
+
+
+@query(_with("SELECT c::BIGINT AS code FROM code", CODES))
+def merged_delta_file(spark, sf_dir):
+    """Three sorted streams, which share edges, as one of distinct codes."""
+    paths = [_place(spark, "stream") for _ in range(3)]
+    for codes, path in zip(_streams(spark, sf_dir), paths, strict=True):
+        binary.write_codes(codes, path)
+    whole = _place(spark, "merged")
+    binary.merge_delta(spark, paths, whole)
+    return binary.read_codes(spark, whole)
+
+
+@query(_with("SELECT DISTINCT src, dst FROM e", times=977))
+def delta_blocks_roundtrip(spark, sf_dir):
+    """Delta streams in a BINARY column."""
+    return layout.undelta_blocks(layout.delta_blocks(layout.coded(fixtures.graph(spark, sf_dir, times=977).edges)))
+
+
+FORMATS = ("text", "vertex", "hilbert", "parquet")
+REPORT = "SELECT '{fmt}' AS fmt, max(src) AS max_x, max(dst) AS max_y, count(*) AS edges FROM {table}"
+
+
+@query(_with(" UNION ALL ".join([REPORT.format(fmt=f, table="e") for f in FORMATS] + [REPORT.format(fmt=f, table="d") for f in ("compressed", "csr")]), "d AS (SELECT DISTINCT src, dst FROM e)"))
+def stats_by_format(spark, sf_dir):
+    """The same graph read in every mode."""
+    out = None
+    for fmt in (*FORMATS, "compressed", "csr"):
+        s = Graph(_through(spark, fixtures.graph(spark, sf_dir).edges, fmt)).stats().select(F.lit(fmt).alias("fmt"), "max_x", "max_y", "edges")
+        out = s if out is None else out.union(s)
+    return out
+
+
+RUNS = """o AS (SELECT src, dst, row_number() OVER (ORDER BY dst, src) AS p FROM (SELECT DISTINCT src, dst FROM e)),
+ r AS (SELECT src, sum(s) OVER (ORDER BY p) AS run FROM (SELECT src, p, CASE WHEN src = lag(src) OVER (ORDER BY p) THEN 0 ELSE 1 END AS s FROM o))"""
+
+
+@query(_with("SELECT run::BIGINT AS run, src, count(*) AS cnt FROM r GROUP BY run, src", RUNS, name="g3"))
+def runs_by_position(spark, sf_dir):
+    """Runs of equal sources in a file that is sorted by target."""
+    e = fixtures.graph(spark, sf_dir, "g3").edges.distinct().withColumn("p", (F.col("dst") * (1 << 32)) + F.col("src"))
+    return layout.runs_in_order(e, "p").select("run", "src", "cnt")
+
+
+@query(_with("SELECT rn, tile, low FROM (SELECT row_number() OVER (ORDER BY c) AS rn, (c >> 32)::BIGINT AS tile, (c & 4294967295)::BIGINT AS low FROM e JOIN code USING (src, dst))", CODES, times=977))
+def tile_order(spark, sf_dir):
+    """The order in which the tile writer leaves edges: by tile, then inside it."""
+    rows = layout.curve_order(fixtures.graph(spark, sf_dir, times=977).edges)
+    return rows.select("rn", F.shiftrightunsigned("code", 32).alias("tile"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")).alias("low"))
+
+
+@query(_with("SELECT dst AS id, sum(src * 2 + 1)::BIGINT AS m FROM e GROUP BY dst"))
+def message_sums(spark, sf_dir):
+    """A message along every edge, made of the sender's state and summed at the receiver."""
+    g = fixtures.graph(spark, sf_dir)
+    return g.aggregate_messages(g.vertices().withColumn("x", F.col("id") * 2), F.col("x") + 1, F.sum)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

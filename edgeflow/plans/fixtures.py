@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from edgeflow.operators.graph import Graph
 
-#: name: (table, source column, target column, filter, table whose rows bound the ids)
+#: name: (table, source, target, filter, table whose rows bound the ids; the largest id does without one)
 GRAPHS = {
     "g1": ("lineitem", "l_orderkey", "l_partkey", None, "orders"),
     "g2": ("orders", "o_orderkey", "o_custkey", None, "orders"),
     "g3": ("lineitem", "l_partkey", "l_suppkey", "l_linenumber = 1", "part"),
+    "g4": ("events", "user_id", "event_id % 500", "event_type = 'error'", None),
 }
 
 
@@ -23,16 +24,16 @@ def graph(spark: SparkSession, sf_dir: str, name: str = "g1", times: int = 1) ->
     source, src, dst, keep, bound = GRAPHS[name]
     rows = table(spark, sf_dir, source)
     rows = rows.where(keep) if keep else rows
-    n = table(spark, sf_dir, bound).count()
-    edges = rows.select((F.col(src).cast("bigint") * times).alias("src"), (F.col(dst).cast("bigint") * times).alias("dst"))
-    return Graph(edges, n * times)
+    edges = rows.select((F.expr(src).cast("bigint") * times).alias("src"), (F.expr(dst).cast("bigint") * times).alias("dst"))
+    return Graph(edges, table(spark, sf_dir, bound).count() * times if bound else None)
 
 
 def sql(name: str = "g1", times: int = 1) -> str:
     """``e`` and ``v`` of the same graph, as common table expressions."""
     source, src, dst, keep, bound = GRAPHS[name]
     where = f" WHERE {keep}" if keep else ""
+    n = f"count(*) FROM {bound}" if bound else "max(greatest(src, dst)) + 1 FROM e"
     return (
-        f"e AS MATERIALIZED (SELECT {src}::BIGINT * {times} AS src, {dst}::BIGINT * {times} AS dst FROM {source}{where}), "
-        f"v AS (SELECT range AS id FROM range((SELECT count(*) FROM {bound})))"
+        f"e AS MATERIALIZED (SELECT ({src})::BIGINT * {times} AS src, ({dst})::BIGINT * {times} AS dst FROM {source}{where}), "
+        f"v AS (SELECT range AS id FROM range((SELECT {n})))"
     )

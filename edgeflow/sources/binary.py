@@ -5,56 +5,41 @@ format      head file                                   body file
 ==========  ==========================================  ===================================
 vertex      ``.nodes``: u32 source, u32 count           ``.edges``: u32 target
 tile        ``.upper``: u16 x, u16 y, u32 count         ``.lower``: u16 x, u16 y
+csr         ``.offsets``: u64 end byte of each node     ``.payload``: LEB128 gaps
+            but the last
 delta       none                                        coded gaps between sorted codes
-csr         ``offsets``: u64 end byte of each node       LEB128 gaps
 ==========  ==========================================  ===================================
 
-A reader takes one pair of files or a folder of pairs; files are the unit of parallelism,
-and a writer leaves one pair per partition, so a large graph is many pairs.  A delta stream
-is split the same way: every file restarts from code 0.
+A reader takes one pair of files by its prefix or a folder of pairs; a writer leaves one pair
+per partition of a range-partitioned graph.  Heads are read first, in chunks, to find where
+each chunk's body lies; then every chunk is a unit of work that reads its own byte range.
+A vertex or a tile may have several runs, so a long one is never a single row anywhere.
+Every delta file restarts from code 0; a CSR part's nodes count from the number in its name.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeflow.functions.codec import delta_decode, leb128
-from edgeflow.functions.curve import decode_array, encode_array, hilbert_code, sort_key
-from edgeflow.operators.layout import adjacency, csr_gaps, tiles
+from edgeflow.functions.codec import DeltaStream, delta_encode, leb128, leb128_decode
+from edgeflow.functions.curve import decode_array, hilbert_code, sort_key
+from edgeflow.operators import layout
+from edgeflow.sources import files
 
 NODES = np.dtype([("src", "<u4"), ("cnt", "<u4")])
 EDGES = np.dtype("<u4")
 UPPER = np.dtype([("x", "<u2"), ("y", "<u2"), ("cnt", "<u4")])
 LOWER = np.dtype([("x", "<u2"), ("y", "<u2")])
-#: Edges handed over at once.
-BATCH = 1 << 20
-
-
-def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """``key, content`` of every file with the suffix; the key is the path without it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true")
-    found = files.load(path if not path.endswith("/") else path.rstrip("/"))
-    return found.select(F.expr(f"left(path, length(path) - {len(suffix)})").alias("key"), "content")
-
-
-def _pairs(spark: SparkSession, prefix: str, head: str, body: str) -> DataFrame:
-    """Head and body contents of ``prefix`` itself, or of all pairs in the folder ``prefix``."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(prefix)
-    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    a = _files(spark, prefix if folder else prefix + head, head).withColumnRenamed("content", "head")
-    b = _files(spark, prefix if folder else prefix + body, body).withColumnRenamed("content", "body")
-    return a.join(b, "key").select("head", "body")
+OFFSETS = np.dtype("<u8")
+#: Edges handed over at once, and head records of a chunk.
+BATCH, CHUNK = 1 << 20, 1 << 18
 
 
 def _edges(x: np.ndarray, y: np.ndarray):
-    for i in range(0, max(1, len(x)), BATCH):
+    for i in range(0, len(x), BATCH):
         yield pa.RecordBatch.from_arrays([pa.array(v[i : i + BATCH].astype(np.int64)) for v in (x, y)], ["src", "dst"])
 
 
@@ -63,136 +48,266 @@ def _whole(content: bytes, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(content, kind, len(content) // kind.itemsize)
 
 
-def read_vertex(spark: SparkSession, prefix: str) -> DataFrame:
-    def decode(batches):
+CHUNKS = "head string, body string, start long, records long, at long, items long"
+
+
+def _runs(spark: SparkSession, path: str, suffixes: tuple[str, str], kinds: tuple[np.dtype, np.dtype], decode) -> DataFrame:
+    """Edges of run-length coded pairs: ``decode(runs, targets)`` gives both ends of the runs' edges."""
+    found = files.pairs(spark, path, *suffixes)
+    head, body = kinds
+
+    def located(batches):
+        """Chunks of the heads, with the place of each chunk's items in the body: a running sum of the counts."""
         for b in batches:
-            for head, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                runs, targets = _whole(head, NODES), _whole(body, EDGES)
-                if runs["cnt"].sum() > len(targets):
-                    raise ValueError("the edge file ends before its last run")
-                yield from _edges(np.repeat(runs["src"], runs["cnt"]), targets[: int(runs["cnt"].sum())])
+            for name, other, _, size in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                rows, start, at = [], 0, 0
+                while len(runs := _whole(files.read_range(name, start * head.itemsize, CHUNK * head.itemsize), head)):
+                    items = int(runs["cnt"].sum(dtype=np.int64))
+                    rows.append((name, other, start, len(runs), at, items))
+                    start, at = start + len(runs), at + items
+                if at > size // body.itemsize:
+                    raise ValueError(f"{other} ends before its last run")
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], CHUNKS.replace(" string", "").replace(" long", "").split(", "))
+
+    def read(batches):
+        for b in batches:
+            for name, other, start, records, at, items in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                runs = _whole(files.read_range(name, start * head.itemsize, records * head.itemsize), head)
+                ends = np.cumsum(runs["cnt"], dtype=np.int64)
+                for i in range(0, items, BATCH):
+                    n = min(BATCH, items - i)
+                    which = np.searchsorted(ends, np.arange(i, i + n), "right")
+                    yield from _edges(*decode(runs[which], _whole(files.read_range(other, (at + i) * body.itemsize, n * body.itemsize), body)))
+
+    heads = files.spread(spark, found, "head string, body string, head_size long, body_size long", sum(h for _, _, h, _ in found))
+    chunks = heads.mapInArrow(located, CHUNKS)
+    return files.spread(spark, chunks, CHUNKS, sum(b for *_, b in found)).mapInArrow(read, "src long, dst long")
 
-    return _pairs(spark, prefix, ".nodes", ".edges").mapInArrow(decode, "src long, dst long")
 
+def read_vertex(spark: SparkSession, path: str) -> DataFrame:
+    return _runs(spark, path, (".nodes", ".edges"), (NODES, EDGES), lambda runs, targets: (runs["src"], targets))
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    def decode(runs, low):
+        return tuple((runs[c].astype(np.int64) << 16) | low[c] for c in "xy")
+
+    return _runs(spark, path, (".upper", ".lower"), (UPPER, LOWER), decode)
+
+
+def read_codes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """``code`` of delta streams: the file at ``path`` whatever its name, or every ``.delta`` file of a folder.
+
+    ``strict`` wants codes that increase throughout each file.
+    """
+    every = files.listed(spark, path)
+    found = every if files.is_file(spark, path) else {n: s for n, s in every.items() if n.endswith(".delta")}
+    if every and not found:
+        raise FileNotFoundError(f"{path}: no .delta files")
 
-def read_tiles(spark: SparkSession, prefix: str) -> DataFrame:
     def decode(batches):
         for b in batches:
-            for head, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                upper, lower = _whole(head, UPPER), _whole(body, LOWER)
-                n = int(upper["cnt"].sum())
-                if n > len(lower):
-                    raise ValueError("the lower file ends before its last tile")
-                high = {c: np.repeat(upper[c].astype(np.int64) << 16, upper["cnt"]) for c in "xy"}
-                yield from _edges(high["x"] | lower["x"][:n], high["y"] | lower["y"][:n])
-
-    return _pairs(spark, prefix, ".upper", ".lower").mapInArrow(decode, "src long, dst long")
+            for name in b.column(0).to_pylist():
+                stream, last = DeltaStream(), np.uint64(0)
+                for piece in files.pieces(name):
+                    gaps = stream.feed(piece)
+                    code = np.cumsum(gaps, dtype=np.uint64) + last
+                    before = np.concatenate([[last], code[:-1]]).astype(np.uint64)
+                    if strict and (code <= before).any():
+                        raise ValueError("codes do not increase")
+                    last = code[-1] if len(code) else last
+                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], ["code"])
+                stream.close()
+
+    rows = files.spread(spark, list(found.items()), "name string, size long", sum(found.values()))
+    return rows.mapInArrow(decode, "code long")
 
 
 def read_delta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Edges of delta files; ``strict`` wants codes that increase throughout each file."""
+    """Edges of delta streams; see ``read_codes``."""
+    return layout.points(read_codes(spark, path, strict))
 
-    def decode(batches):
+
+def read_csr(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of CSR pairs; the name ``<anything>-from<node>`` tells a part's first node, which is 0 without."""
+    found = files.pairs(spark, path, ".offsets", ".payload")
+
+    def located(batches):
         for b in batches:
-            for content in b.column(0).to_pylist():
-                gaps = np.array(delta_decode(content), np.uint64)
-                if strict and (gaps == 0).any():
-                    raise ValueError("codes do not increase")
-                code = np.cumsum(gaps, dtype=np.uint64)
-                if strict and len(code) > 1 and (code[1:] <= code[:-1]).any():
-                    raise ValueError("codes do not increase")
-                yield from _edges(*decode_array(code))
-
-    return _files(spark, path, ".delta").select("content").mapInArrow(decode, "src long, dst long")
-
-
-def _write(rows: DataFrame, folder: str, pieces) -> None:
-    """``pieces(batches)`` yields (suffix, bytes); each partition appends them to its own files."""
-    os.makedirs(folder, exist_ok=True)
-
-    def run(batches):
-        name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}")
-        files = {}
-        try:
-            for suffix, data in pieces(batches):
-                if suffix not in files:
-                    files[suffix] = open(f"{name}{suffix}.{TaskContext.get().attemptNumber()}", "wb")  # noqa: SIM115
-                files[suffix].write(data)
-        finally:
-            for f in files.values():
-                f.close()
-        for suffix, f in files.items():
-            os.replace(f.name, name + suffix)  # a repeated task replaces its files whole
-        yield pa.RecordBatch.from_arrays([pa.array([len(files)])], ["n"])
-
-    rows.mapInArrow(run, "n long").agg(F.sum("n")).first()
-
-
-def write_vertex(edges: DataFrame, folder: str) -> None:
-    """Runs by source, in a folder that all executors see."""
-
-    def pieces(batches):
+            for head, body, size, whole in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                tail = head.rpartition("/")[2].removesuffix(".offsets").rpartition("-from")
+                first = int(tail[2]) if tail[1] else 0
+                nodes, rows, at = size // OFFSETS.itemsize + 1, [], 0
+                for start in range(0, nodes, CHUNK):
+                    n = min(CHUNK, nodes - start)
+                    ends = _whole(files.read_range(head, (start + n - 1) * OFFSETS.itemsize, OFFSETS.itemsize), OFFSETS)
+                    end = int(ends[0]) if start + n < nodes else whole
+                    if end > whole or end < at:
+                        raise ValueError(f"{body} ends before its last node")
+                    rows.append((head, body, start, n, at, end - at, first))
+                    at = end
+                kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in f"{CHUNKS}, first long".split(", ")])
+
+    def read(batches):
         for b in batches:
-            yield ".nodes", np.rec.fromarrays([b.column("src").to_numpy(), b.column("cnt").to_numpy()], dtype=NODES).tobytes()
-            yield ".edges", b.column("dsts").flatten().to_numpy().astype(EDGES).tobytes()
+            for head, body, start, n, at, size, first in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                # The chunk's nodes begin where the ones before them end.
+                ends = _whole(files.read_range(head, start * OFFSETS.itemsize, n * OFFSETS.itemsize), OFFSETS).astype(np.int64)
+                begins = np.concatenate([[at], ends[: n - 1]]) - at
+                gap, place = leb128_decode(np.frombuffer(files.read_range(body, at, size), np.uint8))
+                owner = np.searchsorted(begins, place, "right") - 1
+                total = np.cumsum(gap, dtype=np.uint64)
+                new = np.flatnonzero(np.diff(owner, prepend=-1))
+                before = np.repeat(total[new] - gap[new], np.diff(new, append=len(owner)))
+                yield from _edges(first + start + owner, total - before)
+
+    rows = files.spread(spark, found, "head string, body string, head_size long, body_size long", sum(h for _, _, h, _ in found))
+    chunks = rows.mapInArrow(located, f"{CHUNKS}, first long")
+    return files.spread(spark, chunks, CHUNKS, sum(b for *_, b in found)).mapInArrow(read, "src long, dst long")
+
+
+def _run_starts(*keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def write_vertex(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Runs by source, targets in order."""
+
+    def made(batches):
+        for b in batches:
+            src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
+            at = _run_starts(src)
+            yield ".nodes", np.rec.fromarrays([src[at], np.diff(at, append=len(src))], dtype=NODES).tobytes()
+            yield ".edges", dst.astype(EDGES).tobytes()
 
-    _write(adjacency(edges).sortWithinPartitions("src"), folder, pieces)
+    _ranged(edges.select("src", "dst"), "src", "dst", folder=folder, made=made, overwrite=overwrite)
 
 
-def write_tiles(edges: DataFrame, folder: str) -> None:
-    """Tiles in curve order, in a folder that all executors see."""
+def write_runs(edges: DataFrame, position: str, folder: str, overwrite: bool = False) -> None:
+    """Runs of equal sources in the order of ``position``, as in an unsorted file: a vertex may come again later."""
 
-    def pieces(batches):
+    def made(batches):
         for b in batches:
-            yield ".upper", np.rec.fromarrays([b.column(c).to_numpy() for c in ("ux", "uy", "cnt")], dtype=UPPER).tobytes()
-            low = b.column("lowers").flatten()
-            yield ".lower", np.rec.fromarrays([low.field(c).to_numpy() for c in ("lx", "ly")], dtype=LOWER).tobytes()
+            src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
+            at = _run_starts(src)
+            yield ".nodes", np.rec.fromarrays([src[at], np.diff(at, append=len(src))], dtype=NODES).tobytes()
+            yield ".edges", dst.astype(EDGES).tobytes()
 
-    _write(tiles(edges).repartitionByRange("tile").sortWithinPartitions("tile"), folder, pieces)
+    _ranged(edges.select("src", "dst", position), position, folder=folder, made=made, overwrite=overwrite)
 
 
-def write_delta(edges: DataFrame, folder: str) -> None:
-    """Distinct edges as delta files, by ranges of the curve; edge (0, 0) raises."""
-    codes = edges.select(hilbert_code("src", "dst").alias("code")).distinct()
-    key = sort_key(F.col("code"))
+def write_tiles(edges: DataFrame, folder: str, dense: bool = False, overwrite: bool = False) -> None:
+    """Tiles in curve order, edges in curve order inside; ``dense`` renames vertices by first appearance."""
+    if dense:
+        edges = layout.renamed(edges, layout.dense_names(edges))
 
-    def pieces(batches):
-        last = 0
+    def made(batches):
         for b in batches:
-            out = bytearray()
-            for c in b.column("code").to_numpy().view(np.uint64).tolist():
-                gap, last = c - last, c
-                if gap <= 0:
-                    raise ValueError("edge (0, 0) cannot be delta coded")
-                size = (gap.bit_length() + 7) // 8
-                out += bytes(size - 1) + gap.to_bytes(size, "big")
-            yield ".delta", bytes(out)
+            x, y = b.column("src").to_numpy(), b.column("dst").to_numpy()
+            at = _run_starts(x >> 16, y >> 16)
+            yield ".upper", np.rec.fromarrays([(x >> 16)[at], (y >> 16)[at], np.diff(at, append=len(x))], dtype=UPPER).tobytes()
+            yield ".lower", np.rec.fromarrays([x & 65535, y & 65535], dtype=LOWER).tobytes()
 
-    _write(codes.repartitionByRange(key).sortWithinPartitions(key), folder, pieces)
+    coded = edges.select("src", "dst", sort_key(hilbert_code("src", "dst")).alias("key"))
+    _ranged(coded, "key", folder=folder, made=made, overwrite=overwrite)
 
 
-def csr_payload(edges: DataFrame) -> DataFrame:
-    """``node, payload``: a node's gaps as LEB128 bytes."""
+def write_codes(codes: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Distinct codes as delta files, by ranges of the curve; code 0, edge (0, 0), raises."""
 
-    def packed(batches):
+    def made(batches):
+        last = np.uint64(0)
         for b in batches:
-            rows = [b"".join(map(leb128, g)) for g in b.column("gaps").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(rows, pa.binary())], ["node", "payload"])
+            code = b.column("code").to_numpy().view(np.uint64)
+            yield ".delta", delta_encode(np.diff(code, prepend=last))
+            last = code[-1] if len(code) else last
 
-    gaps = csr_gaps(edges).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("edge", "gap"))).alias("g"))
-    return gaps.select("node", F.transform("g", lambda x: x["gap"]).alias("gaps")).mapInArrow(packed, "node long, payload binary")
+    keyed = codes.select("code").distinct().withColumn("key", sort_key(F.col("code")))
+    _ranged(keyed, "key", folder=folder, made=made, overwrite=overwrite)
 
 
-def read(spark: SparkSession, fmt: str, path: str) -> DataFrame:
-    """Edges of ``path`` in any format: text, vertex, hilbert, compressed or parquet."""
+def write_delta(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Distinct edges as delta files; see ``write_codes``."""
+    write_codes(edges.select(hilbert_code("src", "dst").alias("code")), folder, overwrite)
+
+
+def merge_delta(spark: SparkSession, paths: list[str], folder: str, overwrite: bool = False) -> None:
+    """Several delta streams as one of distinct codes."""
+    write_codes(layout.together(*[read_codes(spark, p) for p in paths]), folder, overwrite)
+
+
+def write_csr(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Distinct edges as CSR pairs, by ranges of nodes; a part's name tells its first node."""
+
+    def made(batches):
+        first, node, edge, size, ends = None, 0, 0, 0, []
+        for b in batches:
+            src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
+            if not len(src):
+                continue
+            if first is None:
+                first = node = int(src[0])
+            same = np.concatenate([[src[0] == node], src[1:] == src[:-1]])
+            before = np.where(same, np.concatenate([[edge], dst[:-1]]), 0)
+            data, each = leb128(dst - before)
+            reach = size + np.concatenate([[0], np.cumsum(each)])
+            # A step to a later node ends all nodes from the last one up to it.
+            steps = np.diff(src, prepend=node)
+            yield f"-from{first}.offsets", np.repeat(reach[:-1], steps).astype(OFFSETS).tobytes()
+            yield f"-from{first}.payload", data
+            node, edge, size = int(src[-1]), int(dst[-1]), int(reach[-1])
+
+    # By node alone, so that a node's gaps lie in one part.
+    rows = edges.select("src", "dst").distinct().repartitionByRange("src").sortWithinPartitions("src", "dst")
+    files.write(rows, folder, made, overwrite)
+
+
+def _ranged(rows: DataFrame, *order: str, folder: str, made, overwrite: bool) -> None:
+    files.write(rows.repartitionByRange(*order).sortWithinPartitions(*order), folder, made, overwrite)
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
     from edgeflow.sources.text import read_text
 
-    readers = {"text": read_text, "vertex": read_vertex, "hilbert": read_tiles, "compressed": read_delta, "parquet": lambda s, p: s.read.parquet(p)}
-    if fmt not in readers:
-        raise ValueError(f"unknown format {fmt!r}: one of {', '.join(readers)}")
-    return readers[fmt](spark, path)
+    return read_text(spark, path)
+
+
+def _write_text(edges: DataFrame, path: str, overwrite: bool = False) -> None:
+    from edgeflow.sources.text import write_text
+
+    write_text(edges, path, overwrite)
+
+
+READERS = {"text": _text, "vertex": read_vertex, "hilbert": read_tiles, "compressed": read_delta, "csr": read_csr, "parquet": lambda s, p: s.read.parquet(p)}
+WRITERS = {
+    "text": _write_text, "vertex": write_vertex, "hilbert": write_tiles, "compressed": write_delta, "csr": write_csr,
+    "parquet": lambda e, p, overwrite=False: e.write.mode("overwrite" if overwrite else "error").parquet(p),
+}
+
+
+def _known(table: dict, fmt: str):
+    if fmt not in table:
+        raise ValueError(f"unknown format {fmt!r}: one of {', '.join(table)}")
+    return table[fmt]
+
+
+def read(spark: SparkSession, fmt: str, path: str) -> DataFrame:
+    """Edges of ``path`` in any format: text, vertex, hilbert, compressed, csr or parquet."""
+    return _known(READERS, fmt)(spark, path)
+
+
+def write(edges: DataFrame, fmt: str, path: str, **options) -> None:
+    """Edges to ``path`` in any format; ``overwrite`` replaces what is there, ``dense`` renames the vertices of tiles."""
+    _known(WRITERS, fmt)(edges, path, **options)
 
 
-def codes_of(x, y) -> np.ndarray:
-    """Codes of plain sequences, for tools and tests."""
-    return encode_array(np.asarray(x, np.uint64), np.asarray(y, np.uint64))
+def convert(spark: SparkSession, source: tuple[str, str], target: tuple[str, str], **options) -> None:
+    """From one (format, path) to another."""
+    write(read(spark, *source), *target, **options)

@@ -29,5 +29,5 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
 
 
-def write_text(edges: DataFrame, path: str) -> None:
-    edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
+def write_text(edges: DataFrame, path: str, overwrite: bool = False) -> None:
+    edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.mode("overwrite" if overwrite else "error").text(path)

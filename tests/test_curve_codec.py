@@ -62,8 +62,29 @@ def test_delta_round_trip(gaps):
             codec.delta_decode(data[:-1])
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 2**64 - 1), max_size=20), st.integers(1, 7))
+def test_delta_streams_in_pieces(gaps, size):
+    data = codec.delta_encode(np.array(gaps, np.uint64))
+    assert data == b"".join(bytes((g.bit_length() + 7) // 8 - 1) + g.to_bytes((g.bit_length() + 7) // 8, "big") for g in gaps)
+    stream = codec.DeltaStream()
+    assert [g for i in range(0, len(data), size) for g in stream.feed(data[i : i + size]).tolist()] == gaps
+    stream.close()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=20))
+def test_leb128_round_trip(values):
+    data, size = codec.leb128(np.array(values, np.uint64))
+    got, start = codec.leb128_decode(np.frombuffer(data, np.uint8))
+    assert got.tolist() == values and np.diff(start, append=len(data)).tolist() == size.tolist()
+    assert size.tolist() == [max(1, -(-v.bit_length() // 7)) for v in values]
+
+
 def test_leb128(spark):
-    assert b"".join(map(codec.leb128, [5, 295, 1])).hex() == "05a70201"
+    assert codec.leb128(np.array([5, 295, 1]))[0].hex() == "05a70201"
+    with pytest.raises(ValueError):
+        codec.leb128_decode(np.frombuffer(b"\x05\xa7", np.uint8))
     values = [0, 1, 127, 128, 16383, 16384, 2**40]
     got = spark.createDataFrame([(v,) for v in values], "g long").select(codec.leb128_length(F.col("g")).alias("n")).collect()
-    assert [r["n"] for r in got] == [len(codec.leb128(v)) for v in values]
+    assert [r["n"] for r in got] == codec.leb128(np.array(values))[1].tolist()

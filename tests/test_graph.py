@@ -1,8 +1,12 @@
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from edgeflow.functions import codec
+from edgeflow.operators import graph as graph_module
 from edgeflow.operators import layout
 from edgeflow.operators.graph import Graph
 from edgeflow.plans import catalogue, fixtures
@@ -83,26 +87,131 @@ def test_dense_names(spark):
     assert table(layout.renamed(g.edges, names), "src", "dst") == [(0, 1), (2, 0), (2, 2)]
 
 
-def test_csr(spark):
-    g = graph(spark, [(0, 5), (0, 300), (2, 1)])
-    assert [bytes(r["payload"]).hex() for r in binary.csr_payload(g.edges).orderBy("node").collect()] == ["05a702", "01"]
+def test_csr(spark, tmp_path):
+    g = graph(spark, [(0, 5), (0, 300), (2, 1), (0, 5)])
+    binary.write_csr(g.edges.coalesce(1), str(tmp_path / "c"))
+    names = sorted(p.name for p in (tmp_path / "c").iterdir() if p.suffix in (".offsets", ".payload"))
+    payload = b"".join((tmp_path / "c" / n).read_bytes() for n in names if n.endswith(".payload"))
+    assert payload.hex() == "05a70201"
     assert table(layout.csr_offsets(g.edges), "node", "end_byte") == [(0, 3), (1, 3)]
+    assert table(binary.read(spark, "csr", str(tmp_path / "c")), "src", "dst") == [(0, 5), (0, 300), (2, 1)]
+    # One pair without a first node in its name: entry k ends node k, the last node has none.
+    (tmp_path / "x.payload").write_bytes(bytes.fromhex("05a70201"))
+    (tmp_path / "x.offsets").write_bytes(np.array([3, 3], "<u8").tobytes())
+    assert table(binary.read_csr(spark, str(tmp_path / "x")), "src", "dst") == [(0, 5), (0, 300), (2, 1)]
 
 
 @pytest.mark.parametrize("times", [1, 286331])
 def test_formats_agree(spark, tmp_path, times):
     e = fixtures.graph(spark, SF, times=times).edges
     want = table(e, "src", "dst")
-    binary.write_vertex(e, str(tmp_path / "v"))
-    binary.write_tiles(e, str(tmp_path / "t"))
-    binary.write_delta(e, str(tmp_path / "d"))
-    text.write_text(e, str(tmp_path / "x"))
-    for fmt, path in (("vertex", "v"), ("hilbert", "t"), ("text", "x")):
-        assert table(binary.read(spark, fmt, str(tmp_path / path)), "src", "dst") == want
-    assert table(binary.read(spark, "compressed", str(tmp_path / "d")), "src", "dst") == sorted(set(want))
+    for fmt in binary.WRITERS:
+        binary.write(e, fmt, str(tmp_path / fmt))
+        got = table(binary.read(spark, fmt, str(tmp_path / fmt)), "src", "dst")
+        assert got == (sorted(set(want)) if fmt in ("compressed", "csr") else want), fmt
     assert table(layout.undelta(layout.deltas(layout.coded(e))), "src", "dst") == sorted(set(want))
-    with pytest.raises(ValueError):
-        binary.read(spark, "other", "x")
+    for f in (binary.read, binary.write):
+        with pytest.raises(ValueError, match="unknown format"):
+            f(spark, "other", "x")
+
+
+def test_small_chunks(spark, tmp_path, monkeypatch):
+    """Heads in chunks of two records and bodies three edges at a time give the same edges."""
+    e = fixtures.graph(spark, SF, "g3").edges.union(spark.range(50).selectExpr("7L AS src", "id AS dst"))
+    want = table(e, "src", "dst")
+    for fmt in ("vertex", "hilbert", "csr"):
+        binary.write(e, fmt, str(tmp_path / fmt))
+        with monkeypatch.context() as m:
+            m.setattr(binary, "CHUNK", 2)
+            m.setattr(binary, "BATCH", 3)
+            got = table(binary.read(spark, fmt, str(tmp_path / fmt)), "src", "dst")
+        assert got == (sorted(set(want)) if fmt == "csr" else want), fmt
+
+
+@pytest.mark.parametrize("fmt,suffix", [("vertex", ".edges"), ("vertex", ".nodes"), ("hilbert", ".lower"), ("csr", ".payload")])
+def test_a_lost_file_raises(spark, tmp_path, fmt, suffix):
+    binary.write(graph(spark, [(1, 2), (3, 4)]).edges, fmt, str(tmp_path / "g"))
+    next(p for p in (tmp_path / "g").iterdir() if p.name.endswith(suffix) and not p.name.startswith(".")).unlink()
+    with pytest.raises(FileNotFoundError, match="only one of"):
+        binary.read(spark, fmt, str(tmp_path / "g"))
+
+
+def test_a_short_file_raises(spark, tmp_path):
+    (tmp_path / "g.nodes").write_bytes(np.array([(1, 3)], binary.NODES).tobytes())
+    (tmp_path / "g.edges").write_bytes(np.array([5, 6], "<u4").tobytes())
+    with pytest.raises(Exception, match="ends before its last run"):
+        binary.read_vertex(spark, str(tmp_path / "g")).collect()
+    (tmp_path / "g.edges").write_bytes(np.array([5, 6, 7], "<u4").tobytes())
+    assert table(binary.read_vertex(spark, str(tmp_path / "g")), "src", "dst") == [(1, 5), (1, 6), (1, 7)]
+
+
+def test_missing_paths_raise(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/other.txt").write_text("x")
+    for fmt in ("vertex", "hilbert", "csr", "compressed"):
+        for path in ("nothing", "d"):
+            with pytest.raises(FileNotFoundError):
+                binary.read(spark, fmt, str(tmp_path / path))
+
+
+def test_delta_streams(spark, tmp_path):
+    """A stream at its literal path; a code that does not increase, and an end inside a value."""
+    codes = [3, 7, 8, 20, 31, 53]
+    data = codec.delta_encode(np.diff(np.array(codes, np.uint64), prepend=np.uint64(0)))
+    (tmp_path / "stream").write_bytes(data)
+    assert sorted(r["code"] for r in binary.read_codes(spark, str(tmp_path / "stream")).collect()) == codes
+    assert table(binary.read(spark, "compressed", str(tmp_path / "stream")), "src", "dst") == table(layout.points(spark.createDataFrame([(c,) for c in codes], "code long")), "src", "dst")
+    (tmp_path / "stream").write_bytes(data + b"\0\1")
+    with pytest.raises(Exception, match="ends inside a value"):
+        binary.read_codes(spark, str(tmp_path / "stream")).collect()
+    huge = codec.delta_encode(np.array([5, 2**64 - 3], np.uint64))  # comes to 2 after 5
+    (tmp_path / "stream").write_bytes(huge)
+    with pytest.raises(Exception, match="do not increase"):
+        binary.read_codes(spark, str(tmp_path / "stream")).collect()
+    assert [r["code"] for r in binary.read_codes(spark, str(tmp_path / "stream"), strict=False).collect()] == [5, 2]
+    with pytest.raises(Exception, match="cannot be delta coded"):
+        binary.write_delta(graph(spark, [(0, 0)]).edges, str(tmp_path / "z"))
+
+
+def test_writers_leave_no_earlier_part(spark, tmp_path):
+    for fmt in ("vertex", "hilbert", "compressed", "csr", "text"):
+        path = str(tmp_path / fmt)
+        binary.write(fixtures.graph(spark, SF).edges, fmt, path)
+        with pytest.raises(Exception, match="(?i)exists"):
+            binary.write(graph(spark, [(1, 2)]).edges, fmt, path)
+        binary.write(graph(spark, [(1, 2)]).edges, fmt, path, overwrite=True)
+        assert table(binary.read(spark, fmt, path), "src", "dst") == [(1, 2)]
+        if fmt != "text":
+            binary.write(graph(spark, []).edges, fmt, path, overwrite=True)
+            assert binary.read(spark, fmt, path).count() == 0
+
+
+def test_runs_of_an_unsorted_file(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 5, 1), (1, 3, 2), (2, 5, 4)], "p long, src long, dst long")
+    binary.write_runs(rows.coalesce(1), "p", str(tmp_path / "r"))
+    heads = b"".join(p.read_bytes() for p in sorted((tmp_path / "r").glob("part-*.nodes")))
+    assert np.frombuffer(heads, binary.NODES)["src"].tolist() == [5, 3, 5]
+    assert table(binary.read_vertex(spark, str(tmp_path / "r")), "src", "dst") == [(3, 2), (5, 1), (5, 4)]
+
+
+def test_hubs(spark):
+    """A source with most edges is dealt over several keys and rows, with the same results."""
+    pairs = [(0, i) for i in range(1, 200)] + [(i, 0) for i in range(1, 50)] + [(3, 4), (4, 5)]
+    g = graph(spark, pairs, 200)
+    plain, salted = (dict(tuple(r) for r in g.pagerank(heavy_from=h).collect()) for h in (10**6, 20))
+    assert plain == pytest.approx(salted)
+    runs = layout.adjacency(g.edges, longest=16).collect()
+    assert max(r["cnt"] for r in runs) <= 16 and sorted((r["src"], d) for r in runs for d in r["dsts"]) == sorted(pairs)
+    rows = layout.tiles(g.edges, longest=16)
+    assert rows.agg(F.max("cnt")).first()[0] <= 16 and table(layout.untile(rows), "src", "dst") == sorted(pairs)
+
+
+def test_long_searches(spark, monkeypatch):
+    """A path longer than the tables that are kept apart."""
+    monkeypatch.setattr(graph_module, "TABLES", 3)
+    n = 30
+    g = graph(spark, [(i, i + 1) for i in range(n)] + [(40, 41)], 42)
+    assert dict(tuple(r) for r in g.bfs().collect()) == {i: i if i <= n else None for i in range(42)}
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -136,7 +245,7 @@ def test_stream(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "part"):
+    for t in ("lineitem", "orders", "part", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalogue.QUERIES[name](spark, SF)
     cur = con.execute(catalogue.SQL[name])
