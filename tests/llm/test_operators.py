@@ -10,9 +10,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from edgeflow.llm import chat, ctw, language, mixing, packing, queries, simhash, suffix, tokencount, vectors
 from edgeflow.llm.text import words
+from edgeflow.llm.tokens import word_ids
 
 SF = "/root/testdata/sf0.001"
 rng = np.random.default_rng(3)
@@ -205,6 +205,26 @@ def test_packing_pads_little(spark):
     assert 1 - total / (2048 * sequences) < 0.01
 
 
+def test_ids_are_the_tokenizers(tokenizer):
+    """Latin-1, Turkish capitals, combining marks, controls and punctuation, alone and together."""
+    coder = word_ids(queries.vocabulary("word_bpe_49k.json"))
+    kinds = ["aBzZ", "éÀßµªºñÿ", "İıŞĞ", "e\u0301o\u0308", "\x00\x1f\u200b\ufeff", ".,;!'-", "0189", "中文カ", "Ωж", "😀", "\u00a0\u2003 \n\t"]
+    r = np.random.default_rng(4)
+    for n in range(20_000):
+        chosen = r.choice(len(kinds), int(r.integers(1, 4)))
+        t = "".join(kinds[k][int(r.integers(len(kinds[k])))] for k in r.choice(chosen, int(r.integers(1, 9))))
+        t += ["", ".", ",", "..", ".,"][n % 5]
+        assert coder.ids(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(20,0)"])
+def test_packing_ids_of_any_type(spark, kind):
+    big = "12345678901234567" if kind == "decimal(20,0)" else "123"
+    d = spark.createDataFrame([(big, "one two"), (None, "three"), ("7", None)], "i string, text string").select(F.col("i").cast(kind).alias("doc_id"), "text")
+    got = packing.pack(d, queries.vocabulary("word_bpe_49k.json"), size=4)
+    assert {None if r[0] is None else str(r[0]) for r in got.select("doc_id").collect()} == {big, None, "7"} and dict(got.dtypes)["doc_id"] == kind
+
+
 # 3 language
 
 
@@ -301,6 +321,18 @@ def test_near_links(spark, monkeypatch):
     assert vectors.near_links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [0.98, 0.985, 0.99, 0.999])
+def test_near_links_recall(cosine):
+    """Pairs at this cosine in the table's 64 dimensions share a bucket of one of the tables."""
+    r = np.random.default_rng(6)
+    a = vectors.units(r.standard_normal((20_000, 64)))
+    other = r.standard_normal(a.shape)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    b = cosine * a + math.sqrt(1 - cosine * cosine) * vectors.units(other)
+    lattice = vectors.Lattice(32, 12, 1.5)
+    assert (lattice.keys(a) == lattice.keys(vectors.units(b))).any(axis=1).mean() >= 0.999
+
+
 @pytest.mark.parametrize("bucket,queries_", [(4096, 512), (7, 3), (1, 1)])
 def test_top_products(spark, bucket, queries_):
     r = np.random.default_rng(8)
@@ -519,20 +551,3 @@ def test_longest_previous():
     for i in range(len(text)):
         best = max((k for j in range(i) for k in range(len(text) - i + 1) if text[j : j + k] == text[i : i + k]), default=0)
         assert min(got[i], len(text) - i) == best
-
-
-# The pipeline
-
-
-def test_pipeline(spark, tokenizer):
-    docs = queries.table(spark, SF, "documents")
-    first, kept = docs, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == first.columns, name
-        kept.append({r[0] for r in docs.select("doc_id").collect()})
-    assert len(kept[0]) == 200 and kept[1] < kept[0] and kept[2] <= kept[1] and kept[3] <= kept[2]
-    texts = [r[0] for r in docs.select("text").collect()]
-    total = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
-    ran = corpus_pipeline.run(spark, SF)
-    assert ran.agg(F.sum("length")).first()[0] == total
