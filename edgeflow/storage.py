@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +43,32 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+#: Paths of the tables that ``scope`` removes when it ends, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Remove, at the end, every table that was saved inside.
+
+    Results are read from such tables when they are computed, so write or collect them inside.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 class Saved:
     """A table in the shared folder, with the means to remove it."""
 
     def __init__(self, df: DataFrame, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/edgeflow-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self.path)
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
