@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeflow.llm import stages
-from edgeflow.storage import shared_dir
+from edgeflow.storage import release, remove, scope, shared_dir
 
 STAGES = [
     ("language", stages.known_language),
@@ -22,16 +22,24 @@ STAGES = [
     ("packing", stages.packed),
 ]
 
-#: SQL cannot express the fitted language model nor the tokenizer; tests compare with brute force.
+#: SQL cannot express the fitted language model nor the tokenizer; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each stage's table is written to the shared folder."""
+    """Apply the stages to ``documents``; each stage's table is written to the shared folder.
+
+    What a stage saved on its way goes once its table is written, and that table once the next is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{re.sub('[^a-z]', '', name)}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark)
         docs = spark.read.parquet(path)
+        if i:
+            remove(spark, before)
+        before = path
     return docs

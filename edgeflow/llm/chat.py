@@ -67,7 +67,9 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
     A turn is rendered as opening mark, role, line feed, text, closing mark; null roles and
     texts as empty.  Rows of null ``conv_id`` are one conversation.  Repeated turns are turns.
-    An empty table gives no rows.  Other columns are ignored.
+    Very long texts and conversations are hashed and rendered whole.  Turns without a number
+    are one group of a conversation, to be sorted together.  An empty table gives no rows.
+    Other columns are ignored.
     """
     rolled = save(prefixes(turns, conv_id, turn, role, text))
     kept = maximal(rolled)

@@ -29,6 +29,8 @@ LEAST = 1e-6
 #: Probabilities are scaled so per character, to stay clear of underflow.
 SCALE = 1e4
 CACHE = 4_500_000
+#: Labels that may be languages, at most: a row for each goes to all tasks.
+LANGUAGES = 1000
 #: A worker's word scores under the model it used last.
 _SCORED: dict = {}
 
@@ -214,18 +216,24 @@ class Languages:
 
 
 def fit(labelled: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 10_000, rounds: int = 3) -> Languages:
-    """Fit on ``sample_rows`` rows with a language, or all if fewer: those whose hash lies below that share.
+    """Fit on ``sample_rows`` rows with a language at most, evenly from each language: those whose hash lies below its share.
 
-    The share follows from a count, so the sample is bounded in the mean, whatever the input.  Rows of null language teach nothing; null texts only count as documents of their language.
+    Languages and their priors come from a count over all rows.  The shares follow from it, so
+    the sample is bounded in the mean, whatever the input, and a language of few rows is
+    learned from all of them.  More than ``LANGUAGES`` languages raise.  Rows of null language
+    teach nothing; null texts only count as documents of their language.
     """
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    bounded = Saved(rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))))
-    share = dict(bounded.df.groupBy("lang").count().collect())
+    share = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(share) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     names = sorted(share)
     _, n, _ = vocabulary(path)
     if not names:
         return Languages([], np.zeros((n, 0)), np.zeros(0), path)
+    most = [(x, int(min(1.0, sample_rows / len(names) / share[x]) * (1 << 32))) for x in names]
+    below = labelled.sparkSession.createDataFrame(most, f"lang {rows.schema['lang'].dataType.simpleString()}, below long")
+    bounded = Saved(rows.join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < F.col("below")).drop("below"))
     column = {x: i for i, x in enumerate(names)}
 
     def counted(batches):
@@ -281,8 +289,9 @@ def identify(
     """Fit on the rows outside the held-out fold and predict every row: ``keys``, ``held_out``, ``lang_pred``, ``score``.
 
     The held-out fold has ``crc32(doc_id as text) mod folds = 0``; a null id is not held out.
-    Repeated rows are rows; an empty table gives no rows; other columns are ignored unless in
-    ``keys``.
+    ``und`` and 0 where a text is null or has no letter; of equally likely languages the first
+    by name is taken; a very long text is scored whole.  Repeated rows are rows and score
+    alike; an empty table gives no rows; other columns are ignored unless in ``keys``.
     """
     out = F.coalesce(fold(doc_id, folds) == 0, F.lit(False))
     model = fit(docs.where(~out), path, doc_id, text, lang, sample_rows)

@@ -144,6 +144,7 @@ def near_duplicates(
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most ``radius``
     differing bits, the row itself included.  Null and empty texts have fingerprint 0 and link like any other;
+    a very long text is fingerprinted whole, some shingles at a time;
     with ``similarity`` (then ``keep`` must hold a digest ``__d``) rows link by the likeness of their five-word shingle sets, too;
     null ids never become a component's id unless the whole component has none; repeated
     rows stay rows.  An empty table gives an empty result.  Other columns are ignored.

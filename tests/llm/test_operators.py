@@ -242,6 +242,16 @@ def test_language(spark, docs, nothing):
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
 
 
+def test_rare_languages_are_learned(spark):
+    """A language of a few rows among many has its place, whatever the sample's size."""
+    path = queries.vocabulary("piece_bpe_32k.model")
+    many = [(i, f"the cat sat on the mat {i}", "en") for i in range(3000)] + [(3000 + i, f"żółw gęś łódź {i}", "pl") for i in range(3)]
+    model = language.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"), path, sample_rows=200)
+    assert model.names == ["en", "pl"] and model.prior.tolist() == pytest.approx([3000 / 3003, 3 / 3003])
+    got = model.predict(spark.createDataFrame([(1, "gęś łódź żółw"), (2, "the mat")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["pl", "en"]
+
+
 def test_forward_sums_all_segmentations():
     path = queries.vocabulary("piece_bpe_32k.model")
     index, n, _ = language.vocabulary(path)
@@ -374,6 +384,7 @@ def test_chat(spark):
     t = [
         (1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 5, "user", "a"), (4, 0, "user", "a"), (4, 9, "bot", "b"), (4, 5000, "user", "c"),
         (5, None, None, None), (5, 1, "user", ""), (6, None, None, None), (None, 0, "user", "z"), (None, 0, "user", "z"), (7, 0, "user", "z"), (8, 0, "user", "ab"),
+        (9, 0, "user", LONG), (9, 1, "bot", LONG), (10, 0, "user", LONG),
     ]
     df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit("x"))
     con = duckdb.connect()
@@ -382,7 +393,7 @@ def test_chat(spark):
     cur = con.execute(chat.ORACLE_SQL)
     names = [c[0] for c in cur.description]
     want = sorted(map(tuple, cur.fetchall()), key=repr)
-    assert rows(chat.format_chats(df), *names) == want and {r[0] for r in want} == {2, 5, 8, None}
+    assert rows(chat.format_chats(df), *names) == want and {r[0] for r in want} == {2, 5, 8, 9, None}
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
