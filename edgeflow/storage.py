@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +56,7 @@ def scope(spark: SparkSession):
     """
     _scopes.append([])
     try:
-        yield
+        yield _scopes[-1]
     finally:
         for path in _scopes.pop():
             remove(spark, path)
@@ -81,6 +82,21 @@ def save(df: DataFrame) -> DataFrame:
     return Saved(df).df
 
 
+def settled(operator):
+    """An operator over a table whose result is saved, and whose other tables then go."""
+
+    @wraps(operator)
+    def run(rows: DataFrame, *args, **options) -> DataFrame:
+        with scope(rows.sparkSession) as inside:
+            out = Saved(operator(rows, *args, **options))
+            inside.remove(out.path)
+        if _scopes:
+            _scopes[-1].append(out.path)
+        return out.df
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more.
 
