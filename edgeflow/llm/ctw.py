@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from edgeflow.llm.language import fold
 from edgeflow.llm.text import utf8, words
-from edgeflow.storage import Saved, release, save
+from edgeflow.storage import Saved, release, save, settled
 
 DEPTH = 6
 TOP_ROWS = 1_000_000
@@ -368,6 +368,7 @@ def _scores(split: int, shards: int, end_n: int, total: int, distinct: int):
     return given, "held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+@settled
 def score(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import batch_rows, slices
+from edgeflow.llm.text import batch_rows
 from edgeflow.storage import Saved, save
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -185,7 +185,7 @@ class Languages:
                 _SCORED.clear()
                 _SCORED.update(model=model, known={}, table=np.empty((1 << 16, max(1, len(names)))))
             known, table = _SCORED["known"], _SCORED["table"]
-            for b in slices(batches):
+            for b in batches:
                 texts = [words(t) for t in b.column(b.num_columns - 1).to_pylist()] if names else [[]] * b.num_rows
                 if len(known) * table.shape[1] > CACHE:
                     known.clear()
@@ -212,7 +212,8 @@ class Languages:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string()), pa.array(score, pa.float64())], [*keys, "lang_pred", "score"])
 
         schema = docs.select(*keys).schema.add("lang_pred", "string").add("score", "double")
-        return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, schema)
+        with batch_rows(docs.sparkSession):
+            return save(docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, schema))
 
 
 def fit(labelled: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 10_000, rounds: int = 3) -> Languages:
@@ -238,7 +239,7 @@ def fit(labelled: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def counted(batches):
         seen = Counter()
-        for b in slices(batches):
+        for b in batches:
             for x, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 seen.update((column[x], w) for w in words(t))
             if len(seen) > 300_000:
@@ -253,7 +254,8 @@ def fit(labelled: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     spread = bounded.df.select("lang", "text").repartition(max(8, labelled.sparkSession.sparkContext.defaultParallelism))
     pairs = spread.mapInArrow(counted, "word string, lang long, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    table = Saved(pairs)
+    with batch_rows(labelled.sparkSession):
+        table = Saved(pairs)
     p = np.full((n, len(names)), 1.0 / n)
     for _ in range(rounds):
         p = _refit(table.df, p, path)

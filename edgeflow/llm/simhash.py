@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from edgeflow.llm.text import slices, utf8, words
+from edgeflow.llm.text import batch_rows, utf8, words
 from edgeflow.operators.components import star_contraction
-from edgeflow.storage import Saved, release, save
+from edgeflow.storage import Saved, release, save, settled
 
 SEED = 42
 TILE = 2048
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text: str, keys: list[str], shingle: int = 3)
     fields = docs.select(*keys).schema
 
     def each(batches):
-        for b in slices(batches):
+        for b in batches:
             texts = utf8(b.column(b.num_columns - 1))
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*keys, "fp"])
@@ -136,6 +136,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.mapInArrow(_compare(radius), "src long, dst long")
 
 
+@settled
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, keep: tuple[str, ...] = (),
     similarity: float | None = None,
@@ -151,15 +152,16 @@ def near_duplicates(
     """
     cols = [F.col(doc_id).alias("__id"), *keep, F.col(text).alias("__t")]
     names = ["__id", *keep]
-    if similarity is None:
-        rows = save(fingerprints(docs.select(*cols), "__t", names, shingle))
-    else:
-        rows = save(_sets(docs.select(*cols), "__t", names, similarity, shingle))
-    distinct = save(rows.groupBy("fp").agg(F.min("__id").alias("low")))
-    joined = links(distinct, radius)
-    if similarity is not None:
-        joined = joined.union(similar_links(docs.select(F.col(doc_id).alias("__id"), *keep, text), rows, text, similarity))
-    found = star_contraction(joined)
+    with batch_rows(docs.sparkSession):
+        if similarity is None:
+            rows = save(fingerprints(docs.select(*cols), "__t", names, shingle))
+        else:
+            rows = save(_sets(docs.select(*cols), "__t", names, similarity, shingle))
+        distinct = save(rows.groupBy("fp").agg(F.min("__id").alias("low")))
+        joined = links(distinct, radius)
+        if similarity is not None:
+            joined = joined.union(similar_links(docs.select(F.col(doc_id).alias("__id"), *keep, text), rows, text, similarity))
+        found = star_contraction(joined)
     rooted = distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("comp", "fp").alias("root")
     )
@@ -197,7 +199,7 @@ def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingl
     sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def each_sampled(batches):
-        for b in slices(batches):
+        for b in batches:
             found = np.concatenate([np.empty(0, np.uint64), *(shingle_set(t) for t in utf8(b.column(0)))])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
@@ -205,7 +207,7 @@ def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingl
     common = np.array([r[0] for r in often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
 
     def each(batches):
-        for b in slices(batches):
+        for b in batches:
             texts = utf8(b.column(b.num_columns - 1))
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             sets = [shingle_set(t) for t in texts]
@@ -222,7 +224,7 @@ def _alike(similarity: float):
     """Pairs of sets whose exact likeness is ``similarity`` or more."""
 
     def each(batches):
-        for b in slices(batches):
+        for b in batches:
             hold = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("ha"), b.column("hb"), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -237,7 +239,7 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, text: str, si
     """Those of the saved pairs ``a, b`` of sets that are alike, by the sets of their texts."""
 
     def each(batches):
-        for b in slices(batches):
+        for b in batches:
             sets = pa.array([shingle_set(t).tobytes() for t in utf8(b.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], ["sid", "h"])
 

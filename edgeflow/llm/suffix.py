@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeflow.llm.text import slices, utf8
-from edgeflow.storage import Saved, release, save
+from edgeflow.llm.text import batch_rows, utf8
+from edgeflow.storage import Saved, release, save, settled
 
 #: Different stretches of one anchor that share a suffix array.
 GROUP = 512
@@ -203,7 +203,7 @@ def _cut(least: int, owner: list[str], types: str):
     """Stretches at given runs: rows of ``owner`` columns, the text and a list of (start, n, anchor)."""
 
     def each(batches):
-        for b in slices(batches):
+        for b in batches:
             rows = []
             for *keys, t, runs in zip(*(b.column(i).to_pylist() for i in range(len(owner))), utf8(b.column(len(owner))), b.column(len(owner) + 1).to_pylist(), strict=True):
                 for r in runs:
@@ -253,7 +253,7 @@ def _finer(stretches: DataFrame, least: int, level: int) -> DataFrame:
     k = max(1, int(least * FINER[level]))
 
     def runs(batches):
-        for b in slices(batches):
+        for b in batches:
             texts = b.column("data").to_pylist()
             doc, start, n, anchor = anchors(texts, least, k)
             rows = []
@@ -302,20 +302,9 @@ def _whole(spans: list[tuple[int, int]], t: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 400, keep: str = "first", columns: list[str] | None = None, characters: bool = False,
-    least_words: int = 0,
-) -> DataFrame:
-    """``columns`` (the id by default), ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (the other bytes).
-
-    With ``keep="first"`` the first copy of a repeated string stays, in the order of
-    ``doc_id`` (null last), text digests and position; with ``keep="none"`` every copy goes.
-    Texts are UTF-8 bytes, null is empty; strings never cross documents; texts shorter than
-    ``least`` bytes pass whole.  With ``characters`` a span takes along the whole of any
-    character it cuts, so that what is kept is UTF-8; with ``least_words`` a span of fewer words
-    stays.  Very long texts are searched whole, a piece at a time.  Rows equal in id and text share their result.
-    Columns of the added ones' names give way to them.  An empty table gives no rows.
-    """
+@settled
+def _remove_repeats(docs: DataFrame, doc_id: str, text: str, least: int, keep: str, columns: list[str] | None, characters: bool, least_words: int) -> DataFrame:
+    """See ``remove_repeats``."""
     spark = docs.sparkSession
     columns = [c for c in ([doc_id] if columns is None else columns) if c not in ("n_bytes", "spans", "kept")]
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -326,7 +315,7 @@ def remove_repeats(
     k, names = max(1, int(least * FINER[0])), list(key)
 
     def anchored(batches):
-        for b in slices(batches):
+        for b in batches:
             doc, start, n, h = anchors(utf8(b.column(3)), least, k)
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(start), pa.array(n), pa.array(h.view(np.int64))], [*names, "start", "n", "anchor"])
@@ -357,7 +346,7 @@ def remove_repeats(
     joined = a.join(b, same, "left").select(*[f"a.{c}" for c in columns], "a.__text", "b.parts")
 
     def kept(batches):
-        for b in slices(batches):
+        for b in batches:
             size, spans, rest = [], [], []
             for t, p in zip(utf8(b.column(b.num_columns - 2)), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 gone = _spans(p, least) if p else []
@@ -374,3 +363,21 @@ def remove_repeats(
 
     out = docs.select(*columns).schema.add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
     return joined.mapInArrow(kept, out)
+
+
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 400, keep: str = "first", columns: list[str] | None = None, characters: bool = False,
+    least_words: int = 0,
+) -> DataFrame:
+    """``columns`` (the id by default), ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (the other bytes).
+
+    With ``keep="first"`` the first copy of a repeated string stays, in the order of
+    ``doc_id`` (null last), text digests and position; with ``keep="none"`` every copy goes.
+    Texts are UTF-8 bytes, null is empty; strings never cross documents; texts shorter than
+    ``least`` bytes pass whole.  With ``characters`` a span takes along the whole of any
+    character it cuts, so that what is kept is UTF-8; with ``least_words`` a span of fewer words
+    stays.  Very long texts are searched whole, a piece at a time.  Rows equal in id and text share their result.
+    Columns of the added ones' names give way to them.  An empty table gives no rows.
+    """
+    with batch_rows(docs.sparkSession):
+        return _remove_repeats(docs, doc_id, text, least, keep, columns, characters, least_words)

@@ -22,14 +22,6 @@ BATCH_ROWS = 512
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
-def slices(batches, rows: int = BATCH_ROWS):
-    """The batches' rows, so many at a time: for results that are computed after the call that plans them,
-    when the session's own settings hold.  Spark's own bound on a batch's bytes bounds the rest."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 @contextmanager
 def batch_rows(spark, rows: int = BATCH_ROWS):
     """So many rows at a time to Python workers, for what is computed inside; then the session's own settings again."""

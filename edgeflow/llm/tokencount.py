@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from edgeflow.llm.text import batch_rows
 from edgeflow.llm.tokens import word_ids
-from edgeflow.storage import Saved, remove, shared_dir
+from edgeflow.storage import Saved, remove, settled, shared_dir
 
 #: Tokens of a block.
 BLOCK = 1 << 20
@@ -102,6 +102,7 @@ def stitch(blocks: DataFrame) -> DataFrame:
     return whole.union(rest)
 
 
+@settled
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 64 << 20) -> DataFrame:
     """``doc_id, n_tokens`` of every document, by way of flat files in the shared folder.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edgeflow.llm.text import batch_rows
 from edgeflow.operators.components import star_contraction
 from edgeflow.operators.ordered import in_order, with_running
-from edgeflow.storage import save
+from edgeflow.storage import save, settled
 
 #: Vectors in a block that one comparison holds; bounds memory, not results.
 BLOCK = 1024
@@ -61,6 +61,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+@settled
 def near_links(
     rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
     least: float = 0.98, tables: int = 32, hashes: int = 12, width: float = 1.5,
@@ -251,6 +252,7 @@ def _best(qs: pa.StructArray, floor: list, cs: pa.StructArray, k: int, coordinat
                 yield r, (at[j], score[j])
 
 
+@settled
 def top_products(
     rows: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5,
     scale: float = 256.0, bucket: int = 4096, queries: int = 512, coordinate_from: float = 0.9,

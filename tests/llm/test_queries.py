@@ -237,4 +237,22 @@ def test_settings_stay(spark, tables):
     before = [spark.conf.get(k) for k in keys]
     queries.op4_token_counts(spark, folder).count()
     queries.op10_simhash(spark, folder).count()
+    queries.op1_suffix_dedup(spark, folder).count()
     assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_tables_go(spark, tables):
+    """A settled operator leaves its result alone in the shared folder; a scope leaves nothing."""
+    import os
+
+    from edgeflow.storage import scope, shared_dir
+
+    folder, _ = tables
+    at = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(at))
+    assert queries.op5_embedding_dedup(spark, folder).count() == 240
+    assert len(set(os.listdir(at)) - before) == 1
+    before = set(os.listdir(at))
+    with scope(spark):
+        assert queries.op10_simhash(spark, folder).count() > 0
+    assert set(os.listdir(at)) == before
