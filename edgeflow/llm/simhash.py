@@ -156,11 +156,17 @@ def near_duplicates(
         if similarity is None:
             rows = save(fingerprints(docs.select(*cols), "__t", names, shingle))
         else:
-            rows = save(_sets(docs.select(*cols), "__t", names, similarity, shingle))
+            wide = Saved(_sets(docs.select(*cols), "__t", names, similarity, shingle))
+            # One row of each set keeps its prefix; the documents go on without.
+            first = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), "fp", "n", "prefix")
+            kinds = Saved(wide.df.groupBy("sid").agg(F.min(first).alias("p")).select("sid", "p.*"))
+            rows = save(wide.df.drop("prefix", "n"))
+            wide.drop()
+            release(docs.sparkSession)
         distinct = save(rows.groupBy("fp").agg(F.min("__id").alias("low")))
         joined = links(distinct, radius)
         if similarity is not None:
-            joined = joined.union(similar_links(docs.select(F.col(doc_id).alias("__id"), *keep, text), rows, text, similarity))
+            joined = joined.union(similar_links(docs.select(F.col(doc_id).alias("__id"), *keep, text), rows, kinds, text, similarity))
         found = star_contraction(joined)
     rooted = distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("comp", "fp").alias("root")
@@ -257,20 +263,22 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, text: str, si
     return out
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, text: str, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, similarity: float) -> DataFrame:
     """Links ``src, dst`` of fingerprints that join what is connected by sharing ``similarity`` of the five-word shingles.
 
     Exact: sets as alike as that share a shingle of their prefixes, and more of them the less
     their remainders can make up for; each pair proposed so is checked on the whole sets.
     Sets are first compared with the lowest that shares a prefix shingle; then only pairs
     which those links leave apart, so that a group of copies is not compared with itself.
-    ``rows`` holds ``__id, __d, fp, sid, n, prefix`` of each document.
+    ``rows`` holds ``__id, __d, fp, sid`` of each document; ``wide``, which goes, ``sid, id, d, fp, n, prefix`` of each set.
     """
-    first = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), "fp", "n", "prefix")
-    kinds = Saved(rows.groupBy("sid").agg(F.min(first).alias("p")).select("sid", "p.*"))
-    tokens = kinds.df.select("sid", "n", F.explode("prefix").alias("h"))
+    tokens = wide.df.select("sid", "n", F.explode("prefix").alias("h"))
+    often = Saved(tokens.groupBy("h").count().where("count > 1").select("h"))
     release(docs.sparkSession)
-    shared = Saved(tokens.join(tokens.groupBy("h").count().where("count > 1").select("h"), "h"))
+    shared = Saved(tokens.join(often.df, "h"))
+    kinds = Saved(wide.df.drop("prefix"))
+    often.drop()
+    wide.drop()
     release(docs.sparkSession)
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -289,6 +297,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, text: str, similarity: float
     comp = shared.df.join(joined, "sid", "left").select("sid", "n", "h", F.coalesce("comp", "sid").alias("comp"))
     apart = Saved(comp)
     shared.drop()
+    pairs.drop()
     release(docs.sparkSession)
     several = apart.df.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     left = apart.df.join(several, "h")
@@ -301,7 +310,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, text: str, similarity: float
     links = links.join(fp.select(F.col("sid").alias("a"), F.col("fp").alias("src")), "a").join(fp.select(F.col("sid").alias("b"), F.col("fp").alias("dst")), "b")
     equal = rows.select("sid", F.col("fp").alias("src")).join(fp.withColumnRenamed("fp", "dst"), "sid").where("src <> dst")
     out = save(links.select("src", "dst").union(equal.select("src", "dst")).where("src <> dst").distinct())
-    for t in (kinds, pairs, rest):
+    for t in (kinds, rest):
         t.drop()
     return out
 
