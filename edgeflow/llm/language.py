@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.llm.text import BATCH_ROWS, batch_rows
+from edgeflow.llm.text import batch_rows
 from edgeflow.storage import Saved, save
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -171,11 +171,10 @@ class Languages:
         self.key = uuid.uuid4().hex
         self.names, self.p, self.prior, self.path = names, p, prior, path
 
-    def predict(self, docs: DataFrame, text: str = "text", keys: list[str] | None = None, saved: bool = True) -> DataFrame:
+    def predict(self, docs: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
         """``keys`` (all columns by default), ``lang_pred`` and ``score``, the posterior of the prediction.
 
-        With ``saved`` the result is computed at once, in small batches, and saved; without, when it
-        is used, in batches of the session's own size, of which ``BATCH_ROWS`` are scored at a time.
+        The result is computed at once, in small batches, and saved.
         Keys of these names give way.  ``und`` and 0 where a text is null or has no letter, or where no language is known.
         """
         keys = [c for c in (docs.columns if keys is None else keys) if c not in ("lang_pred", "score")]
@@ -188,7 +187,7 @@ class Languages:
                 _SCORED.clear()
                 _SCORED.update(model=model, known={}, table=np.empty((1 << 16, max(1, len(names)))))
             known, table = _SCORED["known"], _SCORED["table"]
-            for b in (whole.slice(k, BATCH_ROWS) for whole in batches for k in range(0, whole.num_rows, BATCH_ROWS)):
+            for b in batches:
                 texts = [words(t) for t in b.column(at_text).to_pylist()] if names else [[]] * b.num_rows
                 if len(known) * table.shape[1] > CACHE:
                     known.clear()
@@ -216,8 +215,6 @@ class Languages:
 
         schema = docs.select(*keys).schema.add("lang_pred", "string").add("score", "double")
         rows = docs.select(*keys) if text in keys else docs.select(*keys, F.col(text).alias("__text"))
-        if not saved:
-            return rows.mapInArrow(each, schema)
         with batch_rows(docs.sparkSession):
             return save(rows.mapInArrow(each, schema))
 

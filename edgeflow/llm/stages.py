@@ -45,7 +45,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(d.docs, vocabulary("piece_bpe_32k.model"), d["doc_id"], d["text"], d["lang"])
     if not model.names:
         return docs
-    named = model.predict(d.docs, d["text"], d.own, saved=False)
+    named = model.predict(d.docs, d["text"], d.own)
     return d.back(named.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)))
 
 
