@@ -289,8 +289,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, simi
         return sized.where(reach >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
 
     low = shared.df.groupBy("h").agg(F.min(F.struct("sid", "n")).alias("low")).select("h", F.col("low.sid").alias("a"), F.col("low.n").alias("na"))
-    s = shared.df.join(low, "h").where("a <> sid")
-    pairs = Saved(candidates(s.select("a", "na", F.col("sid").alias("b"), F.col("n").alias("nb"))))
+    s = shared.df.join(low, "h").where("a <> sid").select("a", "na", F.col("sid").alias("b"), F.col("n").alias("nb"))
+    # A set meets a lowest one at some of their common shingles only, so their number is no bound here: the most decide.
+    s = s.where(F.least("na", "nb") >= float(similarity) * F.greatest("na", "nb") - SLACK).groupBy("b", "a").count()
+    best = s.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).where("best.count > 1")
+    pairs = Saved(best.select("best.a", "b"))
     release(docs.sparkSession)
     star = _verified(docs, kinds.df, pairs.df, text, similarity)
     joined = star_contraction(star, "a", "b").withColumnRenamed("id", "sid")
