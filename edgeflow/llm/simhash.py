@@ -158,9 +158,9 @@ def near_duplicates(
         else:
             wide = Saved(_sets(docs.select(*cols), "__t", names, similarity, shingle))
             # One row of each set keeps its prefix; the documents go on without.
-            first = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), "fp", "n", "prefix")
+            first = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), "fp", "n", "parities", "prefix")
             kinds = Saved(wide.df.groupBy("sid").agg(F.min(first).alias("p")).select("sid", "p.*"))
-            rows = save(wide.df.drop("prefix", "n"))
+            rows = save(wide.df.drop("prefix", "n", "parities"))
             wide.drop()
             release(docs.sparkSession)
         distinct = save(rows.groupBy("fp").agg(F.min("__id").alias("low")))
@@ -183,6 +183,8 @@ SET_SHINGLE = 5
 #: They change the work, never the result.
 SAMPLE, COMMON, MOST_COMMON = 10_000, 0.002, 20_000
 SLACK = 1e-9
+#: Bits of a set's parities, and how many sets of one shingle are compared in one piece.
+PARITIES, GROUP = 1024, 256
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -198,8 +200,17 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     return np.concatenate([h[~late], h[late]])[:take]
 
 
+def parities(h: np.ndarray) -> bytes:
+    """For each of ``PARITIES`` bins whether the set has an odd number of shingles there.
+
+    Where two sets differ in d of these bits they differ in d shingles or more.
+    """
+    odd = np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingle: int) -> DataFrame:
-    """``keys``, ``fp``, a digest ``sid`` of the shingle set, its size ``n`` and its ``prefix``."""
+    """``keys``, ``fp``, a digest ``sid`` of the shingle set, its size ``n``, ``parities`` and ``prefix``."""
     spark = docs.sparkSession
     share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -219,10 +230,12 @@ def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingl
             sets = [shingle_set(t) for t in texts]
             sid = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             first = [prefix(h, similarity, common).view(np.int64) for h in sets]
-            values = [pa.array(fp), pa.array(sid), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *values], [*keys, "fp", "sid", "n", "prefix"])
+            odd = pa.array([parities(h) for h in sets], pa.binary())
+            values = [pa.array(fp), pa.array(sid), pa.array([len(h) for h in sets], pa.int64()), odd, pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *values], [*keys, "fp", "sid", "n", "parities", "prefix"])
 
-    schema = docs.select(*keys).schema.add("fp", "long").add("sid", "long").add("n", "long").add("prefix", ArrayType(LongType()))
+    schema = docs.select(*keys).schema.add("fp", "long").add("sid", "long").add("n", "long").add("parities", "binary")
+    schema = schema.add("prefix", ArrayType(LongType()))
     return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, schema)
 
 
@@ -263,6 +276,73 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, text: str, si
     return out
 
 
+def _possible(similarity: float, within: bool):
+    """Pairs of sets of two tiles (or of one) that their sizes and parities do not rule out."""
+
+    def tile(b, i, side):
+        ids, sizes, comps = (b.column(f"{c}{side}")[i].values.to_numpy(zero_copy_only=False) for c in ("sid", "n", "comp"))
+        odd = b"".join(b.column(f"parities{side}")[i].values.to_pylist())
+        return ids, sizes, comps, np.frombuffer(odd, np.uint64).reshape(len(ids), -1)
+
+    def each(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                x = tile(b, i, "a")
+                y = x if within else tile(b, i, "b")
+                found = []
+                for k in range(0, len(x[0]), 64):
+                    n, m = x[1][k : k + 64, None], y[1][None, :]
+                    c, d = x[2][k : k + 64, None], y[2][None, :]
+                    differ = np.bitwise_count(x[3][k : k + 64, None] ^ y[3][None, :]).sum(axis=2, dtype=np.int64)
+                    may = (n + m - differ) / 2 >= similarity / (1 + similarity) * (n + m) - 1e-6
+                    may &= (c < d if within else c != d) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK)
+                    p, q = np.nonzero(may)
+                    swap = x[2][p + k] > y[2][q]
+                    left, right = (x[0][p + k], x[1][p + k]), (y[0][q], y[1][q])
+                    found.append([np.where(swap, s, r) for r, s in zip((*left, *right), (*right, *left), strict=True)])
+                both = [np.concatenate(z) for z in zip(*found, strict=True)]
+                if len(both[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in both], ["a", "na", "b", "nb"])
+
+    return each
+
+
+def _tiled(left: DataFrame, similarity: float) -> DataFrame:
+    """``a, na, b, nb`` for each shingle ``h`` that two sets of different ``comp`` share and that may be alike.
+
+    The sets of a shingle are one tile if they are few.  Else they are dealt into tiles by
+    size class and hash, and only tiles of the same or the next class meet, each two of them
+    under a key of their own.
+    """
+    many = left.groupBy("h").count().where(F.col("count") > GROUP).select("h", F.lit(True).alias("many"))
+    # Sizes whose ratio is at least ``similarity`` lie in the same or in neighbouring classes.
+    cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(1e-6 - np.log(similarity)))).cast("int")
+    placed = left.join(many, "h", "left").withColumn("cls", F.when(F.col("many"), cls).otherwise(-1))
+    parts = Saved(placed.groupBy("h", "cls").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")))
+    members = ("sid", "n", "comp", "parities")
+    part = F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part")
+    dealt = placed.join(parts.df, ["h", "cls"]).groupBy("h", "cls", "parts", part)
+    tiles = Saved(dealt.agg(F.collect_list(F.struct(*members)).alias("m")))
+    release(left.sparkSession)
+    side = {s: [F.col(f"m.{c}").alias(f"{c}{s}") for c in members] for s in "ab"}
+    pairs = "a long, na long, b long, nb long"
+    alone = tiles.df.where(F.size("m") > 1).select(*side["a"]).mapInArrow(_possible(similarity, True), pairs)
+
+    def role(s: str, step: int, other: str) -> DataFrame:
+        """Each tile once for every tile that it meets: those of its class on one side of it, and the next class."""
+        near = parts.df.where("cls >= 0").select("h", (F.col("cls") - step).alias("cls"), F.col("parts").alias("near"))
+        own = F.expr(f"transform(filter(sequence(0, parts - 1), q -> q {'>' if step > 0 else '<'} part), q -> struct(cls as c, q as p))")
+        next_ = F.expr(f"transform(filter(sequence(0, coalesce(near, 1) - 1), q -> near is not null), q -> struct(cls + {step} as c, q as p))")
+        met = tiles.df.where("cls >= 0").join(near, ["h", "cls"], "left").withColumn("o", F.explode(F.concat(own, next_)))
+        return met.select(
+            "h", F.col("cls").alias(f"c{s}"), F.col("part").alias(f"p{s}"), F.col("o.c").alias(f"c{other}"), F.col("o.p").alias(f"p{other}"), *side[s]
+        )
+
+    met = role("a", 1, "b").join(role("b", -1, "a"), ["h", "ca", "pa", "cb", "pb"])
+    across = met.select(*[f"{c}{s}" for s in "ab" for c in members]).mapInArrow(_possible(similarity, False), pairs)
+    return alone.union(across)
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, similarity: float) -> DataFrame:
     """Links ``src, dst`` of fingerprints that join what is connected by sharing ``similarity`` of the five-word shingles.
 
@@ -270,7 +350,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, simi
     their remainders can make up for; each pair proposed so is checked on the whole sets.
     Sets are first compared with the lowest that shares a prefix shingle; then only pairs
     which those links leave apart, so that a group of copies is not compared with itself.
-    ``rows`` holds ``__id, __d, fp, sid`` of each document; ``wide``, which goes, ``sid, id, d, fp, n, prefix`` of each set.
+    These meet in tiles, where sizes and parities rule out nearly all that are not alike.
+    ``rows`` holds ``__id, __d, fp, sid`` of each document; ``wide``, which goes, ``sid, id, d, fp, n, parities, prefix`` of each set.
     """
     tokens = wide.df.select("sid", "n", F.explode("prefix").alias("h"))
     often = Saved(tokens.groupBy("h").count().where("count > 1").select("h"))
@@ -303,11 +384,12 @@ def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, simi
     pairs.drop()
     release(docs.sparkSession)
     several = apart.df.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    left = apart.df.join(several, "h")
-    a, b = (left.select("h", F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
-    rest = Saved(candidates(a.join(b, "h").where("ca < cb")))
+    left = Saved(apart.df.join(several, "h").join(kinds.df.select("sid", "parities"), "sid"))
     apart.drop()
     release(docs.sparkSession)
+    rest = Saved(candidates(_tiled(left.df, similarity)))
+    left.drop()
+    release(docs.sparkSession)
     links = star.union(_verified(docs, kinds.df, rest.df, text, similarity))
     fp = kinds.df.select("sid", "fp")
     links = links.join(fp.select(F.col("sid").alias("a"), F.col("fp").alias("src")), "a").join(fp.select(F.col("sid").alias("b"), F.col("fp").alias("dst")), "b")

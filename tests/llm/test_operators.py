@@ -162,6 +162,35 @@ def test_near_copies_with_blocks_added(spark):
     assert min(pairs) >= 0.8 and kept_of(spark, texts) == list(range(0, len(texts), 2))
 
 
+@pytest.mark.parametrize("group", [2, 7, 256])
+def test_near_copies_in_a_crowd(spark, monkeypatch, group):
+    """Variants of one text, of many sizes and likenesses, whether their shingles' sets are one tile or many."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(7)
+    base, texts = fresh(90, 500).split(), []
+    for k in range(70):
+        w = base[: int(rng.integers(50, 91))] + fresh(int(rng.integers(0, 12)), 600 + k).split()
+        for at in rng.integers(0, len(w), int(rng.integers(0, 4))):
+            w[at] = f"edit{k}x{at}"
+        texts.append(" ".join(w))
+    want = brute_kept(texts)
+    assert kept_of(spark, texts) == want and 5 < len(want) < len(texts)
+
+
+def test_tiles_lose_no_alike_pair(spark, monkeypatch):
+    """Every pair of different components that is alike, from tiles of every kind; few others."""
+    monkeypatch.setattr(simhash, "GROUP", 5)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: int(rng.integers(5, 400))], rng.integers(0, 1 << 63, int(rng.integers(0, 30))).astype(np.uint64)])) for _ in range(120)]
+    items = [(i, len(h), i % 50, simhash.parities(h), k) for i, h in enumerate(sets) for k in range(2)]
+    left = spark.createDataFrame(items, "sid long, n long, comp long, parities binary, h long").repartition(5)
+    got = {(r.a, r.b) for r in simhash._tiled(left, 0.8).collect()}
+    pairs = [(i, j) for i in range(120) for j in range(120) if i % 50 < j % 50]
+    alike = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert alike <= got <= set(pairs) and len(got) < len(alike) + 0.1 * len(pairs) and len(alike) > 100
+
+
 # 2 packing
 
 
