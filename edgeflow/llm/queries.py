@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeflow.llm import chat, ctw, language, mixing, packing, simhash, suffix, tokencount, vectors
+from edgeflow.llm import chat, ctw, language, mixing, packing, runs, search, sharding, simhash, suffix, tokencount, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.find_runs(table(spark, sf_dir, "documents"), changed=runs.repeated_tail)
+    digests = (runs.runs_sha256("runs").alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shards(table(spark, sf_dir, "documents"), n_shards=40)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    return rows.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -75,4 +91,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+    return {"op6_chat_formatting": chat.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op11_ranked_search": search.ORACLE_SQL, "op13_sharding": sharding.ORACLE_SQL}
