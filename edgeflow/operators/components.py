@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import logging
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeflow.storage import Saved
 
-
 log = logging.getLogger("edgeflow")
+#: Vertices of a task's forest, and edges that are joined to it at once, at least.
+HELD, AT_ONCE = 1 << 22, 1 << 18
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -60,3 +63,76 @@ def star_contraction(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     )
+
+
+class Forest:
+    """Disjoint sets of vertices; a set's root is its smallest id.
+
+    ``ids`` are sorted and ``parent`` tells each one's parent by place, at or before its own.
+    """
+
+    def __init__(self):
+        self.ids = self.parent = np.zeros(0, np.int64)
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """Roots of all places at once; every step halves the paths that it takes."""
+        while True:
+            up = self.parent[at]
+            over = self.parent[up]
+            if (up == over).all():
+                return up
+            self.parent[at] = over
+            at = over
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Unite the ends of all edges: roots that an edge ties hook on to the least they meet, until none is apart."""
+        ids = np.union1d(self.ids, np.concatenate([u, v]))
+        moved = np.searchsorted(ids, self.ids)
+        parent = np.arange(len(ids))
+        parent[moved] = moved[self.parent]
+        self.ids, self.parent = ids, parent
+        a, b = np.searchsorted(ids, u), np.searchsorted(ids, v)
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+
+    def links(self) -> pa.RecordBatch:
+        """Every vertex but the roots, with its root."""
+        root = self.find(np.arange(len(self.ids)))
+        below = np.flatnonzero(root != np.arange(len(self.ids)))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[below]), pa.array(self.ids[root[below]])], ["src", "dst"])
+
+
+def local_forests(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Links ``src, dst`` that tie the same vertices as the edges do: each task's edges as a forest.
+
+    A task sends one link at most for each vertex it has seen but the roots, however many edges
+    it has read.  A forest of ``HELD`` vertices is sent and a new one begun.
+    """
+
+    def each(batches):
+        forest, us, vs, held = Forest(), [], [], 0
+        for b in batches:
+            us.append(b.column(0).to_numpy())
+            vs.append(b.column(1).to_numpy())
+            held += b.num_rows
+            # As many new edges as old vertices at least, so that a vertex is copied seldom.
+            if held >= max(AT_ONCE, len(forest.ids) // 2):
+                forest.join(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [], [], 0
+                if len(forest.ids) > HELD:
+                    yield forest.links()
+                    forest = Forest()
+        if us:
+            forest.join(np.concatenate(us), np.concatenate(vs))
+        yield forest.links()
+
+    ends = edges.where(F.col(src) != F.col(dst)).select(F.col(src).cast("bigint").alias("src"), F.col(dst).cast("bigint").alias("dst"))
+    return ends.mapInArrow(each, "src long, dst long")
+
+
+def union_find(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(id, comp)`` as ``star_contraction`` gives them, from each task's forest in place of its edges."""
+    return star_contraction(local_forests(edges, src, dst))

@@ -8,7 +8,8 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeflow.operators.components import star_contraction
+from edgeflow.operators import frontier
+from edgeflow.operators.components import star_contraction, union_find
 from edgeflow.storage import Saved, save
 
 ALPHA = 0.85
@@ -143,14 +144,15 @@ class Graph:
         full = self.everywhere(sums.withColumnRenamed("src", "id"), s=F.lit(0.0))
         return full.select("id", (F.lit(1 - alpha if iterations else 0.0) + F.col("s")).alias("rank"))
 
-    def components(self, method: str = "star") -> DataFrame:
+    def components(self, method: str = "union") -> DataFrame:
         """``id, comp``: the smallest id of each vertex's weakly connected component.
 
-        ``star`` contracts stars; ``minlabel`` propagates labels.  Both end at the same fixpoint.
+        ``union`` makes each task's edges a disjoint-set forest and contracts the forests' stars;
+        ``star`` contracts the edges' own; ``minlabel`` propagates labels.  All end at the same fixpoint.
         """
         if method == "minlabel":
             return self.label_propagation().withColumnRenamed("label", "comp")
-        return self.everywhere(star_contraction(self.edges), comp=F.col("id"))
+        return self.everywhere({"union": union_find, "star": star_contraction}[method](self.edges), comp=F.col("id"))
 
     def label_propagation(self) -> DataFrame:
         """``id, label``: least labels passed along edges both ways until none falls.
@@ -193,18 +195,37 @@ class Graph:
         the level before, its own or the next, so the last two levels are all that is left out.
         Once half of the vertices that still have edges are visited, their edges are retired;
         each retirement halves what is left, so all of them together write the edges twice.
+        While the frontier is small, levels are looked up in blocks of the live edges (see
+        ``frontier``), a light job each; else joins take ``TABLES`` levels before blocks are made again.
         """
         live = Saved(self.symmetric().where("src <> dst").distinct())
-        left = live.df.select("src").distinct().count()
+        left, edges = live.df.select("src").distinct().count(), live.df.count()
         start = self.spark.range(1).select(F.lit(root).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("dist"))
         before, front, depth, tiers = None, Saved(start), 0, [[]]
-        visited, kept_from = 1, 0
+        visited, kept_from, found, wait = 1, 0, 1, 0
 
         def seen(*more: Saved) -> DataFrame:
             tables = [t.df for tier in tiers for t in tier] + [m.df for m in more if m]
             return reduce(DataFrame.union, tables)
 
         while True:
+            if not wait and found <= frontier.FRONTIER:
+                blocks, wait = frontier.Blocks(live.df, edges), TABLES
+                recent = [(depth - 1, frontier.ids(before)), (depth, frontier.ids(front))]
+                for levels in frontier.walk(blocks, recent[1][1], recent[0][1], depth):
+                    for old in (before, front):
+                        if old:
+                            old.drop()
+                    recent += levels
+                    _stack(tiers, frontier.table(self.spark, recent[:-2]))
+                    recent, visited = recent[-2:], visited + sum(len(x) for _, x in levels)
+                    before, front = (frontier.table(self.spark, [x]) for x in recent)
+                blocks.drop()
+                log.info("bfs: levels %d to %d by blocks", depth + 1, recent[1][0])
+                depth, found = recent[1][0], len(recent[1][1])
+                if not found:
+                    break
+            wait = max(0, wait - 1)
             depth += 1
             step = live.df.join(front.df.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
             for known in (before, front):
@@ -218,7 +239,7 @@ class Graph:
                 gone = seen(before, front).where(F.col("dist") >= kept_from)
                 rest = Saved(live.df.join(gone.select(F.col("id").alias("src")), "src", "left_anti"))
                 live.drop()
-                live, left, visited, kept_from = rest, left - visited, 0, depth
+                live, left, visited, kept_from, edges = rest, left - visited, 0, depth, rest.df.count()
             if before:
                 _stack(tiers, before)
             before, front, visited = front, level, visited + found

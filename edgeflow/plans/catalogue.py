@@ -152,6 +152,23 @@ def non_roots(spark, sf_dir):
     return fixtures.graph(spark, sf_dir).components().where("id <> comp").agg(F.count("*").alias("non_roots"))
 
 
+@query(_with("SELECT id, comp FROM low", SYM, PAIRS, LOW))
+def union_find(spark, sf_dir):
+    """Components by a forest of disjoint sets in each task, contracted."""
+    return fixtures.graph(spark, sf_dir).components("union")
+
+
+@query(_with("SELECT count(*) AS non_roots FROM low WHERE id <> comp", SYM, PAIRS, LOW, name="g2"))
+def union_find_non_roots(spark, sf_dir):
+    return fixtures.graph(spark, sf_dir, "g2").components("union").where("id <> comp").agg(F.count("*").alias("non_roots"))
+
+
+@query(_with("SELECT id, comp FROM low", SYM, PAIRS, LOW))
+def components_star(spark, sf_dir):
+    """Components by stars of the edges themselves."""
+    return fixtures.graph(spark, sf_dir).components("star")
+
+
 @query(_with("SELECT DISTINCT dst AS id FROM sym WHERE src = 0", SYM))
 def seed_neighbors(spark, sf_dir):
     return fixtures.graph(spark, sf_dir).symmetric().where("src = 0").select(F.col("dst").alias("id")).distinct()

@@ -6,8 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from edgeflow.functions import codec
+from edgeflow.operators import components, frontier, layout
 from edgeflow.operators import graph as graph_module
-from edgeflow.operators import layout
 from edgeflow.operators.graph import Graph
 from edgeflow.plans import catalogue, fixtures
 from edgeflow.sources import binary, text
@@ -37,7 +37,7 @@ def table(df, *columns):
 def test_small_graph(m1):
     assert table(m1.stats(), "max_x", "max_y", "edges", "nodes") == [(6, 4, 7, 7)]
     assert table(layout.vertex_runs(m1.edges), "src", "cnt") == [(0, 2), (1, 1), (2, 1), (3, 1), (4, 1), (6, 1)]
-    for method in ("star", "minlabel"):
+    for method in ("union", "star", "minlabel"):
         assert dict(table(m1.components(method), "id", "comp")) == {0: 0, 1: 0, 2: 0, 6: 0, 3: 3, 4: 3, 5: 5, 7: 7}
     assert dict(table(m1.bfs(), "id", "dist")[0:0] or [tuple(r) for r in m1.bfs().collect()]) == {0: 0, 1: 1, 6: 1, 2: 2, 3: None, 4: None, 5: None, 7: None}
     want = [0.2775, 0.385875, 3.031587, 0.96124, 0.96124, 0.15, 0.15, 0.15]
@@ -214,6 +214,51 @@ def test_long_searches(spark, monkeypatch):
     assert dict(tuple(r) for r in g.bfs().collect()) == {i: i if i <= n else None for i in range(42)}
 
 
+@pytest.mark.parametrize("most,tell", [(3, 1), (4, 10), (1 << 16, 2)])
+def test_searches_by_blocks_and_joins(spark, monkeypatch, most, tell):
+    """Frontiers that grow past what blocks send, fall under it again, and hubs: the levels of a plain search."""
+    monkeypatch.setattr(frontier, "FRONTIER", most)
+    monkeypatch.setattr(frontier, "TELL", tell)
+    monkeypatch.setattr(frontier, "LEAST_EDGES", 8)
+    monkeypatch.setattr(frontier, "PENDING", 5)
+    monkeypatch.setattr(graph_module, "TABLES", 2)
+    pairs = [(i, i + 1) for i in range(12)] + [(5, 100 + i) for i in range(30)] + [(100 + i, 200) for i in range(30)] + [(200 + i, 201 + i) for i in range(9)] + [(300, 301)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist, now = {0: 0}, [0]
+    while now:
+        now = [x for x in {y for v in now for y in near[v]} if x not in dist and not dist.update({x: dist[now[0]] + 1})]
+    got = {r["id"]: r["dist"] for r in graph(spark, pairs, 310).bfs().collect()}
+    assert got == {i: dist.get(i) for i in range(310)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60), st.integers(1, 20))
+def test_forest(pairs, size):
+    """Sets of vertices joined a few edges at a time; at most a link for each vertex that is no root."""
+    f, comp = components.Forest(), {}
+    for i in range(0, len(pairs), size):
+        f.join(*np.array(pairs[i : i + size], np.int64).T)
+    for a, b in pairs * len(pairs):
+        low = min(comp.get(a, a), comp.get(b, b))
+        comp[a] = comp[b] = low
+    links = f.links().to_pydict()
+    assert dict(zip(links["src"], links["dst"], strict=True)) == {v: c for v, c in comp.items() if v != c}
+
+
+def test_forests_send_less(spark, monkeypatch):
+    """A task sends a link for each vertex at most, however many edges it reads, and bounded forests tie the same."""
+    e = fixtures.graph(spark, SF, "g3").edges.coalesce(1)
+    many = e.union(e).union(e).coalesce(1)
+    assert components.local_forests(many).count() < min(e.count(), many.selectExpr("explode(array(src, dst)) AS id").distinct().count())
+    want = table(components.star_contraction(e), "id", "comp")
+    monkeypatch.setattr(components, "HELD", 20)
+    monkeypatch.setattr(components, "AT_ONCE", 16)
+    assert table(components.union_find(e), "id", "comp") == want
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), max_size=20))
 def test_properties(spark, pairs):
@@ -224,6 +269,7 @@ def test_properties(spark, pairs):
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert dict(table(g.components(), "id", "comp")) == comp
     assert dict(table(g.components("minlabel"), "id", "comp")) == comp
+    assert dict(table(g.components("star"), "id", "comp")) == comp
     dist = dict(tuple(r) for r in g.bfs().collect())
     assert {i for i, d in dist.items() if d is not None} == {i for i, c in comp.items() if c == comp[0] and comp[0] == 0}
     for a, b in pairs:
