@@ -12,7 +12,7 @@ from edgeflow.functions import codec, curve
 from edgeflow.operators import layout
 from edgeflow.operators.graph import Graph
 from edgeflow.plans import fixtures
-from edgeflow.sources import binary, text
+from edgeflow.sources import binary, datasource, files, text
 from edgeflow.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,6 +386,50 @@ def delta_blocks_roundtrip(spark, sf_dir):
     return layout.undelta_blocks(layout.delta_blocks(layout.coded(fixtures.graph(spark, sf_dir, times=977).edges)))
 
 
+def _by_format(layout: str, fmt: str):
+    def run(spark, sf_dir):
+        path = _place(spark, fmt)
+        binary.write(fixtures.graph(spark, sf_dir, times=977).edges, fmt, path)
+        datasource.register(spark)
+        return spark.read.format(f"edge_{layout}").load(path)
+
+    return run
+
+
+for _layout, _fmt in (("vertex", "vertex"), ("tile", "hilbert"), ("delta", "compressed"), ("csr", "csr")):
+    QUERIES[f"{_layout}_data_source"] = _by_format(_layout, _fmt)
+    SQL[f"{_layout}_data_source"] = _with(f"SELECT {'DISTINCT ' * (_layout in ('delta', 'csr'))}src, dst FROM e", times=977)
+
+
+@query(_with("SELECT dst FROM e", times=977))
+def source_columns(spark, sf_dir):
+    """One column of a data source, and no other, by its schema."""
+    path = _place(spark, "vertex")
+    binary.write(fixtures.graph(spark, sf_dir, times=977).edges, "vertex", path)
+    datasource.register(spark)
+    return spark.read.format("edge_vertex").schema("dst bigint").load(path)
+
+
+@query(_with("SELECT src, dst FROM e", times=977))
+def marked_tiles(spark, sf_dir):
+    """A user's own write by format, with marks so near that each part is read by many tasks."""
+    path = _place(spark, "tiles")
+    datasource.register(spark)
+    rows = layout.coded(fixtures.graph(spark, sf_dir, times=977).edges).withColumn("key", curve.sort_key(F.col("code")))
+    ordered = rows.repartitionByRange(2, "key").sortWithinPartitions("key").select("src", "dst")
+    ordered.write.format("edge_tile").option("mark_bytes", 20_000).mode("append").save(path)
+    return spark.read.format("edge_tile").load(path)
+
+
+@query(_with("SELECT c::BIGINT AS code FROM code", CODES, times=977))
+def split_delta_file(spark, sf_dir):
+    """One delta file without marks, decoded in blocks of 64 KB whose borders are found first."""
+    folder = _place(spark, "stream")
+    binary.write_codes(layout.coded(fixtures.graph(spark, sf_dir, times=977).edges).coalesce(1), folder, parts=1)
+    path = next(iter(files.listed(spark, folder)))
+    return binary.read_codes(spark, path, block=1 << 16)
+
+
 FORMATS = ("text", "vertex", "hilbert", "parquet")
 REPORT = "SELECT '{fmt}' AS fmt, max(src) AS max_x, max(dst) AS max_y, count(*) AS edges FROM {table}"
 

@@ -11,7 +11,7 @@ delta       none                                        coded gaps between sorte
 ==========  ==========================================  ===================================
 
 A reader takes one pair of files by its prefix or a folder of pairs; a writer leaves one pair
-per partition of a range-partitioned graph.  Heads are read first, in chunks, to find where
+per partition of a range-partitioned graph, and commits them together (see ``files``).  Heads are read first, in chunks, to find where
 each chunk's body lies; then every chunk is a unit of work that reads its own byte range.
 A vertex or a tile may have several runs, so a long one is never a single row anywhere.
 Every delta file restarts from code 0; a CSR part's nodes count from the number in its name.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeflow.functions.codec import DeltaStream, delta_encode, leb128, leb128_decode
+from edgeflow.functions.codec import BAD, ENTRIES, ZEROS, DeltaStream, delta_encode, delta_exits, leb128, leb128_decode
 from edgeflow.functions.curve import decode_array, hilbert_code, sort_key
 from edgeflow.operators import layout
 from edgeflow.sources import files
@@ -43,7 +43,7 @@ def _edges(x: np.ndarray, y: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(v[i : i + BATCH].astype(np.int64)) for v in (x, y)], ["src", "dst"])
 
 
-def _whole(content: bytes, kind: np.dtype) -> np.ndarray:
+def whole_records(content: bytes, kind: np.dtype) -> np.ndarray:
     """Records of a file; a partial record at its end is left out."""
     return np.frombuffer(content, kind, len(content) // kind.itemsize)
 
@@ -61,7 +61,7 @@ def _runs(spark: SparkSession, path: str, suffixes: tuple[str, str], kinds: tupl
         for b in batches:
             for name, other, _, size in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 rows, start, at = [], 0, 0
-                while len(runs := _whole(files.read_range(name, start * head.itemsize, CHUNK * head.itemsize), head)):
+                while len(runs := whole_records(files.read_range(name, start * head.itemsize, CHUNK * head.itemsize), head)):
                     items = int(runs["cnt"].sum(dtype=np.int64))
                     rows.append((name, other, start, len(runs), at, items))
                     start, at = start + len(runs), at + items
@@ -73,56 +73,153 @@ def _runs(spark: SparkSession, path: str, suffixes: tuple[str, str], kinds: tupl
 
     def read(batches):
         for b in batches:
-            for name, other, start, records, at, items in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                runs = _whole(files.read_range(name, start * head.itemsize, records * head.itemsize), head)
-                ends = np.cumsum(runs["cnt"], dtype=np.int64)
-                for i in range(0, items, BATCH):
-                    n = min(BATCH, items - i)
-                    which = np.searchsorted(ends, np.arange(i, i + n), "right")
-                    yield from _edges(*decode(runs[which], _whole(files.read_range(other, (at + i) * body.itemsize, n * body.itemsize), body)))
+            for name, other, start, records, at, _ in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                runs = whole_records(files.read_range(name, start * head.itemsize, records * head.itemsize), head)
+                for ends in run_edges(other, runs, at, body, decode, BATCH):
+                    yield from _edges(*ends)
 
     heads = files.spread(spark, found, "head string, body string, head_size long, body_size long", sum(h for _, _, h, _ in found))
     chunks = heads.mapInArrow(located, CHUNKS)
     return files.spread(spark, chunks, CHUNKS, sum(b for *_, b in found)).mapInArrow(read, "src long, dst long")
 
 
+def run_edges(name: str, runs: np.ndarray, at: int, body: np.dtype, decode, most: int = BATCH):
+    """Both ends of the runs' edges, so many at a time; the first run's items begin at ``at`` in the body file."""
+    ends = np.cumsum(runs["cnt"], dtype=np.int64)
+    items = int(ends[-1]) if len(ends) else 0
+    for i in range(0, items, most):
+        n = min(most, items - i)
+        which = np.searchsorted(ends, np.arange(i, i + n), "right")
+        found = whole_records(files.read_range(name, (at + i) * body.itemsize, n * body.itemsize), body)
+        if len(found) < n:
+            raise ValueError(f"{name} ends before its last run")
+        yield decode(runs[which], found)
+
+
+def vertex_ends(runs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return runs["src"], targets
+
+
+def tile_ends(runs: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple((runs[c].astype(np.int64) << 16) | low[c] for c in "xy")
+
+
 def read_vertex(spark: SparkSession, path: str) -> DataFrame:
-    return _runs(spark, path, (".nodes", ".edges"), (NODES, EDGES), lambda runs, targets: (runs["src"], targets))
+    return _runs(spark, path, (".nodes", ".edges"), (NODES, EDGES), vertex_ends)
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    def decode(runs, low):
-        return tuple((runs[c].astype(np.int64) << 16) | low[c] for c in "xy")
+    return _runs(spark, path, (".upper", ".lower"), (UPPER, LOWER), tile_ends)
+
+
+#: Bytes of a delta stream that a task decodes, about.
+DELTA_BYTES = 32 << 20
+BLOCKS = "name string, start long, size long, entry int, base long"
+
 
-    return _runs(spark, path, (".upper", ".lower"), (UPPER, LOWER), decode)
+def decoded(name: str, start: int, size: int, entry: int, base: int, strict: bool):
+    """Codes of the values that begin in a block of a file, batch by batch; ``base`` is the code before the first.
 
+    ``entry`` tells how the block is entered (see ``codec.ENTRIES``): so many bytes of an earlier
+    value are passed over, or so many zeros of the first value lie before the block.
+    """
+    stream, last, at = DeltaStream(), np.uint64(base), start + entry
+    end, final = start + size, files.size(name)
+    for piece in files.pieces_from(name, at, end - at if end > at else 0):
+        gaps, at = stream.feed(piece), at + len(piece)
+        if at == end and at < final:
+            if any(stream.rest):
+                # Its last value goes on in the next block, which passes over it.
+                more, want = files.read_range(name, at, 2 * ZEROS), len(gaps)
+                for k in range(len(more)):
+                    gaps = np.concatenate([gaps, stream.feed(more[k : k + 1])])
+                    if len(gaps) > want:
+                        break
+            else:
+                stream.rest = b""  # the value whose zeros these are is the next block's
+        code = np.cumsum(gaps, dtype=np.uint64) + last
+        before = np.concatenate([[last], code[:-1]]).astype(np.uint64)
+        if strict and (code <= before).any():
+            raise ValueError("codes do not increase")
+        last = code[-1] if len(code) else last
+        yield code
+    stream.close()
+
+
+def _delta_blocks(spark: SparkSession, found: dict[str, int], known: dict[str, list] | None, block: int) -> DataFrame:
+    """``BLOCKS`` of delta files: from the marks of their writer, or found by two looks at their bytes.
+
+    The first look tells for each block how each way to enter it leaves it; chained from a
+    file's start, the ways that are taken.  The second adds up each block's gaps.
+    """
+    if known is not None:
+        rows = []
+        for name, size in found.items():
+            marks = [[0, 0], *known.get(name.rpartition("/")[2], [])]
+            for (at, code), (end, _) in zip(marks, [*marks[1:], [size, 0]], strict=True):
+                rows.append((name, at, end - at, 0, code))
+        return files.spread(spark, rows, BLOCKS, sum(found.values()))
+    rows = [(n, at, min(block, size - at)) for n, size in found.items() for at in range(0, max(size, 1), block)]
+    if all(size <= block for size in found.values()):
+        return files.spread(spark, [(*r, 0, 0) for r in rows], BLOCKS, sum(found.values()))
+
+    def looked(batches):
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(3)]
+            exits = [delta_exits(files.pieces_from(n, at, size)) for n, at, size in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(exits, pa.list_(pa.int32()))], ["name", "start", "exits"])
 
-def read_codes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    def summed(batches):
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(5)]
+            sums = np.zeros(b.num_rows, np.uint64)
+            for i, block in enumerate(zip(*columns, strict=True)):
+                for code in decoded(*block, strict=False):
+                    sums[i] = code[-1] if len(code) else sums[i]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(sums.view(np.int64))], ["name", "start", "sum"])
+
+    every = files.spread(spark, rows, "name string, start long, size long", sum(found.values()))
+    exits = {(r["name"], r["start"]): r["exits"] for r in every.mapInArrow(looked, "name string, start long, exits array<int>").collect()}  # a row a block
+    entered, entry = [], {}
+    for n, at, size in rows:
+        way = entry.get(n, 0)
+        if way == BAD:
+            raise ValueError(f"{n}: a value of over eight bytes")
+        entered.append((n, at, size, way, 0))
+        entry[n] = exits[n, at][list(ENTRIES).index(way)]
+    if any(entry.values()):
+        raise ValueError("the delta stream ends inside a value")
+    blocks = files.spread(spark, entered, BLOCKS, sum(found.values()))
+    sums = {(r["name"], r["start"]): r["sum"] for r in blocks.mapInArrow(summed, "name string, start long, sum long").collect()}
+    based, base = [], {}
+    for n, at, size, way, _ in entered:
+        based.append((n, at, size, way, base.get(n, 0)))
+        base[n] = int(np.uint64((base.get(n, 0) + sums[n, at]) % (1 << 64)).astype(np.int64))
+    return files.spread(spark, based, BLOCKS, sum(found.values()))
+
+
+def read_codes(spark: SparkSession, path: str, strict: bool = True, block: int = DELTA_BYTES) -> DataFrame:
     """``code`` of delta streams: the file at ``path`` whatever its name, or every ``.delta`` file of a folder.
 
-    ``strict`` wants codes that increase throughout each file.
+    ``strict`` wants codes that increase throughout each file.  A file of more than
+    ``block`` bytes is decoded by many tasks: between its writer's marks, or in blocks whose borders are found first.
     """
     every = files.listed(spark, path)
-    found = every if files.is_file(spark, path) else {n: s for n, s in every.items() if n.endswith(".delta")}
+    one = files.is_file(spark, path)
+    found = every if one else {n: s for n, s in every.items() if n.endswith(".delta")}
     if every and not found:
         raise FileNotFoundError(f"{path}: no .delta files")
+    said = None if one else files.manifest(path)
+    if said:
+        files.whole(path, found)
 
     def decode(batches):
         for b in batches:
-            for name in b.column(0).to_pylist():
-                stream, last = DeltaStream(), np.uint64(0)
-                for piece in files.pieces(name):
-                    gaps = stream.feed(piece)
-                    code = np.cumsum(gaps, dtype=np.uint64) + last
-                    before = np.concatenate([[last], code[:-1]]).astype(np.uint64)
-                    if strict and (code <= before).any():
-                        raise ValueError("codes do not increase")
-                    last = code[-1] if len(code) else last
+            for name, start, size, entry, base in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                for code in decoded(name, start, size, entry, base & (1 << 64) - 1, strict):
                     yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], ["code"])
-                stream.close()
 
-    rows = files.spread(spark, list(found.items()), "name string, size long", sum(found.values()))
-    return rows.mapInArrow(decode, "code long")
+    return _delta_blocks(spark, found, said and said["marks"], block).mapInArrow(decode, "code long")
 
 
 def read_delta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -130,6 +227,39 @@ def read_delta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     return layout.points(read_codes(spark, path, strict))
 
 
+def csr_chunks(head: str, body: str, size: int, whole: int, most: int = CHUNK):
+    """Chunks of a CSR pair: first entry, nodes, where their bytes begin in the body, how many they are, the part's first node."""
+    tail = head.rpartition("/")[2].removesuffix(".offsets").rpartition("-from")
+    first = int(tail[2]) if tail[1] else 0
+    nodes, at = size // OFFSETS.itemsize + 1, 0
+    for start in range(0, nodes, most):
+        n = min(most, nodes - start)
+        ends = whole_records(files.read_range(head, (start + n - 1) * OFFSETS.itemsize, OFFSETS.itemsize), OFFSETS)
+        end = int(ends[0]) if start + n < nodes else whole
+        if end > whole or end < at:
+            raise ValueError(f"{body} ends before its last node")
+        yield start, n, at, end - at, first
+        at = end
+
+
+def csr_chunk_edges(head: str, body: str, start: int, n: int, at: int, size: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of a chunk's edges; its nodes begin where the ones before them end."""
+    ends = whole_records(files.read_range(head, start * OFFSETS.itemsize, n * OFFSETS.itemsize), OFFSETS).astype(np.int64)
+    begins = np.concatenate([[at], ends[: n - 1]]) - at
+    gap, place = leb128_decode(np.frombuffer(files.read_range(body, at, size), np.uint8))
+    owner = np.searchsorted(begins, place, "right") - 1
+    total = np.cumsum(gap, dtype=np.uint64)
+    new = np.flatnonzero(np.diff(owner, prepend=-1))
+    before = np.repeat(total[new] - gap[new], np.diff(new, append=len(owner)))
+    return first + start + owner, total - before
+
+
+def csr_edges(head: str, body: str, size: int, whole: int):
+    """Both ends of a pair's edges, chunk by chunk."""
+    for chunk in csr_chunks(head, body, size, whole):
+        yield csr_chunk_edges(head, body, *chunk)
+
+
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
     """Edges of CSR pairs; the name ``<anything>-from<node>`` tells a part's first node, which is 0 without."""
     found = files.pairs(spark, path, ".offsets", ".payload")
@@ -137,32 +267,14 @@ def read_csr(spark: SparkSession, path: str) -> DataFrame:
     def located(batches):
         for b in batches:
             for head, body, size, whole in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                tail = head.rpartition("/")[2].removesuffix(".offsets").rpartition("-from")
-                first = int(tail[2]) if tail[1] else 0
-                nodes, rows, at = size // OFFSETS.itemsize + 1, [], 0
-                for start in range(0, nodes, CHUNK):
-                    n = min(CHUNK, nodes - start)
-                    ends = _whole(files.read_range(head, (start + n - 1) * OFFSETS.itemsize, OFFSETS.itemsize), OFFSETS)
-                    end = int(ends[0]) if start + n < nodes else whole
-                    if end > whole or end < at:
-                        raise ValueError(f"{body} ends before its last node")
-                    rows.append((head, body, start, n, at, end - at, first))
-                    at = end
+                rows = [(head, body, *chunk) for chunk in csr_chunks(head, body, size, whole, CHUNK)]
                 kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in f"{CHUNKS}, first long".split(", ")])
 
     def read(batches):
         for b in batches:
-            for head, body, start, n, at, size, first in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                # The chunk's nodes begin where the ones before them end.
-                ends = _whole(files.read_range(head, start * OFFSETS.itemsize, n * OFFSETS.itemsize), OFFSETS).astype(np.int64)
-                begins = np.concatenate([[at], ends[: n - 1]]) - at
-                gap, place = leb128_decode(np.frombuffer(files.read_range(body, at, size), np.uint8))
-                owner = np.searchsorted(begins, place, "right") - 1
-                total = np.cumsum(gap, dtype=np.uint64)
-                new = np.flatnonzero(np.diff(owner, prepend=-1))
-                before = np.repeat(total[new] - gap[new], np.diff(new, append=len(owner)))
-                yield from _edges(first + start + owner, total - before)
+            for chunk in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                yield from _edges(*csr_chunk_edges(*chunk))
 
     rows = files.spread(spark, found, "head string, body string, head_size long, body_size long", sum(h for _, _, h, _ in found))
     chunks = rows.mapInArrow(located, f"{CHUNKS}, first long")
@@ -177,60 +289,98 @@ def _run_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def write_vertex(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
-    """Runs by source, targets in order."""
+def _run_parts(batches, mark):
+    heads = items = 0
+    for b in batches:
+        src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
+        at = _run_starts(src)
+        mark(heads, items)
+        heads, items = heads + len(at), items + len(src)
+        yield ".nodes", np.rec.fromarrays([src[at], np.diff(at, append=len(src))], dtype=NODES).tobytes()
+        yield ".edges", dst.astype(EDGES).tobytes()
+
+
+def _tile_parts(batches, mark):
+    heads = items = 0
+    for b in batches:
+        x, y = b.column("src").to_numpy(), b.column("dst").to_numpy()
+        at = _run_starts(x >> 16, y >> 16)
+        mark(heads, items)
+        heads, items = heads + len(at), items + len(x)
+        yield ".upper", np.rec.fromarrays([(x >> 16)[at], (y >> 16)[at], np.diff(at, append=len(x))], dtype=UPPER).tobytes()
+        yield ".lower", np.rec.fromarrays([x & 65535, y & 65535], dtype=LOWER).tobytes()
+
+
+def _delta_parts(batches, mark):
+    last, size = np.uint64(0), 0
+    for b in batches:
+        code = b.column("code").to_numpy().view(np.uint64)
+        if len(code):
+            data = delta_encode(np.diff(code, prepend=last))
+            mark(size, int(last.astype(np.int64)))
+            last, size = code[-1], size + len(data)
+            yield ".delta", data
+
+
+def _csr_parts(batches, mark):
+    first, node, edge, size = None, 0, 0, 0
+    for b in batches:
+        src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
+        if not len(src):
+            continue
+        if first is None:
+            first = node = int(src[0])
+        same = np.concatenate([[src[0] == node], src[1:] == src[:-1]])
+        before = np.where(same, np.concatenate([[edge], dst[:-1]]), 0)
+        data, each = leb128(dst - before)
+        reach = size + np.concatenate([[0], np.cumsum(each)])
+        # A step to a later node ends all nodes from the last one up to it; a wide gap between ids is written in pieces.
+        steps, begin = np.diff(src, prepend=node), 0
+        ends = np.cumsum(steps)
+        while begin < len(steps):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CHUNK, "right")))
+            for left in range(0, max(int(steps[begin]) if stop == begin + 1 else 1, 1), CHUNK):
+                repeat = steps[begin:stop] if stop > begin + 1 else np.minimum(steps[begin:stop] - left, CHUNK)
+                yield f"-from{first}.offsets", np.repeat(reach[begin:stop], repeat).astype(OFFSETS).tobytes()
+            begin = stop
+        yield f"-from{first}.payload", data
+        node, edge, size = int(src[-1]), int(dst[-1]), int(reach[-1])
+
+
+PARTS = {"vertex": _run_parts, "tile": _tile_parts, "delta": _delta_parts, "csr": _csr_parts}
+
+
+def _put(rows: DataFrame, layout: str, folder: str, overwrite: bool) -> None:
+    """Ordered partitions as parts of a folder, which are committed together."""
+    from edgeflow.sources import datasource
+
+    datasource.register(rows.sparkSession)
+    rows.write.format(f"edge_{layout}").mode("overwrite" if overwrite else "append").save(folder)
 
-    def made(batches):
-        for b in batches:
-            src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
-            at = _run_starts(src)
-            yield ".nodes", np.rec.fromarrays([src[at], np.diff(at, append=len(src))], dtype=NODES).tobytes()
-            yield ".edges", dst.astype(EDGES).tobytes()
 
-    _ranged(edges.select("src", "dst"), "src", "dst", folder=folder, made=made, overwrite=overwrite)
+def write_vertex(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Runs by source, targets in order."""
+    _ranged(edges.select("src", "dst"), "src", "dst", folder=folder, layout="vertex", overwrite=overwrite)
 
 
 def write_runs(edges: DataFrame, position: str, folder: str, overwrite: bool = False) -> None:
     """Runs of equal sources in the order of ``position``, as in an unsorted file: a vertex may come again later."""
-
-    def made(batches):
-        for b in batches:
-            src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
-            at = _run_starts(src)
-            yield ".nodes", np.rec.fromarrays([src[at], np.diff(at, append=len(src))], dtype=NODES).tobytes()
-            yield ".edges", dst.astype(EDGES).tobytes()
-
-    _ranged(edges.select("src", "dst", position), position, folder=folder, made=made, overwrite=overwrite)
+    _ranged(edges.select("src", "dst", position), position, folder=folder, layout="vertex", overwrite=overwrite)
 
 
 def write_tiles(edges: DataFrame, folder: str, dense: bool = False, overwrite: bool = False) -> None:
     """Tiles in curve order, edges in curve order inside; ``dense`` renames vertices by first appearance."""
     if dense:
         edges = layout.renamed(edges, layout.dense_names(edges))
-
-    def made(batches):
-        for b in batches:
-            x, y = b.column("src").to_numpy(), b.column("dst").to_numpy()
-            at = _run_starts(x >> 16, y >> 16)
-            yield ".upper", np.rec.fromarrays([(x >> 16)[at], (y >> 16)[at], np.diff(at, append=len(x))], dtype=UPPER).tobytes()
-            yield ".lower", np.rec.fromarrays([x & 65535, y & 65535], dtype=LOWER).tobytes()
-
     coded = edges.select("src", "dst", sort_key(hilbert_code("src", "dst")).alias("key"))
-    _ranged(coded, "key", folder=folder, made=made, overwrite=overwrite)
+    _ranged(coded, "key", folder=folder, layout="tile", overwrite=overwrite)
 
 
-def write_codes(codes: DataFrame, folder: str, overwrite: bool = False) -> None:
-    """Distinct codes as delta files, by ranges of the curve; code 0, edge (0, 0), raises."""
-
-    def made(batches):
-        last = np.uint64(0)
-        for b in batches:
-            code = b.column("code").to_numpy().view(np.uint64)
-            yield ".delta", delta_encode(np.diff(code, prepend=last))
-            last = code[-1] if len(code) else last
-
+def write_codes(codes: DataFrame, folder: str, overwrite: bool = False, parts: int | None = None) -> None:
+    """Distinct codes as delta files, by ranges of the curve, in so many ``parts``; code 0, edge (0, 0), raises."""
     keyed = codes.select("code").distinct().withColumn("key", sort_key(F.col("code")))
-    _ranged(keyed, "key", folder=folder, made=made, overwrite=overwrite)
+    ranged = keyed.repartitionByRange(parts, "key") if parts else keyed.repartitionByRange("key")
+    _put(ranged.sortWithinPartitions("key"), "delta", folder, overwrite)
 
 
 def write_delta(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
@@ -245,32 +395,13 @@ def merge_delta(spark: SparkSession, paths: list[str], folder: str, overwrite: b
 
 def write_csr(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
     """Distinct edges as CSR pairs, by ranges of nodes; a part's name tells its first node."""
-
-    def made(batches):
-        first, node, edge, size, ends = None, 0, 0, 0, []
-        for b in batches:
-            src, dst = b.column("src").to_numpy(), b.column("dst").to_numpy()
-            if not len(src):
-                continue
-            if first is None:
-                first = node = int(src[0])
-            same = np.concatenate([[src[0] == node], src[1:] == src[:-1]])
-            before = np.where(same, np.concatenate([[edge], dst[:-1]]), 0)
-            data, each = leb128(dst - before)
-            reach = size + np.concatenate([[0], np.cumsum(each)])
-            # A step to a later node ends all nodes from the last one up to it.
-            steps = np.diff(src, prepend=node)
-            yield f"-from{first}.offsets", np.repeat(reach[:-1], steps).astype(OFFSETS).tobytes()
-            yield f"-from{first}.payload", data
-            node, edge, size = int(src[-1]), int(dst[-1]), int(reach[-1])
-
     # By node alone, so that a node's gaps lie in one part.
     rows = edges.select("src", "dst").distinct().repartitionByRange("src").sortWithinPartitions("src", "dst")
-    files.write(rows, folder, made, overwrite)
+    _put(rows, "csr", folder, overwrite)
 
 
-def _ranged(rows: DataFrame, *order: str, folder: str, made, overwrite: bool) -> None:
-    files.write(rows.repartitionByRange(*order).sortWithinPartitions(*order), folder, made, overwrite)
+def _ranged(rows: DataFrame, *order: str, folder: str, layout: str, overwrite: bool) -> None:
+    _put(rows.repartitionByRange(*order).sortWithinPartitions(*order), layout, folder, overwrite)
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:

@@ -1,23 +1,27 @@
-"""Files of a graph: listing through Hadoop's file systems, reading and writing by byte range within tasks.
+"""Files of a graph: listing through Hadoop's file systems, reading by byte range within tasks, committed writes.
 
 Tasks open files through ``pyarrow.fs``, so a path may be local (and shared), on HDFS or in an
 object store.  Nothing is read past what a task needs and no content is shuffled.
+
+A folder is written in two phases.  Before any task runs the folder holds ``UNCOMMITTED``, and no
+reader takes it.  Tasks write files of names that no other attempt uses.  When all are done
+the driver writes ``MANIFEST``, which names the files that count, their bytes and their marks,
+and takes the first file away; if one fails, the folder goes.  A folder with neither file came from elsewhere and is read as it is.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 
-import pyarrow as pa
+import pyarrow as pa  # noqa: F401
 import pyarrow.fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from edgeflow.storage import exists, file_system, remove
+from edgeflow.storage import exists, file_system
 
 #: Bytes of files that a task reads, about.
 TASK_BYTES = 128 << 20
+MANIFEST, UNCOMMITTED = "_manifest.json", "_uncommitted"
 
 
 def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -33,16 +37,40 @@ def read_range(path: str, start: int, size: int) -> bytes:
         return f.read_at(size, start)
 
 
-def pieces(path: str, size: int = 1 << 20):
-    """A file's bytes, so many at a time."""
+def size(path: str) -> int:
+    fs, at = opened(path)
+    return fs.get_file_info(at).size
+
+
+def pieces_from(path: str, start: int, most: int | None = None, step: int = 1 << 20):
+    """A file's bytes from a place on, so many at a time."""
+    fs, at = opened(path)
+    with fs.open_input_file(at) as f:
+        end = f.size() if most is None else start + most
+        for place in range(start, end, step):
+            yield f.read_at(min(step, end - place), place)
+
+
+def manifest(path: str) -> dict | None:
+    """What a folder's writer has committed: ``files`` (name to bytes) and ``marks``; None for files from elsewhere.
+
+    A folder whose writer has not come to its end raises.
+    """
     fs, at = opened(path)
-    with fs.open_input_stream(at) as f:
-        while data := f.read(size):
-            yield data
+    there = {i.base_name for i in fs.get_file_info([f"{at}/{MANIFEST}", f"{at}/{UNCOMMITTED}"]) if i.type == pyarrow.fs.FileType.File}
+    if UNCOMMITTED in there:
+        raise FileNotFoundError(f"{path}: its writer did not commit it")
+    if MANIFEST not in there:
+        return None
+    with fs.open_input_stream(f"{at}/{MANIFEST}") as f:
+        return json.loads(f.read())
 
 
 def listed(spark: SparkSession, path: str) -> dict[str, int]:
-    """Every file of ``path`` (itself, or in the folder and below it) and its bytes; raises where there is none."""
+    """Every file of ``path`` (itself, or in the folder and below it) and its bytes; raises where there is none.
+
+    Of a committed folder, the files that its manifest names.
+    """
     at, fs = file_system(spark, path)
     if not fs.exists(at):
         raise FileNotFoundError(path)
@@ -52,7 +80,18 @@ def listed(spark: SparkSession, path: str) -> dict[str, int]:
         name = one.getPath().toString()
         if not name.rpartition("/")[2].startswith(("_", ".")):
             found[name] = one.getLen()
-    return found
+    if fs.getFileStatus(at).isFile() or (said := manifest(path)) is None:
+        return found
+    return {n: s for n, s in found.items() if n.rpartition("/")[2] in said["files"]}
+
+
+def whole(path: str, found: dict[str, int]) -> None:
+    """Raise if a committed folder has lost a file, or part of one."""
+    said = manifest(path)
+    have = {n.rpartition("/")[2]: s for n, s in found.items()}
+    for name, size in said["files"].items() if said else ():
+        if have.get(name) != size:
+            raise FileNotFoundError(f"{path}: {name} is not there as it was written")
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
@@ -79,6 +118,8 @@ def pairs(spark: SparkSession, path: str, head: str, body: str) -> list[tuple[st
     if a.keys() != b.keys():
         alone = sorted(a.keys() ^ b.keys())[0]
         raise FileNotFoundError(f"{alone}: only one of {head} and {body} is there")
+    if exists(spark, path):
+        whole(path, found)
     return [(a[k][0], b[k][0], a[k][1], b[k][1]) for k in sorted(a)]
 
 
@@ -87,37 +128,3 @@ def spread(spark: SparkSession, rows: list | DataFrame, schema: str, size: int)
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     df = spark.createDataFrame(rows, schema) if isinstance(rows, list) else rows
     return df.repartition(tasks)
-
-
-def write(rows: DataFrame, folder: str, made, overwrite: bool = False) -> None:
-    """``made(batches)`` yields (suffix, bytes); each partition appends them to its own files, named ``part-<number><suffix>``.
-
-    An existing folder raises, or is removed first with ``overwrite``, so that no earlier part
-    stays.  A task writes under a name of its own and renames its files when they are whole.
-    """
-    spark = rows.sparkSession
-    if exists(spark, folder):
-        if not overwrite:
-            raise FileExistsError(f"{folder} exists")
-        remove(spark, folder)
-
-    def run(batches):
-        fs, at = opened(folder)
-        fs.create_dir(at, recursive=True)
-        name, mine = f"{at}/part-{TaskContext.get().partitionId():05d}", uuid.uuid4().hex
-        files = {}
-        try:
-            for suffix, data in made(batches):
-                if suffix not in files:
-                    files[suffix] = fs.open_output_stream(f"{at}/.{mine}{suffix}")
-                files[suffix].write(data)
-        finally:
-            for f in files.values():
-                f.close()
-        for suffix in files:
-            fs.move(f"{at}/.{mine}{suffix}", name + suffix)  # a repeated task replaces its files whole
-        yield pa.RecordBatch.from_arrays([pa.array([len(files)], pa.int64())], ["n"])
-
-    rows.mapInArrow(run, "n long").agg(F.sum("n")).first()
-    at, fs = file_system(spark, folder)
-    fs.mkdirs(at)  # a graph without edges is an empty folder

@@ -10,7 +10,7 @@ from edgeflow.operators import components, frontier, layout
 from edgeflow.operators import graph as graph_module
 from edgeflow.operators.graph import Graph
 from edgeflow.plans import catalogue, fixtures
-from edgeflow.sources import binary, text
+from edgeflow.sources import binary, datasource, files, text
 from edgeflow.streaming import ingest
 
 M1 = ["# c", "0 1", "0 1", "1 2", "2 2", "3 4", "4 3", "6 0"]
@@ -186,6 +186,72 @@ def test_writers_leave_no_earlier_part(spark, tmp_path):
             assert binary.read(spark, fmt, path).count() == 0
 
 
+def test_an_uncommitted_folder_does_not_read(spark, tmp_path):
+    """One task of four fails: nothing is left to read.  A driver that goes before it commits leaves a folder that raises."""
+    rows = spark.range(0, 1000, 1, 4).selectExpr("IF(id = 900, raise_error('lost'), id) AS src", "id + 1 AS dst")
+    rows = rows.selectExpr("cast(src AS bigint) AS src", "dst")
+    for fmt in ("vertex", "tile", "csr"):
+        with pytest.raises(Exception, match="lost"):
+            rows.write.format(f"edge_{fmt}").mode("append").save(str(tmp_path / fmt))
+        with pytest.raises(FileNotFoundError):
+            binary.read(spark, {"tile": "hilbert"}.get(fmt, fmt), str(tmp_path / fmt)).count()
+    binary.write(graph(spark, [(1, 2), (3, 4)]).edges, "vertex", str(tmp_path / "v"))
+    (tmp_path / "v" / files.UNCOMMITTED).touch()
+    for read in (lambda: binary.read(spark, "vertex", str(tmp_path / "v")), lambda: spark.read.format("edge_vertex").load(str(tmp_path / "v"))):
+        with pytest.raises(Exception, match="did not commit"):
+            read().count()
+    (tmp_path / "v" / files.UNCOMMITTED).unlink()
+    (tmp_path / "v" / "part-00009-x.nodes").write_bytes(b"left by a task that failed")
+    assert table(binary.read(spark, "vertex", str(tmp_path / "v")), "src", "dst") == [(1, 2), (3, 4)]
+    assert table(spark.read.format("edge_vertex").load(str(tmp_path / "v")), "src", "dst") == [(1, 2), (3, 4)]
+    for p in (tmp_path / "v").glob("part-*.edges"):
+        p.write_bytes(p.read_bytes()[:-1])
+    with pytest.raises(Exception, match="as it was written"):
+        binary.read(spark, "vertex", str(tmp_path / "v"))
+
+
+def test_data_sources(spark, tmp_path):
+    """Marks split a part, schemas choose columns, files from elsewhere are read as they are."""
+    e = fixtures.graph(spark, SF, "g3", times=9_999_991).edges
+    want = table(e, "src", "dst")
+    datasource.register(spark)
+    ordered = e.coalesce(1).sortWithinPartitions("src", "dst")
+    ordered.write.format("edge_vertex").option("mark_bytes", 100).mode("append").save(str(tmp_path / "v"))
+    got = spark.read.format("edge_vertex").load(str(tmp_path / "v"))
+    assert table(got, "src", "dst") == want and table(got.select("dst"), "dst") == sorted((d,) for _, d in want)
+    binary.write_codes(layout.coded(e), str(tmp_path / "d"), parts=1)
+    codes = spark.read.format("edge_delta").schema("code bigint").load(str(tmp_path / "d"))
+    assert table(codes, "code") == table(layout.coded(e).select("code").distinct(), "code")
+    one = next((tmp_path / "d").glob("*.delta"))
+    one.rename(tmp_path / "stream")
+    assert table(spark.read.format("edge_delta").load(str(tmp_path / "stream")), "src", "dst") == sorted(set(want))
+    with pytest.raises(Exception, match="columns are"):
+        spark.read.format("edge_vertex").schema("dst string").load(str(tmp_path / "v")).count()
+
+
+@pytest.mark.parametrize("block", [1, 5, 64, 1000])
+def test_split_delta_streams(spark, tmp_path, block):
+    """Blocks that cut values, and runs of zeros, anywhere give the codes of the whole stream."""
+    r = np.random.default_rng(block)
+    gaps = np.concatenate([r.integers(1, 1 << k, 40, dtype=np.uint64) << np.uint64(s) for k, s in ((8, 0), (16, 0), (8, 16), (20, 24), (50, 0))])
+    r.shuffle(gaps)
+    gaps = gaps[: 12 if block < 5 else len(gaps)]
+    codes = np.cumsum(gaps, dtype=np.uint64)
+    (tmp_path / "s").write_bytes(codec.delta_encode(gaps))
+    got = binary.read_codes(spark, str(tmp_path / "s"), block=block)
+    assert table(got, "code") == sorted((int(c),) for c in codes.view(np.int64))
+    (tmp_path / "s").write_bytes(codec.delta_encode(gaps) + b"\0\0")
+    with pytest.raises(Exception, match="ends inside a value"):
+        binary.read_codes(spark, str(tmp_path / "s"), block=block).count()
+
+
+def test_csr_of_far_ids(spark, tmp_path):
+    """A hub, and ids far apart: entries of the nodes between are written in pieces."""
+    pairs = [(5, i * 3) for i in range(20_000)] + [(3_000_000, 1), (3_000_000, 1 << 31)]
+    binary.write(graph(spark, pairs).edges.coalesce(1), "csr", str(tmp_path / "c"))
+    assert table(binary.read(spark, "csr", str(tmp_path / "c")), "src", "dst") == sorted(pairs)
+
+
 def test_runs_of_an_unsorted_file(spark, tmp_path):
     rows = spark.createDataFrame([(0, 5, 1), (1, 3, 2), (2, 5, 4)], "p long, src long, dst long")
     binary.write_runs(rows.coalesce(1), "p", str(tmp_path / "r"))
