@@ -22,14 +22,15 @@ from edgeflow.llm.text import batch_rows
 from edgeflow.storage import Saved, save
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Letters scored as one word; a longer run is several words.
+#: Letters of a word that is scored among others of its length; the sums of a longer one are rescaled as they grow.
+#: The model learns from a longer run of letters in pieces of so many.
 WORD = 63
 MARK = "▁"
 LEAST = 1e-6
 #: Probabilities are scaled so per character, to stay clear of underflow.
 SCALE = 1e4
 CACHE = 4_500_000
-#: Labels that may be languages, at most: a row for each goes to all tasks.
+#: Labels that may be languages, at most: a probability of every piece for each goes to all tasks (258 MB for so many).
 LANGUAGES = 1000
 #: A worker's word scores under the model it used last.
 _SCORED: dict = {}
@@ -74,13 +75,12 @@ def _hashed(path: str) -> tuple[np.ndarray, np.ndarray, int, int]:
 def words(text: str | None) -> list[str]:
     """Runs of letters, lower-cased, with the word mark before each."""
     found = [w for w in LETTERS.findall(text.lower()) if w.isascii() or any(map(str.isalpha, w))] if text else []
-    out = []
-    for w in found:
-        if len(w) <= WORD:
-            out.append(MARK + w)
-        else:
-            out.extend(MARK + w[i : i + WORD] for i in range(0, len(w), WORD))
-    return out
+    return [MARK + w for w in found]
+
+
+def short_words(text: str | None) -> list[str]:
+    """``words``, the long ones in pieces."""
+    return [MARK + w[i : i + WORD] for w in words(text) for i in range(1, len(w), WORD)]
 
 
 def _edges(group: list[str], path: str) -> tuple[np.ndarray, ...]:
@@ -126,11 +126,42 @@ def forward(group: list[str], p: np.ndarray, path: str) -> tuple[np.ndarray, tup
     return a, (word, start, end, piece, scaled)
 
 
+def log_score_long(word: str, p: np.ndarray, path: str) -> np.ndarray:
+    """``log_scores`` of one word of any length: only the last sums are held, and rescaled on the way."""
+    hashes, pieces, longest, first_byte = _hashed(path)
+    letters = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+    n = len(letters)
+    lead = np.select([letters < 0x80, letters < 0x800, letters < 0x10000], [letters, 0xC0 | letters >> 6, 0xE0 | letters >> 12], 0xF0 | letters >> 18)
+    h = np.full(n, START)
+    piece = np.full((n, longest), -1)  # by first letter and length less one
+    for k in range(min(longest, n)):
+        h = (h[: n - k] ^ letters[k:].astype(np.uint64)) * STEP
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        piece[: n - k, k] = np.where(hashes[at] == h, pieces[at], -1)
+    piece[:, 0] = np.where(piece[:, 0] < 0, first_byte + lead, piece[:, 0])
+    recent = np.zeros((longest, p.shape[1]))  # sums over segmentations up to each of the last places, by place modulo longest
+    recent[0] = 1
+    total = np.zeros(p.shape[1])
+    for i in range(1, n + 1):
+        size = np.arange(1, min(i, longest) + 1)
+        by = piece[i - size, size - 1]
+        ends = by >= 0
+        scaled = p[by[ends]] * (SCALE ** size[ends])[:, None]
+        recent[i % longest] = (recent[(i - size[ends]) % longest] * scaled).sum(axis=0)
+        if i % 16 == 0:
+            top = recent.max(axis=0)
+            recent /= top
+            total += np.log(top)
+    return total + np.log(recent[n % longest]) - n * np.log(SCALE)
+
+
 def log_scores(batch: list[str], p: np.ndarray, path: str) -> np.ndarray:
     """Natural log probability of each word under each language."""
     out = np.empty((len(batch), p.shape[1]))
     sizes = np.fromiter(map(len, batch), np.int64, len(batch))
-    for n in np.unique(sizes):
+    for i in np.flatnonzero(sizes > WORD + len(MARK)):
+        out[i] = log_score_long(batch[i], p, path)
+    for n in np.unique(sizes[sizes <= WORD + len(MARK)]):
         at = np.flatnonzero(sizes == n)
         for k in range(0, len(at), 4096):
             part = at[k : k + 4096]
@@ -244,7 +275,7 @@ def fit(labelled: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         seen = Counter()
         for b in batches:
             for x, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen.update((column[x], w) for w in words(t))
+                seen.update((column[x], w) for w in short_words(t))
             if len(seen) > 300_000:
                 yield out(seen)
                 seen = Counter()

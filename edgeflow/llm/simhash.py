@@ -156,11 +156,11 @@ def near_duplicates(
         if similarity is None:
             rows = save(fingerprints(docs.select(*cols), "__t", names, shingle))
         else:
-            wide = Saved(_sets(docs.select(*cols), "__t", names, similarity, shingle))
+            wide = _told_apart(Saved(_sets(docs.select(*cols), "__t", names, similarity, shingle)))
             # One row of each set keeps its prefix; the documents go on without.
             first = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), "fp", "n", "parities", "prefix")
             kinds = Saved(wide.df.groupBy("sid").agg(F.min(first).alias("p")).select("sid", "p.*"))
-            rows = save(wide.df.drop("prefix", "n", "parities"))
+            rows = save(wide.df.drop("prefix", "n", "parities", "sid2"))
             wide.drop()
             release(docs.sparkSession)
         distinct = save(rows.groupBy("fp").agg(F.min("__id").alias("low")))
@@ -210,7 +210,7 @@ def parities(h: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingle: int) -> DataFrame:
-    """``keys``, ``fp``, a digest ``sid`` of the shingle set, its size ``n``, ``parities`` and ``prefix``."""
+    """``keys``, ``fp``, a digest ``sid, sid2`` of the shingle set, its size ``n``, ``parities`` and ``prefix``."""
     spark = docs.sparkSession
     share = min(1.0, SAMPLE / max(1, docs.count()))
     sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -229,16 +229,30 @@ def _sets(docs: DataFrame, text: str, keys: list[str], similarity: float, shingl
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             sets = [shingle_set(t) for t in texts]
             sid = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            sid2 = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED + 1) for h in sets], np.uint64).view(np.int64)
             first = [prefix(h, similarity, common).view(np.int64) for h in sets]
             odd = pa.array([parities(h) for h in sets], pa.binary())
-            values = [pa.array(fp), pa.array(sid), pa.array([len(h) for h in sets], pa.int64()), odd, pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *values], [*keys, "fp", "sid", "n", "parities", "prefix"])
+            values = [pa.array(fp), pa.array(sid), pa.array(sid2), pa.array([len(h) for h in sets], pa.int64()), odd, pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *values], [*keys, "fp", "sid", "sid2", "n", "parities", "prefix"])
 
-    schema = docs.select(*keys).schema.add("fp", "long").add("sid", "long").add("n", "long").add("parities", "binary")
+    schema = docs.select(*keys).schema.add("fp", "long").add("sid", "long").add("sid2", "long").add("n", "long").add("parities", "binary")
     schema = schema.add("prefix", ArrayType(LongType()))
     return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(each, schema)
 
 
+def _told_apart(wide: Saved) -> Saved:
+    """Sets whose first 64 bits are alike but not the second get a ``sid`` of both; at 10^10 documents there are a few."""
+    same = wide.df.groupBy("sid").agg(F.min("sid2").alias("low"), F.max("sid2").alias("high")).where("low <> high").select("sid", "low")
+    clash = Saved(same)
+    if clash.df.limit(1).count():
+        sid = F.when(F.col("low") != F.col("sid2"), F.xxhash64("sid", "sid2")).otherwise(F.col("sid"))
+        apart = Saved(wide.df.join(clash.df, "sid", "left").withColumn("sid", sid).select(*wide.df.columns))
+        wide.drop()
+        wide = apart
+    clash.drop()
+    return wide
+
+
 def _alike(similarity: float):
     """Pairs of sets whose exact likeness is ``similarity`` or more."""
 
@@ -312,27 +326,32 @@ def _tiled(left: DataFrame, similarity: float) -> DataFrame:
 
     The sets of a shingle are one tile if they are few.  Else they are dealt into tiles by
     size class and hash, and only tiles of the same or the next class meet, each two of them
-    under a key of their own.
+    under a key of their own.  The component that most of a shingle's sets belong to already,
+    the crowd, has tiles of its own, which never meet each other: nothing in them is apart.
     """
-    many = left.groupBy("h").count().where(F.col("count") > GROUP).select("h", F.lit(True).alias("many"))
+    crowds = left.groupBy("h", "comp").count().groupBy("h").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("top"))
+    many = crowds.where(F.col("all") > GROUP).select("h", F.col("top.comp").alias("crowd"))
     # Sizes whose ratio is at least ``similarity`` lie in the same or in neighbouring classes.
     cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(1e-6 - np.log(similarity)))).cast("int")
-    placed = left.join(many, "h", "left").withColumn("cls", F.when(F.col("many"), cls).otherwise(-1))
-    parts = Saved(placed.groupBy("h", "cls").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")))
+    placed = left.join(many, "h", "left").withColumns({"cls": F.when(F.col("crowd").isNotNull(), cls).otherwise(-1), "own": F.coalesce(F.col("comp") == F.col("crowd"), F.lit(False))}).drop("crowd")
+    tiles_of = lambda own: F.ceil(F.sum((F.col("own") == own).cast("int")) / GROUP).cast("int")
+    parts = Saved(placed.groupBy("h", "cls").agg(tiles_of(False).alias("mixed"), tiles_of(True).alias("one")))
     members = ("sid", "n", "comp", "parities")
-    part = F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part")
-    dealt = placed.join(parts.df, ["h", "cls"]).groupBy("h", "cls", "parts", part)
+    # Tiles of the crowd, the component with most of a shingle's sets, are numbered after the others.
+    turn = lambda k: F.pmod(F.xxhash64("sid"), F.greatest(F.col(k), F.lit(1))).cast("int")
+    part = F.when(F.col("own"), F.col("mixed") + turn("one")).otherwise(turn("mixed")).alias("part")
+    dealt = placed.join(parts.df, ["h", "cls"]).groupBy("h", "cls", "mixed", "one", part)
     tiles = Saved(dealt.agg(F.collect_list(F.struct(*members)).alias("m")))
     release(left.sparkSession)
     side = {s: [F.col(f"m.{c}").alias(f"{c}{s}") for c in members] for s in "ab"}
     pairs = "a long, na long, b long, nb long"
-    alone = tiles.df.where(F.size("m") > 1).select(*side["a"]).mapInArrow(_possible(similarity, True), pairs)
+    alone = tiles.df.where((F.size("m") > 1) & (F.col("part") < F.col("mixed"))).select(*side["a"]).mapInArrow(_possible(similarity, True), pairs)
 
     def role(s: str, step: int, other: str) -> DataFrame:
-        """Each tile once for every tile that it meets: those of its class on one side of it, and the next class."""
-        near = parts.df.where("cls >= 0").select("h", (F.col("cls") - step).alias("cls"), F.col("parts").alias("near"))
-        own = F.expr(f"transform(filter(sequence(0, parts - 1), q -> q {'>' if step > 0 else '<'} part), q -> struct(cls as c, q as p))")
-        next_ = F.expr(f"transform(filter(sequence(0, coalesce(near, 1) - 1), q -> near is not null), q -> struct(cls + {step} as c, q as p))")
+        """Each tile once for every tile that it meets: those of its class on one side of it, and the next class; two of the crowd never meet."""
+        near = parts.df.where("cls >= 0").select("h", (F.col("cls") - step).alias("cls"), F.col("mixed").alias("m2"), F.col("one").alias("o2"))
+        own = F.expr(f"transform(filter(sequence(0, mixed + one - 1), q -> q {'>' if step > 0 else '<'} part and (part < mixed or q < mixed)), q -> struct(cls as c, q as p))")
+        next_ = F.expr(f"transform(filter(sequence(0, greatest(coalesce(m2 + o2, 1), 1) - 1), q -> m2 is not null and (part < mixed or q < m2)), q -> struct(cls + {step} as c, q as p))")
         met = tiles.df.where("cls >= 0").join(near, ["h", "cls"], "left").withColumn("o", F.explode(F.concat(own, next_)))
         return met.select(
             "h", F.col("cls").alias(f"c{s}"), F.col("part").alias(f"p{s}"), F.col("o.c").alias(f"c{other}"), F.col("o.p").alias(f"p{other}"), *side[s]

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -136,7 +137,7 @@ def tables(spark, tmp_path_factory):
     """Documents with long shared passages, and embeddings with planted links, as a folder of tables."""
     folder = str(tmp_path_factory.mktemp("tables"))
     shared = prose(120, 71)
-    texts = [r[1] for r in DOCS] + [prose(50, 80 + i) + " " + shared[i : 600 + 3 * i] + "é " + prose(30, 90 + i) for i in range(8)] + [shared, shared + " x", "ü" * 300, "ü" * 300 + "a"]
+    texts = [r[1] for r in DOCS] + ["under" * 40 + " the", "x" * 64, "é" * 63 + " a"] + [prose(50, 80 + i) + " " + shared[i : 600 + 3 * i] + "é " + prose(30, 90 + i) for i in range(8)] + [shared, shared + " x", "ü" * 300, "ü" * 300 + "a"]
     data = [(i, t, ("a", "b", None)[i % 3], ("x", "y")[i % 2], len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     r = np.random.default_rng(9)
@@ -183,13 +184,13 @@ def test_op3_posterior(spark, tables):
     index, _, _ = language.vocabulary(path)
 
     def log_word(w, lang):
-        a = [1.0] + [0.0] * len(w)
+        a = [Fraction(1)] + [Fraction(0)] * len(w)  # of words of any length
         for j in range(1, len(w) + 1):
             for i in range(max(0, j - 20), j):
                 piece = index.get(w[i:j], index[f"<0x{w[i].encode()[0]:02X}>"] if j == i + 1 else None)
                 if piece is not None:
-                    a[j] += a[i] * model.p[piece, lang]
-        return math.log(a[-1])
+                    a[j] += a[i] * Fraction(float(model.p[piece, lang]))
+        return math.log(a[-1].numerator) - math.log(a[-1].denominator)
 
     got = {r["doc_id"]: r for r in queries.op3_language_id(spark, folder).collect()}
     assert len(got) == len(data)
