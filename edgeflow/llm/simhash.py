@@ -119,20 +119,25 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         F.lit(0).cast("long"),
     )
     keyed = fps.select("fp", key.alias("key"))
-    parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    parts = save(keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")))
     tiles = save(
         keyed.join(parts, "key")
-        .groupBy("key", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
+        .groupBy("key", F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part"))
         .agg(F.collect_list("fp").alias("fps"))
     )
-    steps = F.array(*[F.lit(x).cast("long") for x in _steps(segments, radius)])
-    a = tiles.select(F.col("key").alias("ka"), F.col("part").alias("pa"), F.col("fps").alias("fa"), F.explode(steps).alias("step"))
-    a = a.withColumn("key", F.col("ka") + F.col("step"))
-    pairs = (
-        a.join(tiles, "key")
-        .where("step <> 0 or part >= pa")
-        .select("fa", F.col("fps").alias("fb"), ((F.col("step") == 0) & (F.col("part") == F.col("pa"))).alias("same"))
-    )
+    steps = _steps(segments, radius)
+
+    def role(s: str, sign: int, other: str) -> DataFrame:
+        """Each tile once for every tile that it meets: two tiles of one key, and of neighbouring keys, have a key of their own."""
+        met = tiles.withColumn("step", F.explode(F.array(*[F.lit(sign * x).cast("long") for x in steps])))
+        met = met.withColumn("there", F.col("key") + F.col("step")).join(parts.withColumnRenamed("key", "there"), "there")
+        # Of two tiles of one key the one of the lower number is on side a.
+        low, high = (F.col("part"), F.col("parts") - 1) if s == "a" else (F.lit(0), F.col("part"))
+        range_ = F.when(F.col("step") == 0, F.sequence(low, high)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        return met.select(F.col("key").alias(f"k{s}"), F.col("part").alias(f"p{s}"), F.col("there").alias(f"k{other}"), F.explode(range_).alias(f"p{other}"), F.col("fps").alias(f"f{s}"))
+
+    both = role("a", 1, "b").join(role("b", -1, "a"), ["ka", "pa", "kb", "pb"])
+    pairs = both.select("fa", "fb", ((F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb"))).alias("same"))
     return pairs.mapInArrow(_compare(radius), "src long, dst long")
 
 
