@@ -12,10 +12,10 @@ model for the distinct words and (DEPTH + 1)-grams it contains, with their train
 packed.  A shard owns whole subtrees: all grams with the same ``split`` bytes before the
 predicted one.  Requests to a shard are added up ``FAN`` blocks at a time, round by round, so
 no task sees more than ``FAN`` packed rows, and each row at most the shard's distinct grams.
-A shard evaluates its subtrees once and answers the blocks, again ``FAN`` at a time.
-What travels is the distinct grams and words of blocks, so it grows with the corpus; the model
-grows with the corpus's distinct grams, which its alphabet bounds, and is dealt over up to
-``SHARDS`` shards.  Only the nodes above the subtrees go to the driver, whose number the
+A shard evaluates its subtrees once; the blocks' requests, sorted behind it, stream past it.
+What travels is the distinct grams and words of blocks, so it grows with the corpus, and each
+part of the model once; the model grows with the corpus's distinct grams, which its alphabet
+bounds, and is dealt over as many shards as there are blocks, or as their root demands past ``SHARDS``.  Only the nodes above the subtrees go to the driver, whose number the
 alphabet bounds (255 * 65,793 for three bytes) and which are counted first; past ``TOP_ROWS``
 shards own the larger subtrees of two bytes, which leaves at most 255 * 257 rows above.
 Words travel as 64-bit hashes, probabilities of grams in single precision.
@@ -23,6 +23,8 @@ Words travel as 64-bit hashes, probabilities of grams in single precision.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -31,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeflow.llm.language import fold
-from edgeflow.llm.text import utf8, words
+from edgeflow.llm.text import batch_rows, utf8, words
 from edgeflow.storage import Saved, release, save, settled
 
 DEPTH = 6
 TOP_ROWS = 1_000_000
-#: Parts of the model, at most, and blocks that are added up or answered at once.
+#: Blocks up to which a part of the model stands by each (past them parts grow as the root of the blocks), and blocks that are added up at once.
 SHARDS, FAN = 4096, 32
 #: Bytes of text that make up a block, about.
 BLOCK_BYTES = 16_000_000
@@ -245,6 +247,8 @@ def _requests(split: int, shards: int):
         rows = [[], [], [], [], [], []]
         of_word, of_gram = _by_shard((hashes % np.uint64(shards)).astype(np.int64), shards), _by_shard(_shard_of_gram(gram, split, shards), shards)
         for s, (w, x) in enumerate(zip(of_word, of_gram, strict=True)):
+            if not len(w) and not len(x):
+                continue
             cells = table.column("block")[0].as_py(), s, planes(hashes[w], WORD), _counts_packed(word_n[w]), planes(gram[x], GRAM), _counts_packed(gram_n[x])
             for column, cell in zip(rows, cells, strict=True):
                 column.append(cell)
@@ -319,19 +323,30 @@ def _model(split: int, top):
 
 
 def _answers():
-    """What a shard's model says to the requests of some blocks, in the order of each request."""
-
-    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-        row = {c: model.column(c)[0].as_py() for c in (*NAMES[:3], "logs")} if len(model) else None
-        if row is None or not len(asked):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["block", "shard", "word_n", "logs"])
-        word, n = unplanes(row["words"], WORD, np.uint64), _counts_unpacked(row["word_n"])
-        gram, logs = unplanes(row["grams"], GRAM), np.frombuffer(row["logs"], "<f8").astype("<f4")
-        c, s = [], []
-        for w, g in zip(asked.column("words").to_pylist(), asked.column("grams").to_pylist(), strict=True):
-            c.append(_counts_packed(n[np.searchsorted(word, unplanes(w, WORD, np.uint64))]))
-            s.append(logs[np.searchsorted(gram, unplanes(g, GRAM))].tobytes())
-        return pa.table([asked.column("block"), asked.column("shard"), pa.array(c, pa.binary()), pa.array(s, pa.binary())], ["block", "shard", "word_n", "logs"])
+    """What the shards' models say to requests, in the order of each request.
+
+    Rows come sorted by shard, its model (block -1) before its requests, which stream past it.
+    """
+
+    def answer(batches):
+        held = None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c) for c in ("shard", "block", "words", "word_n", "grams", "logs")), strict=True):
+                shard, block = row[0].as_py(), row[1].as_py()
+                w, n, g, logs = (x.as_py() for x in row[2:])
+                if block < 0:
+                    model = unplanes(w, WORD, np.uint64), _counts_unpacked(n), unplanes(g, GRAM), np.frombuffer(logs, "<f8").astype("<f4")
+                    held = shard
+                    continue
+                if held != shard:
+                    raise ValueError(f"no model of shard {shard}")
+                word, counts, gram, log = model
+                c = _counts_packed(counts[np.searchsorted(word, unplanes(w, WORD, np.uint64))])
+                out.append((block, shard, c, log[np.searchsorted(gram, unplanes(g, GRAM))].tobytes()))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "shard", "word_n", "logs"])
 
     return answer, "block long, shard long, word_n binary, logs binary"
 
@@ -387,7 +402,7 @@ def score(
     kind = source.schema["id"].dataType.simpleString()
     size, end_n = source.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held"))).first()
     n_blocks = int((size or 0) // block_bytes) + 1
-    shards = min(n_blocks, SHARDS)
+    shards = n_blocks if n_blocks <= SHARDS else SHARDS * math.isqrt(n_blocks) // math.isqrt(SHARDS)
     source = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
     for split in (3, 2):
         ask, schema = _requests(split, shards)
@@ -415,12 +430,13 @@ def score(
     evaluate, schema = _model(split, top)
     model = Saved(merged.groupBy("shard").applyInArrow(evaluate, schema))
     before.drop()
-    # A shard answers some blocks at a time, each time with its own copy of the shard.
-    turns = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_blocks - 1) // FAN).cast("bigint")))
-    questions = asked.df.select("block", "shard", F.expr(f"block div {FAN}").alias("turn"), "words", "grams")
+    # Requests are sorted behind their shard's model: each goes once to where it is, and so does the model.
+    columns = ["shard", "block", "words", "word_n", "grams", "logs"]
+    models = model.df.withColumn("block", F.lit(-1).cast("bigint")).select(*columns)
+    questions = asked.df.withColumns({"word_n": F.lit(None).cast("binary"), "logs": F.lit(None).cast("binary")}).select(*columns)
     answer, schema = _answers()
-    answers = questions.groupBy("shard", "turn").cogroup(model.df.withColumn("turn", turns).groupBy("shard", "turn")).applyInArrow(answer, schema)
-    answers = Saved(answers)
+    with batch_rows(spark):
+        answers = Saved(models.union(questions).repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(answer, schema))
     asked.drop()
     model.drop()
     release(spark)
