@@ -286,13 +286,36 @@ def _streams(spark, sf_dir):
     return [layout.coded(rows.where(f"k = {k}")) for k in range(3)]
 
 
-@query(_with("SELECT c::BIGINT AS code FROM e JOIN code USING (src, dst)", CODES))
+def _written_streams(spark, sf_dir):
+    """The three streams as delta files, each sorted and without the codes it repeats."""
+    paths = [_place(spark, "stream") for _ in range(3)]
+    for codes, path in zip(_streams(spark, sf_dir), paths, strict=True):
+        binary.write_codes(codes, path)
+    return paths
+
+
+PER_STREAM = "SELECT c::BIGINT AS code FROM (SELECT DISTINCT l_orderkey::BIGINT AS src, l_partkey::BIGINT AS dst, l_linenumber % 3 AS k FROM lineitem) JOIN code USING (src, dst)"
+
+
+@query(_with(PER_STREAM, CODES))
 def merge_all(spark, sf_dir):
-    return layout.merge(*_streams(spark, sf_dir)).select("code")
+    """Sorted streams merged range by range in their own order; a code of two streams comes twice."""
+    return binary.merge_codes(spark, _written_streams(spark, sf_dir), least_block=1 << 14, task_bytes=1 << 16)
 
 
 @query(_with("SELECT c::BIGINT AS code FROM code", CODES))
 def merge_distinct(spark, sf_dir):
+    return binary.merge_codes(spark, _written_streams(spark, sf_dir), distinct=True, least_block=1 << 14, task_bytes=1 << 16)
+
+
+@query(_with("SELECT c::BIGINT AS code FROM e JOIN code USING (src, dst)", CODES))
+def merge_by_sort(spark, sf_dir):
+    """Tables of codes in any order, as one in unsigned order."""
+    return layout.merge(*_streams(spark, sf_dir)).select("code")
+
+
+@query(_with("SELECT c::BIGINT AS code FROM code", CODES))
+def merge_distinct_by_sort(spark, sf_dir):
     return layout.merge(*_streams(spark, sf_dir), distinct=True).select("code")
 
 
@@ -372,11 +395,8 @@ def dense_tiles(spark, sf_dir):
 @query(_with("SELECT c::BIGINT AS code FROM code", CODES))
 def merged_delta_file(spark, sf_dir):
     """Three sorted streams, which share edges, as one of distinct codes."""
-    paths = [_place(spark, "stream") for _ in range(3)]
-    for codes, path in zip(_streams(spark, sf_dir), paths, strict=True):
-        binary.write_codes(codes, path)
     whole = _place(spark, "merged")
-    binary.merge_delta(spark, paths, whole)
+    binary.merge_delta(spark, _written_streams(spark, sf_dir), whole)
     return binary.read_codes(spark, whole)
 
 

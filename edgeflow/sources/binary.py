@@ -146,7 +146,7 @@ def decoded(name: str, start: int, size: int, entry: int, base: int, strict: boo
     stream.close()
 
 
-def _delta_blocks(spark: SparkSession, found: dict[str, int], known: dict[str, list] | None, block: int) -> DataFrame:
+def _delta_blocks(spark: SparkSession, found: dict[str, int], known: dict[str, list] | None, block: int) -> list[tuple]:
     """``BLOCKS`` of delta files: from the marks of their writer, or found by two looks at their bytes.
 
     The first look tells for each block how each way to enter it leaves it; chained from a
@@ -158,10 +158,10 @@ def _delta_blocks(spark: SparkSession, found: dict[str, int], known: dict[str, l
             marks = [[0, 0], *known.get(name.rpartition("/")[2], [])]
             for (at, code), (end, _) in zip(marks, [*marks[1:], [size, 0]], strict=True):
                 rows.append((name, at, end - at, 0, code))
-        return files.spread(spark, rows, BLOCKS, sum(found.values()))
+        return rows
     rows = [(n, at, min(block, size - at)) for n, size in found.items() for at in range(0, max(size, 1), block)]
     if all(size <= block for size in found.values()):
-        return files.spread(spark, [(*r, 0, 0) for r in rows], BLOCKS, sum(found.values()))
+        return [(*r, 0, 0) for r in rows]
 
     def looked(batches):
         for b in batches:
@@ -195,7 +195,7 @@ def _delta_blocks(spark: SparkSession, found: dict[str, int], known: dict[str, l
     for n, at, size, way, _ in entered:
         based.append((n, at, size, way, base.get(n, 0)))
         base[n] = int(np.uint64((base.get(n, 0) + sums[n, at]) % (1 << 64)).astype(np.int64))
-    return files.spread(spark, based, BLOCKS, sum(found.values()))
+    return based
 
 
 def read_codes(spark: SparkSession, path: str, strict: bool = True, block: int = DELTA_BYTES) -> DataFrame:
@@ -204,22 +204,91 @@ def read_codes(spark: SparkSession, path: str, strict: bool = True, block: int =
     ``strict`` wants codes that increase throughout each file.  A file of more than
     ``block`` bytes is decoded by many tasks: between its writer's marks, or in blocks whose borders are found first.
     """
-    every = files.listed(spark, path)
-    one = files.is_file(spark, path)
+    found, marks = _streams(spark, path)
+
+    def decode(batches):
+        for b in batches:
+            for name, start, size, entry, base in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                for code in decoded(name, start, size, entry, base & (1 << 64) - 1, strict):
+                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], ["code"])
+
+    blocks = _delta_blocks(spark, found, marks, block)
+    return files.spread(spark, blocks, BLOCKS, sum(found.values())).mapInArrow(decode, "code long")
+
+
+def _streams(spark: SparkSession, path: str) -> tuple[dict[str, int], dict[str, list] | None]:
+    """Delta files of a path with their bytes, and their writer's marks if it left any."""
+    every, one = files.listed(spark, path), files.is_file(spark, path)
     found = every if one else {n: s for n, s in every.items() if n.endswith(".delta")}
     if every and not found:
         raise FileNotFoundError(f"{path}: no .delta files")
     said = None if one else files.manifest(path)
     if said:
         files.whole(path, found)
+    return found, said and said["marks"]
+
+
+#: Streams that a task merges at most, bytes of a stream's blocks there at least, and blocks in all, about.
+WAYS, LEAST_BLOCK, MOST_BLOCKS = 64, 1 << 20, 100_000
 
-    def decode(batches):
-        for b in batches:
-            for name, start, size, entry, base in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                for code in decoded(name, start, size, entry, base & (1 << 64) - 1, strict):
-                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], ["code"])
 
-    return _delta_blocks(spark, found, said and said["marks"], block).mapInArrow(decode, "code long")
+def merged_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two sorted arrays as one: where each of b's goes among a's, equal ones after them."""
+    at = np.searchsorted(a, b, "right") + np.arange(len(b))
+    out, own = np.empty(len(a) + len(b), a.dtype), np.ones(len(a) + len(b), bool)
+    own[at] = False
+    out[at], out[own] = b, a
+    return out
+
+
+def merge_codes(spark: SparkSession, paths: list[str], distinct: bool = False, least_block: int = LEAST_BLOCK, task_bytes: int = DELTA_BYTES) -> DataFrame:
+    """``code`` of sorted delta streams in unsigned order, without sorting: partitions hold successive ranges of codes.
+
+    The code before each block of a stream is known, so ranges are cut at these; a task
+    decodes the blocks that reach into its range, each stream's in its own order, and merges
+    them two and two.  A stream that does not increase raises.  A code of several streams comes
+    as often, or once if ``distinct``.  More than ``WAYS`` files are sorted instead.
+    """
+    found = {}
+    for path in paths:
+        found |= _streams(spark, path)[0]
+    total = sum(found.values())
+    if len(found) > WAYS:
+        return layout.merge(*[read_codes(spark, p) for p in paths], distinct=distinct)
+    rows = _delta_blocks(spark, found, None, max(least_block, total // MOST_BLOCKS))
+    unsigned = [(n, at, size, way, base & (1 << 64) - 1) for n, at, size, way, base in rows]
+    # A block's codes lie past its own base, up to the base of the file's next block.
+    ends = [b[4] if b and b[0] == a[0] else (1 << 64) - 1 for a, b in zip(unsigned, [*unsigned[1:], None], strict=True)]
+    cuts, held = [0], 0
+    for _, _, size, _, base in sorted(unsigned, key=lambda r: r[4]):
+        if held >= task_bytes and base > cuts[-1]:
+            cuts.append(base)
+            held = 0
+        held += size
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    tasks = []
+    for k, (low, high) in enumerate(zip(cuts, [*cuts[1:], (1 << 64) - 1], strict=True)):
+        own = [r for r, end in zip(unsigned, ends, strict=True) if r[4] < high and (end > low or not low)]
+        tasks.append((k, signed(low), signed(high), [(*r[:4], signed(r[4])) for r in own]))
+
+    def run(batches):
+        for b in batches:
+            for low, high, blocks in zip(*(b.column(c).to_pylist() for c in ("low", "high", "blocks")), strict=True):
+                low, high = np.uint64(low & (1 << 64) - 1), np.uint64(high & (1 << 64) - 1)
+                streams: dict[str, list] = {}
+                for x in blocks:
+                    for code in decoded(x["name"], x["start"], x["size"], x["entry"], x["base"] & (1 << 64) - 1, True):
+                        streams.setdefault(x["name"], []).append(code[(code > low) & (code <= high)])
+                parts = [np.concatenate(x) for x in streams.values()]
+                while len(parts) > 1:
+                    parts = [merged_two(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+                code = parts[0] if parts else np.zeros(0, np.uint64)
+                code = code[np.concatenate([[True], code[1:] != code[:-1]])] if distinct and len(code) else code
+                for i in range(0, len(code), BATCH):
+                    yield pa.RecordBatch.from_arrays([pa.array(code[i : i + BATCH].view(np.int64))], ["code"])
+
+    schema = "k long, low long, high long, blocks array<struct<name: string, start: bigint, size: bigint, entry: int, base: bigint>>"
+    return spark.createDataFrame(tasks, schema).repartitionByRange(len(tasks), "k").sortWithinPartitions("k").mapInArrow(run, "code long")
 
 
 def read_delta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -389,8 +458,8 @@ def write_delta(edges: DataFrame, folder: str, overwrite: bool = False) -> None:
 
 
 def merge_delta(spark: SparkSession, paths: list[str], folder: str, overwrite: bool = False) -> None:
-    """Several delta streams as one of distinct codes."""
-    write_codes(layout.together(*[read_codes(spark, p) for p in paths]), folder, overwrite)
+    """Several delta streams as one of distinct codes, written as they are merged."""
+    _put(merge_codes(spark, paths, distinct=True), "delta", folder, overwrite)
 
 
 def write_csr(edges: DataFrame, folder: str, overwrite: bool = False) -> None:

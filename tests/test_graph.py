@@ -245,6 +245,25 @@ def test_split_delta_streams(spark, tmp_path, block):
         binary.read_codes(spark, str(tmp_path / "s"), block=block).count()
 
 
+@pytest.mark.parametrize("block,task", [(3, 10), (64, 200), (1 << 20, 1 << 20)])
+def test_merge_of_streams(spark, tmp_path, block, task):
+    """Streams that share codes, one empty, one past 2^63: in order over all partitions, and each code once if asked."""
+    r = np.random.default_rng(3)
+    every = [np.unique(r.integers(1, 1 << k, n, dtype=np.uint64)) for k, n in ((12, 200), (12, 150), (63, 40), (2, 1))]
+    every[2] = np.concatenate([every[2], np.array([1 << 63, (1 << 64) - 1], np.uint64)])
+    paths = [str(tmp_path / f"s{i}") for i in range(5)]
+    for path, codes in zip(paths, [*every, np.zeros(0, np.uint64)], strict=True):
+        (tmp_path / path.rpartition("/")[2]).write_bytes(codec.delta_encode(np.diff(codes, prepend=np.uint64(0))))
+    want = np.sort(np.concatenate(every))
+    got = binary.merge_codes(spark, paths, least_block=block, task_bytes=task)
+    assert [r["code"] & (1 << 64) - 1 for r in got.collect()] == want.tolist()
+    got = binary.merge_codes(spark, paths, distinct=True, least_block=block, task_bytes=task)
+    assert [r["code"] & (1 << 64) - 1 for r in got.collect()] == np.unique(want).tolist()
+    (tmp_path / "s4").write_bytes(codec.delta_encode(np.array([5, 2**64 - 3], np.uint64)))
+    with pytest.raises(Exception, match="do not increase"):
+        binary.merge_codes(spark, paths, least_block=1 << 20).collect()
+
+
 def test_csr_of_far_ids(spark, tmp_path):
     """A hub, and ids far apart: entries of the nodes between are written in pieces."""
     pairs = [(5, i * 3) for i in range(20_000)] + [(3_000_000, 1), (3_000_000, 1 << 31)]
