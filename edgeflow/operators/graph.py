@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+import pickle
 from functools import cached_property, reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ ALPHA = 0.85
 SALTS = 64
 #: Levels of a search whose tables are kept apart before they become one.
 TABLES = 16
+#: States of a fold that a task merges.
+FAN = 16
 log = logging.getLogger("edgeflow")
 
 
@@ -90,6 +95,37 @@ class Graph:
         sent = self.edges.join(state.withColumnRenamed("id", sender), sender)
         return sent.select(F.col(to).alias("id"), message.alias("m")).groupBy("id").agg(combine("m").alias("m"))
 
+    def fold_edges(self, start, step, merge, finish, schema: str) -> DataFrame:
+        """A state of any kind over all edges: ``finish`` of it gives columns (name to values) of ``schema``.
+
+        ``start()`` makes a task's state, ``step(state, src, dst)`` takes a batch of edges as arrays
+        and returns it, ``merge(a, b)`` makes one of two.  Tasks send their states; tasks merge ``FAN`` of them, in rounds, so
+        none sees more.  What a state holds must fit in a task; steps and merges must not
+        depend on the order of edges.
+        """
+
+        def folded(batches):
+            state = start()
+            for b in batches:
+                state = step(state, b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps(state)])], ["k", "state"])
+
+        def merged(table: pa.Table) -> pa.Table:
+            states = map(pickle.loads, table.column("state").to_pylist())
+            return pa.table({"k": table.column("k")[:1], "state": pa.array([pickle.dumps(reduce(merge, states))], pa.binary())})
+
+        def finished(batches):
+            for b in batches:
+                for data in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_pydict(finish(pickle.loads(data)))
+
+        states = Saved(self.edges.mapInArrow(folded, "k long, state binary"))
+        while states.df.count() > 1:
+            up = Saved(states.df.withColumn("k", F.expr(f"k div {FAN}")).groupBy("k").applyInArrow(merged, "k long, state binary"))
+            states.drop()
+            states = up
+        return states.df.select("state").mapInArrow(finished, schema)
+
     def _shares(self) -> DataFrame:
         """Parallel edges as one: the share of a source's rank that goes to a target."""
         pairs = self.edges.groupBy("src", "dst").agg(F.count("*").alias("k"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -489,6 +490,46 @@ def message_sums(spark, sf_dir):
     return g.aggregate_messages(g.vertices().withColumn("x", F.col("id") * 2), F.col("x") + 1, F.sum)
 
 
+HEAD = 20
+
+
+@query(_with(f"SELECT id, count(*) % 2 = 1 AS odd, count(*) AS deg FROM (SELECT src AS id FROM sym) WHERE id < {HEAD} GROUP BY id", SYM))
+def folded_degrees(spark, sf_dir):
+    """A state that is no aggregate of Spark's: an array that every edge changes at both ends."""
+
+    def step(state, src, dst):
+        for ends in (src, dst):
+            state += np.bincount(ends[ends < HEAD], minlength=HEAD)
+        return state
+
+    def finish(state):
+        at = np.flatnonzero(state)
+        return {"id": at, "odd": state[at] % 2 == 1, "deg": state[at]}
+
+    return fixtures.graph(spark, sf_dir).fold_edges(lambda: np.zeros(HEAD, np.int64), step, np.add, finish, "id long, odd boolean, deg long")
+
+
+@query(_with("SELECT src, dst FROM (SELECT DISTINCT src, dst FROM e) ORDER BY (src * 7919 + dst * 104729) % 1000003 DESC, src, dst LIMIT 25"))
+def folded_top_edges(spark, sf_dir):
+    """A bounded heap over all edges."""
+
+    def best(state, src, dst):
+        rows = np.unique(np.concatenate([state, np.stack([-((src * 7919 + dst * 104729) % 1000003), src, dst], axis=1)]), axis=0)
+        return rows[:25]
+
+    merge = lambda a, b: best(a, b[:, 1], b[:, 2])
+    return fixtures.graph(spark, sf_dir).fold_edges(lambda: np.zeros((0, 3), np.int64), best, merge, lambda s: {"src": s[:, 1], "dst": s[:, 2]}, "src long, dst long")
+
+
+@query(_with("SELECT c::BIGINT AS code FROM code", CODES))
+def merge_framed(spark, sf_dir):
+    """Sorted streams in LZ4 frames, merged from their frames."""
+    paths = _written_streams(spark, sf_dir)
+    for path in paths:
+        files.compress(spark, path, f"{path}-lz4", 1 << 14)
+    return binary.merge_codes(spark, [f"{p}-lz4" for p in paths], distinct=True, least_block=1 << 12, task_bytes=1 << 16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

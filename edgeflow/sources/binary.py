@@ -14,7 +14,7 @@ A reader takes one pair of files by its prefix or a folder of pairs; a writer le
 per partition of a range-partitioned graph, and commits them together (see ``files``).  Heads are read first, in chunks, to find where
 each chunk's body lies; then every chunk is a unit of work that reads its own byte range.
 A vertex or a tile may have several runs, so a long one is never a single row anywhere.
-Every delta file restarts from code 0; a CSR part's nodes count from the number in its name.
+Every delta file restarts from code 0, and may be in LZ4 frames (``.lz4``), which are read as blocks; a CSR part's nodes count from the number in its name.
 """
 
 from __future__ import annotations
@@ -123,29 +123,59 @@ def decoded(name: str, start: int, size: int, entry: int, base: int, strict: boo
     ``entry`` tells how the block is entered (see ``codec.ENTRIES``): so many bytes of an earlier
     value are passed over, or so many zeros of the first value lie before the block.
     """
-    stream, last, at = DeltaStream(), np.uint64(base), start + entry
-    end, final = start + size, files.size(name)
-    for piece in files.pieces_from(name, at, end - at if end > at else 0):
-        gaps, at = stream.feed(piece), at + len(piece)
-        if at == end and at < final:
-            if any(stream.rest):
-                # Its last value goes on in the next block, which passes over it.
-                more, want = files.read_range(name, at, 2 * ZEROS), len(gaps)
-                for k in range(len(more)):
-                    gaps = np.concatenate([gaps, stream.feed(more[k : k + 1])])
-                    if len(gaps) > want:
-                        break
-            else:
-                stream.rest = b""  # the value whose zeros these are is the next block's
+    stream, last, skip = DeltaStream(), np.uint64(base), max(entry, 0)
+    stream.rest = bytes(max(-entry, 0))
+
+    def coded(gaps):
+        nonlocal last
         code = np.cumsum(gaps, dtype=np.uint64) + last
         before = np.concatenate([[last], code[:-1]]).astype(np.uint64)
         if strict and (code <= before).any():
             raise ValueError("codes do not increase")
         last = code[-1] if len(code) else last
-        yield code
+        return code
+
+    for piece in files.block_pieces(name, start, size):
+        if skip < len(piece):
+            yield coded(stream.feed(piece[skip:]))
+        skip = max(0, skip - len(piece))
+    if start + size < (final := files.size(name)):
+        if any(stream.rest):
+            # Its last value goes on in the next block, which passes over it.
+            for more in files.block_pieces(name, start + size, final - start - size, 2 * ZEROS):
+                for k in range(len(more)):
+                    if len(got := stream.feed(more[k : k + 1])):
+                        yield coded(got)
+                        break
+                if not stream.rest:
+                    break
+        else:
+            stream.rest = b""  # the value whose zeros these are is the next block's
     stream.close()
 
 
+def _framed(spark: SparkSession, found: dict[str, int], block: int) -> dict[str, list[tuple[int, int]]]:
+    """Blocks of LZ4 files: whole frames, as many as come to ``block`` bytes; a task each looks for a file's."""
+
+    def each(batches):
+        for b in batches:
+            names, blocks = b.column(0).to_pylist(), []
+            for name in names:
+                own: list[list[int]] = []
+                for at, size in files.frames(name):
+                    if own and own[-1][1] + size <= block:
+                        own[-1][1] = at + size - own[-1][0]
+                    else:
+                        own.append([at, size])
+                blocks.append([x for pair in own or [[0, 0]] for x in pair])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blocks, pa.list_(pa.int64()))], ["name", "blocks"])
+
+    if not found:
+        return {}
+    rows = files.spread(spark, [(n,) for n in found], "name string", 0).mapInArrow(each, "name string, blocks array<long>").collect()
+    return {r["name"]: list(zip(r["blocks"][::2], r["blocks"][1::2], strict=True)) for r in rows}
+
+
 def _delta_blocks(spark: SparkSession, found: dict[str, int], known: dict[str, list] | None, block: int) -> list[tuple]:
     """``BLOCKS`` of delta files: from the marks of their writer, or found by two looks at their bytes.
 
@@ -159,14 +189,16 @@ def _delta_blocks(spark: SparkSession, found: dict[str, int], known: dict[str, l
             for (at, code), (end, _) in zip(marks, [*marks[1:], [size, 0]], strict=True):
                 rows.append((name, at, end - at, 0, code))
         return rows
-    rows = [(n, at, min(block, size - at)) for n, size in found.items() for at in range(0, max(size, 1), block)]
-    if all(size <= block for size in found.values()):
+    framed = _framed(spark, {n: s for n, s in found.items() if n.endswith(files.LZ4)}, block)
+    rows = [(n, at, min(block, size - at)) for n, size in found.items() if n not in framed for at in range(0, max(size, 1), block)]
+    rows += [(n, at, size) for n, own in framed.items() for at, size in own]
+    if len({n for n, *_ in rows}) == len(rows):
         return [(*r, 0, 0) for r in rows]
 
     def looked(batches):
         for b in batches:
             columns = [b.column(i).to_pylist() for i in range(3)]
-            exits = [delta_exits(files.pieces_from(n, at, size)) for n, at, size in zip(*columns, strict=True)]
+            exits = [delta_exits(files.block_pieces(n, at, size)) for n, at, size in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(exits, pa.list_(pa.int32()))], ["name", "start", "exits"])
 
     def summed(batches):
@@ -219,7 +251,7 @@ def read_codes(spark: SparkSession, path: str, strict: bool = True, block: int =
 def _streams(spark: SparkSession, path: str) -> tuple[dict[str, int], dict[str, list] | None]:
     """Delta files of a path with their bytes, and their writer's marks if it left any."""
     every, one = files.listed(spark, path), files.is_file(spark, path)
-    found = every if one else {n: s for n, s in every.items() if n.endswith(".delta")}
+    found = every if one else {n: s for n, s in every.items() if n.endswith((".delta", ".delta" + files.LZ4))}
     if every and not found:
         raise FileNotFoundError(f"{path}: no .delta files")
     said = None if one else files.manifest(path)

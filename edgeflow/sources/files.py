@@ -11,9 +11,11 @@ and takes the first file away; if one fails, the folder goes.  A folder with nei
 
 from __future__ import annotations
 
+import io
 import json
+import struct
 
-import pyarrow as pa  # noqa: F401
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,64 @@ def pieces_from(path: str, start: int, most: int | None = None, step: int = 1 <<
             yield f.read_at(min(step, end - place), place)
 
 
+class _Window(io.RawIOBase):
+    """Some bytes of an open file as a file."""
+
+    def __init__(self, f, start: int, size: int):
+        self.f, self.at, self.end = f, start, start + size
+
+    def readable(self):
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        left = self.end - self.at
+        data = self.f.read_at(left if n is None or n < 0 else min(n, left), self.at)
+        self.at += len(data)
+        return data
+
+
+#: Files of this suffix hold LZ4 frames: fixed values of that format.
+LZ4 = ".lz4"
+LZ4_FRAME, LZ4_SKIPPED, LZ4_STORED = 0x184D2204, 0x184D2A50, 1 << 31
+LZ4_BLOCK_SUM, LZ4_CONTENT_SIZE, LZ4_CONTENT_SUM, LZ4_DICTIONARY = 1 << 4, 1 << 3, 1 << 2, 1
+
+
+def frames(path: str) -> list[tuple[int, int]]:
+    """Where the LZ4 frames of a file begin and how long they are: only the headers are read."""
+    fs, at = opened(path)
+    found = []
+    with fs.open_input_file(at) as f:
+        place, end = 0, f.size()
+        number = lambda x: struct.unpack("<I", f.read_at(4, x))[0]
+        while place < end:
+            begin, magic = place, number(place) if place + 4 <= end else 0
+            if magic & ~15 == LZ4_SKIPPED:
+                place += 8 + number(place + 4)
+                continue
+            if magic != LZ4_FRAME:
+                raise ValueError(f"{path}: no LZ4 frame at byte {place}")
+            flags = f.read_at(1, place + 4)[0]
+            place += 7 + 8 * bool(flags & LZ4_CONTENT_SIZE) + 4 * bool(flags & LZ4_DICTIONARY)
+            while place + 4 <= end and (size := number(place)):
+                place += 4 + size % LZ4_STORED + 4 * bool(flags & LZ4_BLOCK_SUM)
+            place += 4 + 4 * bool(flags & LZ4_CONTENT_SUM)
+            if place > end:
+                raise ValueError(f"{path} ends inside an LZ4 frame")
+            found.append((begin, place - begin))
+    return found
+
+
+def block_pieces(path: str, start: int, size: int, step: int = 1 << 20):
+    """The bytes of a block of a file, so many at a time; of whole LZ4 frames, what they hold."""
+    if not path.endswith(LZ4):
+        yield from pieces_from(path, start, size, step)
+        return
+    fs, at = opened(path)
+    with fs.open_input_file(at) as f, pa.CompressedInputStream(pa.PythonFile(_Window(f, start, size), "r"), "lz4") as held:
+        while data := held.read(step):
+            yield data
+
+
 def manifest(path: str) -> dict | None:
     """What a folder's writer has committed: ``files`` (name to bytes) and ``marks``; None for files from elsewhere.
 
@@ -128,3 +188,24 @@ def spread(spark: SparkSession, rows: list | DataFrame, schema: str, size: int)
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     df = spark.createDataFrame(rows, schema) if isinstance(rows, list) else rows
     return df.repartition(tasks)
+
+
+def compress(spark: SparkSession, source: str, target: str, frame: int = 4 << 20) -> None:
+    """The files of one folder in another, in LZ4 frames of so many bytes each."""
+
+    def each(batches):
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                fs, at = opened(target)
+                fs.create_dir(at, recursive=True)
+                # A task that runs again writes the same file again.
+                with fs.open_output_stream(f"{at}/{name.rpartition('/')[2]}{LZ4}", compression=None) as out:
+                    for piece in pieces_from(name, 0, None, frame):
+                        packed = pa.BufferOutputStream()
+                        with pa.CompressedOutputStream(packed, "lz4") as f:
+                            f.write(piece)
+                        out.write(packed.getvalue())
+            yield b
+
+    found = listed(spark, source)
+    spread(spark, [(n,) for n in found], "name string", sum(found.values())).mapInArrow(each, "name string").count()

@@ -188,6 +188,7 @@ def test_writers_leave_no_earlier_part(spark, tmp_path):
 
 def test_an_uncommitted_folder_does_not_read(spark, tmp_path):
     """One task of four fails: nothing is left to read.  A driver that goes before it commits leaves a folder that raises."""
+    datasource.register(spark)
     rows = spark.range(0, 1000, 1, 4).selectExpr("IF(id = 900, raise_error('lost'), id) AS src", "id + 1 AS dst")
     rows = rows.selectExpr("cast(src AS bigint) AS src", "dst")
     for fmt in ("vertex", "tile", "csr"):
@@ -264,6 +265,36 @@ def test_merge_of_streams(spark, tmp_path, block, task):
         binary.merge_codes(spark, paths, least_block=1 << 20).collect()
 
 
+@pytest.mark.parametrize("frame,block", [(7, 1), (100, 300), (1 << 20, 1 << 20)])
+def test_lz4_frames(spark, tmp_path, frame, block):
+    """Frames that cut values, frames to skip, one frame in all; what is no frame raises."""
+    import struct
+
+    gaps = np.random.default_rng(5).integers(1, 1 << 26, 60, dtype=np.uint64) << np.uint64(8)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.delta").write_bytes(codec.delta_encode(gaps))
+    files.compress(spark, str(tmp_path / "a"), str(tmp_path / "b"), frame)
+    packed = tmp_path / "b/x.delta.lz4"
+    packed.write_bytes(struct.pack("<II", files.LZ4_SKIPPED, 3) + b"abc" + packed.read_bytes())
+    want = sorted((int(c),) for c in np.cumsum(gaps))
+    assert table(binary.read_codes(spark, str(tmp_path / "b"), block=block), "code") == want
+    assert table(binary.read_codes(spark, str(packed), block=block), "code") == want
+    assert len(files.frames(str(packed))) == -(-len(codec.delta_encode(gaps)) // frame)
+    packed.write_bytes(packed.read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends inside|no LZ4 frame"):
+        binary.read_codes(spark, str(packed)).count()
+
+
+def test_folds(spark):
+    """States of tasks, many and one, of no edges too."""
+    pairs = [(i % 7, i) for i in range(100)]
+    for parts in (1, 40):
+        g = Graph(graph(spark, pairs).edges.repartition(parts))
+        got = g.fold_edges(set, lambda s, a, b: s | set(zip(a.tolist(), b.tolist(), strict=True)), set.union, lambda s: {"n": [len(s)]}, "n long")
+        assert got.first()["n"] == 100
+    assert graph(spark, []).fold_edges(set, lambda s, a, b: s, set.union, lambda s: {"n": [len(s)]}, "n long").first()["n"] == 0
+
+
 def test_csr_of_far_ids(spark, tmp_path):
     """A hub, and ids far apart: entries of the nodes between are written in pieces."""
     pairs = [(5, i * 3) for i in range(20_000)] + [(3_000_000, 1), (3_000_000, 1 << 31)]
