@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from functools import wraps
@@ -44,8 +45,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-#: Paths of the tables that ``scope`` removes when it ends, innermost last.
-_scopes: list[list[str]] = []
+#: By thread, the paths of the tables that ``scope`` removes when it ends, innermost last.
+_own = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    return _own.__dict__.setdefault("scopes", [])
 
 
 @contextmanager
@@ -54,11 +59,11 @@ def scope(spark: SparkSession):
 
     Results are read from such tables when they are computed, so write or collect them inside.
     """
-    _scopes.append([])
+    _scopes().append([])
     try:
-        yield _scopes[-1]
+        yield _scopes()[-1]
     finally:
-        for path in _scopes.pop():
+        for path in _scopes().pop():
             remove(spark, path)
 
 
@@ -68,8 +73,8 @@ class Saved:
     def __init__(self, df: DataFrame, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/edgeflow-{uuid.uuid4().hex}"
-        if _scopes:
-            _scopes[-1].append(self.path)
+        if _scopes():
+            _scopes()[-1].append(self.path)
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -90,8 +95,8 @@ def settled(operator):
         with scope(rows.sparkSession) as inside:
             out = Saved(operator(rows, *args, **options))
             inside.remove(out.path)
-        if _scopes:
-            _scopes[-1].append(out.path)
+        if _scopes():
+            _scopes()[-1].append(out.path)
         return out.df
 
     return run
