@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeflow.storage import save
+from edgeflow.storage import save, settled
 
 #: Turn positions are counted and hashed within blocks of so many turn numbers, and the
 #: blocks' totals are carried over them, so that a very long conversation is many groups.
@@ -62,6 +62,7 @@ def maximal(rolled: DataFrame) -> DataFrame:
     return whole.join(shorter, ["pos", "h1", "h2"], "left_anti").select("conv", F.col("pos").alias("n_turns"), "n_equal")
 
 
+@settled
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per maximal conversation: its id, ``n_turns``, ``n_equal`` and ``rendered``.
 

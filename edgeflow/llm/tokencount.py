@@ -13,26 +13,34 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeflow.llm.text import batch_rows
 from edgeflow.llm.tokens import word_ids
-from edgeflow.storage import Saved, remove, settled, shared_dir
+from edgeflow.storage import Saved, remove, save, settled, shared_dir
 
 #: Tokens of a block.
 BLOCK = 1 << 20
 END = 0
 WIDTH = 2
+DIFFER = "the flat files and the table differ in their documents"
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """Rows in an order within partitions that does not depend on how they arrive."""
-    return docs.select("*", F.xxhash64("text").alias("digest")).sortWithinPartitions("id", "digest")
+def _placed(docs: DataFrame, seen: Observation) -> DataFrame:
+    """Rows in an order within partitions that does not depend on how they arrive, with partition and place as ``m``.
+
+    ``seen`` gets sums over all rows with their places: two reads that differ in any have others.
+    """
+    rows = docs.select("*", F.xxhash64("text").alias("digest")).sortWithinPartitions("id", "digest")
+    rows = rows.withColumn("m", F.monotonically_increasing_id())
+    h = F.xxhash64("m", "id", "digest")
+    low, high = h.bitwiseAND(F.lit((1 << 31) - 1).cast("long")), F.shiftrightunsigned(h, 33)
+    return rows.observe(seen, F.count("*").alias("rows"), F.sum(low).alias("low"), F.sum(high).alias("high"))
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 64 << 20) -> None:
-    """Write the texts, by id and text digest within partitions, as flat files of 16-bit ids.
+def write_flat(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 64 << 20) -> dict:
+    """Write the texts, by id and text digest within partitions, as flat files of 16-bit ids; returns the sums of ``_placed``.
 
     A stored id is the vocabulary's plus one; 0 ends a document; a vocabulary that needs more
     than 16 bits raises.  A file is closed once it holds ``max_bytes``.  The text sink writes
@@ -56,10 +64,12 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                 size, place = size + len(rows[-1]) + WIDTH, place + 1
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(places, pa.int64()), pa.array(rows, pa.binary())], ["file", "place", "ids"])
 
-    source = _placed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).select("text")
+    seen = Observation()
+    source = _placed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), seen).select("text")
     rows = source.mapInArrow(coded, "file long, place long, ids binary").sortWithinPartitions("file", "place")
     with batch_rows(docs.sparkSession):
         rows.select("file", F.col("ids").cast("string").alias("value")).write.option("lineSep", "\x00" * WIDTH).partitionBy("file").text(path)
+    return seen.get
 
 
 def scan(spark: SparkSession, path: str, end_id: int = END, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -111,11 +121,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     an empty table gives none; other columns are ignored.  A document is known by its
     partition and its place there in the order of id and text digest, so the order in which
     rows arrive is of no account; a source that deals its rows out to partitions anew each
-    time it is read should be saved first.  A number of documents that differs raises.
+    time it is read should be saved first: rows or places that differ between the two reads raise.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/edgeflow-flat-{uuid.uuid4().hex}"
-    write_flat(docs, path, tokenizer, doc_id, text, max_bytes)
+    written = write_flat(docs, path, tokenizer, doc_id, text, max_bytes)
     with batch_rows(spark, 1):
         blocks = Saved(scan(spark, path))
     remove(spark, path)
@@ -126,10 +136,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     held = held.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     found = stitch(blocks.df).join(held, "file")
     found = found.select("part", (F.col("earlier") + F.col("ordinal")).alias("place"), "n_tokens", F.lit(1).alias("found"))
-    number = _placed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))).select("id", F.monotonically_increasing_id().alias("m"))
+    seen = Observation()
+    number = _placed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), seen).select("id", "m")
     ids = number.select("id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), F.lit(1).alias("asked"))
     both = ids.join(found, ["part", "place"], "full")
-    wrong = F.raise_error(F.lit("the flat files and the table differ in their documents"))
-    return both.select(
+    wrong = F.raise_error(F.lit(DIFFER))
+    out = save(both.select(
         F.col("id").alias(doc_id), F.when(F.col("found").isNull() | F.col("asked").isNull(), wrong.cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens")
-    )
+    ))
+    # Of an empty table nothing is read again, and its join has no rows.
+    if written["rows"] and seen.get != written:
+        raise ValueError(DIFFER)
+    return out

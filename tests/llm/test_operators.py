@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import uuid
 import zlib
 
 import duckdb
@@ -327,6 +328,10 @@ def test_token_counts(spark, docs, nothing, tokenizer, tmp_path):
             m.setattr(tokencount, "WIDTH", 1)
             one = tokencount.count_tokens(docs, path).count()
             assert one < 0
+    other = F.udf(lambda _: uuid.uuid4().int % 10**6, "long").asNondeterministic()
+    shuffled = docs.withColumn("doc_id", other("text"))  # another table each time it is read
+    with pytest.raises(Exception, match="differ in their documents"):
+        tokencount.count_tokens(shuffled, path)
     tokencount.write_flat(docs, str(tmp_path / "f"), path)
     for block in (1, 5, 64):
         got = tokencount.stitch(tokencount.scan(spark, str(tmp_path / "f"), block=block)).collect()

@@ -205,6 +205,41 @@ def test_op3_posterior(spark, tables):
             assert got[i]["lang_pred"] == model.names[int(z.argmax())] and got[i]["score"] == pytest.approx(p.max(), abs=1e-6)
 
 
+def test_op4(spark, tables):
+    from tokenizers import Tokenizer
+
+    folder, data = tables
+    t = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    want = [(i, len(t.encode(text or "", add_special_tokens=False).ids)) for i, text, *_ in data]
+    assert rows(queries.op4_token_counts(spark, folder), "doc_id", "n_tokens") == sorted(want, key=repr)
+
+
+def test_op9(spark, tables):
+    """Base, counts and fold by brute force; the trees' scores are log probabilities that beat the base on texts they were trained on."""
+    folder, data = tables
+    text_words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t, *_ in data}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in text_words}
+    seen = collections.Counter(w for i, ws in text_words.items() if not held[i] for w in ws)
+    ends = sum(not h for h in held.values())
+    total, distinct = sum(seen.values()) + ends, len(seen) + 1
+    got = {r["doc_id"]: r for r in queries.op9_lm_scoring(spark, folder).collect()}
+    assert got.keys() == text_words.keys()
+    for i, ws in text_words.items():
+        base = sum(math.log10((c + 0.5) / (total + 0.5 * (distinct + 1))) for c in [*(seen[w] for w in ws), ends])
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws) + 1, sum(seen[w] > 0 for w in ws) + 1, total)
+        assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    assert sum(r["score"] - r["base_score"] for i, r in got.items() if not held[i]) > 0
+
+
+def test_op10(spark, tables):
+    folder, data = tables
+    items = [brute_fingerprint(t) for _, t, *_ in data]
+    comp = brute_components(items, lambda a, b: (a ^ b).bit_count() <= 2)
+    want = [(i, f"{f:016x}", min(data[k][0] for k in range(len(data)) if comp[k] == c)) for (i, *_), f, c in zip(data, items, comp, strict=True)]
+    assert rows(queries.op10_simhash(spark, folder), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
+
+
 def test_op5(spark, tables):
     folder, _ = tables
     data = [(r["vec_id"], np.array(r["embedding"], np.float32).astype(float), r["label"]) for r in queries.table(spark, folder, "embeddings").orderBy("vec_id").collect()]
