@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeflow.functions.codec import delta_bytes, delta_decode, delta_encode, leb128_length
 from edgeflow.functions.curve import decode_array, hilbert_code, hilbert_point, sort_key, unsigned
-from edgeflow.operators.ordered import in_order, with_previous, with_running
+from edgeflow.operators.ordered import in_order, walked, with_running
 
 #: Edges in a row that holds a list.
 RUN = 1 << 16
@@ -28,8 +28,7 @@ def coded(edges: DataFrame) -> DataFrame:
 
 def curve_order(edges: DataFrame) -> DataFrame:
     """``rn, code``: all codes in unsigned order, duplicates kept."""
-    ranged = in_order(coded(edges).select("code"), sort_key(F.col("code")))
-    return with_running(ranged, sort_key(F.col("code")), rn=F.lit(1)).select("rn", "code")
+    return walked(coded(edges).select("code"), sort_key(F.col("code")), running={"rn": F.lit(1)}).select("rn", "code")
 
 
 def together(*streams: DataFrame) -> DataFrame:
@@ -57,11 +56,9 @@ def deltas(codes: DataFrame) -> DataFrame:
 
     Code 0, the edge (0, 0), has no positive delta and raises.
     """
-    key = sort_key(F.col("code"))
-    ranged = in_order(codes.select("code").distinct(), key)
-    ranged = with_running(ranged, key, rn=F.lit(1))
+    ordered = walked(codes.select("code").distinct(), sort_key(F.col("code")), previous={"previous": "code"}, default=0, running={"rn": F.lit(1)})
     gap = F.col("code").cast("decimal(38,0)") - F.col("previous").cast("decimal(38,0)")
-    out = with_previous(ranged, "code", key, "previous").withColumn("delta", _pattern(gap))
+    out = ordered.withColumn("delta", _pattern(gap))
     stop = F.raise_error(F.lit("edge (0, 0) cannot be delta coded")).cast("bigint")
     return out.select("rn", "code", F.when(F.col("delta") == 0, stop).otherwise(F.col("delta")).alias("delta"))
 
@@ -107,8 +104,7 @@ def undelta_blocks(blocks: DataFrame) -> DataFrame:
 
 def _in_runs(rows: DataFrame, order: list[Column], longest: int) -> DataFrame:
     """Adds ``run``: rows in the order, so many to a run, for groups that must not grow with a hub."""
-    ranged = in_order(rows, *order)
-    return with_running(ranged, F.struct(*order), rn=F.lit(1)).withColumn("run", F.expr(f"(rn - 1) div {longest}")).drop("rn", "part")
+    return walked(rows, *order, running={"rn": F.lit(1)}).withColumn("run", F.expr(f"(rn - 1) div {longest}")).drop("rn")
 
 
 def tiles(edges: DataFrame, longest: int = RUN) -> DataFrame:
@@ -154,9 +150,8 @@ def vertex_runs(edges: DataFrame) -> DataFrame:
 
 def runs_in_order(edges: DataFrame, position: str) -> DataFrame:
     """``run, src, cnt``: runs of equal sources in the order of ``position``, one vertex possibly in several."""
-    ranged = with_previous(in_order(edges, position), "src", F.col(position), "before", -1).drop("part")
-    ranged = in_order(ranged, position)
-    run = with_running(ranged, F.col(position), run=(F.col("src") != F.col("before")).cast("int"))
+    ranged = walked(edges, position, previous={"before": "src"}, default=-1)
+    run = walked(ranged, position, running={"run": (F.col("src") != F.col("before")).cast("int")})
     return run.groupBy("run", "src").agg(F.count("*").alias("cnt"))
 
 
@@ -165,7 +160,7 @@ def csr_gaps(edges: DataFrame) -> DataFrame:
     at = F.struct("node", "edge")
     pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("edge")).distinct().withColumn("at", at)
     # Lags over the whole order, so that a hub is no single group.
-    gaps = with_previous(in_order(pairs, "node", "edge"), "at", F.col("at"), "before", None)
+    gaps = walked(pairs, "node", "edge", previous={"before": "at"})
     gap = F.when(F.col("before.node") == F.col("node"), F.col("edge") - F.col("before.edge")).otherwise(F.col("edge"))
     return gaps.select("node", "edge", gap.alias("gap"))
 
@@ -175,16 +170,15 @@ def csr_offsets(edges: DataFrame) -> DataFrame:
     sizes = csr_gaps(edges).groupBy("node").agg(F.sum(leb128_length(F.col("gap"))).alias("size"))
     last = sizes.agg(F.coalesce(F.max("node"), F.lit(0))).first()[0]
     every = edges.sparkSession.range(last).withColumnRenamed("id", "node").join(sizes, "node", "left")
-    ranged = in_order(every.withColumn("size", F.coalesce("size", F.lit(0))), "node")
-    return with_running(ranged, F.col("node"), end_byte=F.col("size")).select("node", "end_byte")
+    return walked(every.withColumn("size", F.coalesce("size", F.lit(0))), "node", running={"end_byte": F.col("size")}).select("node", "end_byte")
 
 
 def dense_names(edges: DataFrame) -> DataFrame:
     """``id, dense``: names 0, 1, 2 ... by first appearance over edges in (src, dst) order, source before target."""
-    ranged = in_order(edges.select("src", "dst"), "src", "dst")
-    numbered = with_running(ranged, F.struct("src", "dst"), rn=F.lit(1)).select("rn", F.posexplode(F.array("src", "dst")).alias("k", "id"))
+    ordered = walked(edges.select("src", "dst"), "src", "dst", running={"rn": F.lit(1)})
+    numbered = ordered.select("rn", F.posexplode(F.array("src", "dst")).alias("k", "id"))
     first = numbered.groupBy("id").agg(F.min(F.col("rn") * 2 + F.col("k")).alias("at"))
-    return with_running(in_order(first, "at"), F.col("at"), dense=F.lit(1)).select("id", (F.col("dense") - 1).alias("dense"))
+    return walked(first, "at", running={"dense": F.lit(1)}).select("id", (F.col("dense") - 1).alias("dense"))
 
 
 def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
