@@ -30,6 +30,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's table is written to the shared folder.
 
     What a stage saved on its way goes once its table is written, and that table once the next is.
+    Null, empty and letterless texts go in the first stage; null ids, repeated rows, ties, very
+    long texts and columns of any name pass as each stage's docstring says.  Without labelled
+    rows every text stays in the first stage.  An empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
