@@ -415,3 +415,25 @@ def test_oracle(spark, name):
     assert sorted(columns) == sorted(df.columns)
     key = lambda r: tuple((v is None, v) for v in r)
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=key) == sorted(map(tuple, cur.fetchall()), key=key)
+
+
+def test_ids_over_32_bits_raise(spark, tmp_path):
+    """The files hold 32 bits of an id: a wider one raises in place of losing its upper bits."""
+    g = graph(spark, [(1, 2), (1 << 32, 3)])
+    for fmt in ("vertex", "hilbert", "compressed"):
+        with pytest.raises(Exception, match="over 32 bits"):
+            binary.write(g.edges, fmt, str(tmp_path / fmt))
+
+
+def test_spread_graphs_keep_to_32_bits(spark, tmp_path):
+    """Keys that 977 times over pass 2^32 come back from every format as the SQL has them."""
+    rows = spark.createDataFrame([(4_396_042 + i, i % 7, 1) for i in range(20)], "l_orderkey long, l_partkey long, l_linenumber long")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(9_000_000).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'; CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    names = ("vertex_file_roundtrip", "tile_file_roundtrip", "delta_file_roundtrip", "delta_blocks_roundtrip", "vertex_data_source", "tile_data_source", "delta_data_source", "marked_tiles")
+    for name in names:
+        want = sorted(con.execute(catalogue.SQL[name]).fetchall())
+        assert len(want) == 20 and max(x for x, _ in want) < 1 << 32
+        assert table(catalogue.QUERIES[name](spark, str(tmp_path)), "src", "dst") == want, name
