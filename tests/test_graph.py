@@ -437,3 +437,19 @@ def test_spread_graphs_keep_to_32_bits(spark, tmp_path):
         want = sorted(con.execute(catalogue.SQL[name]).fetchall())
         assert len(want) == 20 and max(x for x, _ in want) < 1 << 32
         assert table(catalogue.QUERIES[name](spark, str(tmp_path)), "src", "dst") == want, name
+
+
+def test_csr_heads_do_not_grow_with_the_span_of_ids(spark, tmp_path):
+    """Nodes far apart: the heads hold a record a node that has edges, in place of eight bytes for every id between."""
+    datasource.register(spark)
+    pairs = [(i * 40_000_000, i * j) for i in range(100) for j in (1, 5)]
+    near = [(i, i + k) for i in range(60_000) for k in (1, 2)]
+    hub = [(59_999, 70_000 + i) for i in range(30_000)]
+    for name, rows in (("far", pairs), ("mixed", near + hub + [(1_000_000 + 50 * i, i) for i in range(30_000)])):
+        path = str(tmp_path / name)
+        binary.write(graph(spark, rows).edges.coalesce(1), "csr", path)
+        heads = [p for p in (tmp_path / name).iterdir() if p.suffix in binary.CSR_HEADS]
+        assert sum(p.stat().st_size for p in heads) < 4_000_000
+        assert {p.suffix for p in heads} >= ({".ends"} if name == "far" else set(binary.CSR_HEADS))
+        assert table(binary.read(spark, "csr", path), "src", "dst") == sorted(set(rows))
+        assert table(spark.read.format("edge_csr").load(path), "src", "dst") == sorted(set(rows))
