@@ -453,3 +453,27 @@ def test_csr_heads_do_not_grow_with_the_span_of_ids(spark, tmp_path):
         assert {p.suffix for p in heads} >= ({".ends"} if name == "far" else set(binary.CSR_HEADS))
         assert table(binary.read(spark, "csr", path), "src", "dst") == sorted(set(rows))
         assert table(spark.read.format("edge_csr").load(path), "src", "dst") == sorted(set(rows))
+
+
+def test_uncounted_tables_are_not_broadcast(spark, tmp_path):
+    """Tables whose size Spark guesses from compressed files or Arrow functions do not go through the driver whole."""
+    g = fixtures.graph(spark, SF)
+    binary.write(g.edges, "vertex", str(tmp_path / "v"))
+    read = binary.read(spark, "vertex", str(tmp_path / "v"))
+    names = layout.dense_names(read)
+    for df in (layout.renamed(read, names), g.label_propagation()):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "part#" not in line]
+        assert "SortMergeJoin" in plan and not sides, sides
+
+
+def test_labels_of_a_hub(spark, monkeypatch):
+    """Keys that many rows share are told to the tasks, and end at the same labels."""
+    from edgeflow.operators import joins
+
+    monkeypatch.setattr(joins, "HUB", 8)
+    pairs = [(i, i + 1) for i in range(300)] + [(500, 400 + i) for i in range(60)]
+    want = dict(table(graph(spark, pairs, 600).components("star"), "id", "comp"))
+    assert dict(table(graph(spark, pairs, 600).label_propagation(), "id", "label")) == want
+    assert want[300] == 0 and want[500] == 400 and want[301] == 301
