@@ -88,3 +88,19 @@ def test_leb128(spark):
     values = [0, 1, 127, 128, 16383, 16384, 2**40]
     got = spark.createDataFrame([(v,) for v in values], "g long").select(codec.leb128_length(F.col("g")).alias("n")).collect()
     assert [r["n"] for r in got] == codec.leb128(np.array(values))[1].tolist()
+
+
+def test_native_code_of_wide_ids_raises(spark):
+    wide = spark.createDataFrame([(1 << 32, 0)], "x long, y long")
+    with pytest.raises(Exception, match="over 32 bits"):
+        wide.select(curve.hilbert_code_native(F.col("x"), F.col("y"))).collect()
+
+
+def test_native_code_takes_few_steps(spark):
+    """A step looks several bits of both axes up at once, and the codes are those of the arrays."""
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 1 << 32, (2, 500))
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y, strict=True)], "x long, y long")
+    got = [r[0] for r in df.select(curve.hilbert_code_native(F.col("x"), F.col("y"))).collect()]
+    assert got == curve.encode_array(x, y).view(np.int64).tolist()
+    assert len(range(0, curve.BITS, curve.STEP)) <= 8
