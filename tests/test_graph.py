@@ -477,3 +477,43 @@ def test_labels_of_a_hub(spark, monkeypatch):
     want = dict(table(graph(spark, pairs, 600).components("star"), "id", "comp"))
     assert dict(table(graph(spark, pairs, 600).label_propagation(), "id", "label")) == want
     assert want[300] == 0 and want[500] == 400 and want[301] == 301
+
+
+def test_hubs_of_components_are_told(spark, monkeypatch):
+    """The least id of a large component is no key of one task's join."""
+    from edgeflow.operators import joins
+
+    monkeypatch.setattr(joins, "HUB", 8)
+    heavy, plain = [], components.looked_up
+
+    def spied(df, table, key, hubs):
+        heavy.append(hubs.count())
+        return plain(df, table, key, hubs)
+
+    monkeypatch.setattr(components, "looked_up", spied)
+    pairs = [(0, i) for i in range(1, 80)] + [(200, 100 + i) for i in range(50)] + [(300, 301)]
+    want = {i: 0 for i in range(80)} | {i: 100 for i in (*range(100, 150), 200)} | {300: 300, 301: 300}
+    assert dict(table(components.star_contraction(graph(spark, pairs).edges), "id", "comp")) == want
+    assert max(heavy) >= 1
+
+
+def test_one_stream_of_many_ranges(spark, tmp_path):
+    """A single file is strung together from ranges: the bytes that one writer of all codes would leave."""
+    codes = [3, 7, 8, 20, 31, 53, 1 << 40, (1 << 63) + 9, (1 << 64) - 2]
+    want = codec.delta_encode(np.diff(np.array(codes, np.uint64), prepend=np.uint64(0)))
+    signed = np.array(codes, np.uint64).view(np.int64).tolist()
+    rows = spark.createDataFrame([(c,) for c in [*signed, signed[2]]], "code long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        binary.write_stream(rows, f"file://{tmp_path}/s")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (tmp_path / "s").read_bytes() == want
+    assert not (tmp_path / "s-parts").exists()
+    binary.write_stream(rows.where("false"), f"file://{tmp_path}/none")
+    assert (tmp_path / "none").read_bytes() == b""
+
+
+def test_blocks_of_a_search_stay_small():
+    """Four tasks of an executor pack their blocks, in some six copies of 16 bytes an edge, well within 4,000 MB."""
+    assert 4 * 6 * 16 * frontier.BLOCK_EDGES < 1 << 30
