@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from edgeflow.functions import codec
-from edgeflow.operators import components, frontier, layout
+from edgeflow.operators import components, frontier, joins, layout
 from edgeflow.operators import graph as graph_module
 from edgeflow.operators.graph import Graph
 from edgeflow.plans import catalogue, fixtures
@@ -375,6 +375,25 @@ def test_forests_send_less(spark, monkeypatch):
     assert table(components.union_find(e), "id", "comp") == want
 
 
+def test_component_tasks_grow_with_links(spark, monkeypatch):
+    """Rounds over more links have more partitions, and smaller reads, in place of larger ones; then the session has its own again."""
+    e = fixtures.graph(spark, SF, "g3").edges
+    want = table(components.union_find(e), "id", "comp")
+    key, seen, saved = "spark.sql.shuffle.partitions", [], components.Saved
+
+    def spy(df, *args, **options):
+        seen.append((int(spark.conf.get(key)), spark.conf.get("spark.sql.files.maxPartitionBytes")))
+        return saved(df, *args, **options)
+
+    own = spark.conf.get(key), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(components, "Saved", spy)
+    monkeypatch.setattr(joins, "SHARE", 32)
+    assert table(components.union_find(e), "id", "comp") == want
+    assert max(n for n, _ in seen) > int(own[0]) and {size for n, size in seen if n > int(own[0])} == {str(joins.READ)}
+    assert (spark.conf.get(key), spark.conf.get("spark.sql.files.maxPartitionBytes")) == own
+    assert [joins._bytes(x) for x in ("8m", "134217728b", "1G", "512")] == [8 << 20, 1 << 27, 1 << 30, 512]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), max_size=20))
 def test_properties(spark, pairs):
