@@ -10,6 +10,7 @@ only the work, never the result.
 
 from __future__ import annotations
 
+import logging
 from itertools import product
 
 import numpy as np
@@ -23,6 +24,7 @@ from edgeflow.llm.text import batch_rows, utf8, words
 from edgeflow.operators.components import star_contraction
 from edgeflow.storage import Saved, release, save, settled
 
+log = logging.getLogger("edgeflow")
 SEED = 42
 TILE = 2048
 #: (fingerprints up to, segments)
@@ -190,6 +192,8 @@ SAMPLE, COMMON, MOST_COMMON = 10_000, 0.002, 20_000
 SLACK = 1e-9
 #: Bits of a set's parities, and how many sets of one shingle are compared in one piece.
 PARITIES, GROUP = 1024, 256
+#: Sets of a shingle that are compared with each other at once; of more, pivots are tried first.
+FEW = 16
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -326,6 +330,40 @@ def _possible(similarity: float, within: bool):
     return each
 
 
+def _size_class(similarity: float):
+    """Sizes whose ratio is at least ``similarity`` lie in the same or in neighbouring classes."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(1e-6 - np.log(similarity)))).cast("int")
+
+
+def _nearest(similarity: float):
+    """For pairs ``a, b`` with sizes and parities: those that may be alike, and how many shingles both have at most."""
+
+    def each(batches):
+        for b in batches:
+            n, m = (b.column(c).to_numpy() for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("pa", "pb"))
+            most = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) / 2
+            may = (most >= similarity / (1 + similarity) * (n + m) - 1e-6) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(most)], ["a", "b", "most"]).filter(pa.array(may))
+
+    return each
+
+
+def _pivots(left: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """``a, b``: for each set ``b`` of a shingle that more than ``FEW`` sets share, one at most that it may be like.
+
+    A shingle has a pivot in each size class, another one each ``turn``; every set meets those of its shingles
+    that are not in its component, so pairs are no more than the rows of ``left``.
+    """
+    many = left.groupBy("h").count().where(F.col("count") > FEW).select("h")
+    rows = left.join(many, "h").withColumn("cls", _size_class(similarity))
+    first = rows.groupBy("h", "cls").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("k"), "sid", "n", "comp", "parities")).alias("p"))
+    met = rows.join(first, ["h", "cls"]).where("comp <> p.comp")
+    pairs = met.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.parities").alias("pa"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parities").alias("pb"))
+    near = pairs.mapInArrow(_nearest(similarity), "a long, b long, most double")
+    return near.groupBy("b").agg(F.max(F.struct("most", "a")).alias("best")).select("best.a", "b")
+
+
 def _tiled(left: DataFrame, similarity: float) -> DataFrame:
     """``a, na, b, nb`` for each shingle ``h`` that two sets of different ``comp`` share and that may be alike.
 
@@ -336,8 +374,7 @@ def _tiled(left: DataFrame, similarity: float) -> DataFrame:
     """
     crowds = left.groupBy("h", "comp").count().groupBy("h").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("top"))
     many = crowds.where(F.col("all") > GROUP).select("h", F.col("top.comp").alias("crowd"))
-    # Sizes whose ratio is at least ``similarity`` lie in the same or in neighbouring classes.
-    cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(1e-6 - np.log(similarity)))).cast("int")
+    cls = _size_class(similarity)
     placed = left.join(many, "h", "left").withColumns({"cls": F.when(F.col("crowd").isNotNull(), cls).otherwise(-1), "own": F.coalesce(F.col("comp") == F.col("crowd"), F.lit(False))}).drop("crowd")
     tiles_of = lambda own: F.ceil(F.sum((F.col("own") == own).cast("int")) / GROUP).cast("int")
     parts = Saved(placed.groupBy("h", "cls").agg(tiles_of(False).alias("mixed"), tiles_of(True).alias("one")))
@@ -367,12 +404,26 @@ def _tiled(left: DataFrame, similarity: float) -> DataFrame:
     return alone.union(across)
 
 
+def _recomposed(left: Saved, links: DataFrame) -> Saved:
+    """The rows of shingles that still have sets of several components, once ``links`` have tied some."""
+    comp = left.df.select("sid", "comp").distinct()
+    tied = links.join(comp.select(F.col("sid").alias("a"), F.col("comp").alias("src")), "a").join(comp.select(F.col("sid").alias("b"), F.col("comp").alias("dst")), "b")
+    now = star_contraction(tied.select("src", "dst").distinct()).select(F.col("id").alias("comp"), F.col("comp").alias("low"))
+    rows = left.df.join(now, "comp", "left").withColumn("comp", F.coalesce("low", "comp")).drop("low")
+    several = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    out = Saved(rows.join(several, "h").select(*left.df.columns))
+    left.drop()
+    release(left.spark)
+    return out
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, similarity: float) -> DataFrame:
     """Links ``src, dst`` of fingerprints that join what is connected by sharing ``similarity`` of the five-word shingles.
 
     Exact: sets as alike as that share a shingle of their prefixes, and more of them the less
     their remainders can make up for; each pair proposed so is checked on the whole sets.
-    Sets are first compared with the lowest that shares a prefix shingle; then only pairs
+    Sets are first compared with the lowest that shares a prefix shingle; then, where many share one, with pivots, turn
+    by turn, while these tie an eighth of what they meet; then only pairs
     which those links leave apart, so that a group of copies is not compared with itself.
     These meet in tiles, where sizes and parities rule out nearly all that are not alike.
     ``rows`` holds ``__id, __d, fp, sid`` of each document; ``wide``, which goes, ``sid, id, d, fp, n, parities, prefix`` of each set.
@@ -411,10 +462,25 @@ def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, simi
     left = Saved(apart.df.join(several, "h").join(kinds.df.select("sid", "parities"), "sid"))
     apart.drop()
     release(docs.sparkSession)
+    turn, agreed = 0, star
+    while True:
+        turn += 1
+        pairs = Saved(_pivots(left.df, similarity, turn))
+        tried = pairs.df.count()
+        good = _verified(docs, kinds.df, pairs.df, text, similarity) if tried else pairs.df
+        found = good.count() if tried else 0
+        log.info("similar sets: turn %d tries %d pivots' pairs, %d hold", turn, tried, found)
+        if found:
+            agreed = agreed.union(good)
+            left = _recomposed(left, good)
+        pairs.drop()
+        # A turn that ties few sets leaves few that further ones would.
+        if found < max(FEW, tried // 8):
+            break
     rest = Saved(candidates(_tiled(left.df, similarity)))
     left.drop()
     release(docs.sparkSession)
-    links = star.union(_verified(docs, kinds.df, rest.df, text, similarity))
+    links = agreed.union(_verified(docs, kinds.df, rest.df, text, similarity))
     fp = kinds.df.select("sid", "fp")
     links = links.join(fp.select(F.col("sid").alias("a"), F.col("fp").alias("src")), "a").join(fp.select(F.col("sid").alias("b"), F.col("fp").alias("dst")), "b")
     equal = rows.select("sid", F.col("fp").alias("src")).join(fp.withColumnRenamed("fp", "dst"), "sid").where("src <> dst")

@@ -614,3 +614,20 @@ def test_longest_previous():
     for i in range(len(text)):
         best = max((k for j in range(i) for k in range(len(text) - i + 1) if text[j : j + k] == text[i : i + k]), default=0)
         assert min(got[i], len(text) - i) == best
+
+
+def test_groups_with_a_common_passage_are_not_compared_with_themselves(spark, monkeypatch):
+    """Two groups of near copies share a passage, so the lowest set of one is tried for all of the other: pivots tie these, not all pairs."""
+    passage, tails = [f"p{i}" for i in range(44)], [[f"{g}{i}" for i in range(20)] for g in "tu"]
+    rows = [(40 * g + i, " ".join([*passage, *tails[g], f"only{g}x{i}"])) for g in (0, 1) for i in range(40)]
+    checked, verified = [], simhash._verified
+
+    def spy(docs, kinds, pairs, *more):
+        checked.append(pairs.count())
+        return verified(docs, kinds, pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__d", F.md5("text"))
+    got = simhash.near_duplicates(docs, radius=0, keep=("__d",), similarity=0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: 40 * (i // 40) for i in range(80)}
+    assert sum(checked) <= 4 * len(rows), checked
