@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from edgeflow.llm.text import batch_rows, utf8, words
-from edgeflow.operators.components import star_contraction
+from edgeflow.operators.components import connected
+from edgeflow.operators.joins import sieve
 from edgeflow.storage import Saved, release, save, settled
 
 log = logging.getLogger("edgeflow")
@@ -167,6 +168,7 @@ def near_duplicates(
             # One row of each set keeps its prefix; the documents go on without.
             first = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__d").alias("d"), "fp", "n", "parities", "prefix")
             kinds = Saved(wide.df.groupBy("sid").agg(F.min(first).alias("p")).select("sid", "p.*"))
+            release(docs.sparkSession)
             rows = save(wide.df.drop("prefix", "n", "parities", "sid2"))
             wide.drop()
             release(docs.sparkSession)
@@ -174,7 +176,7 @@ def near_duplicates(
         joined = links(distinct, radius)
         if similarity is not None:
             joined = joined.union(similar_links(docs.select(F.col(doc_id).alias("__id"), *keep, text), rows, kinds, text, similarity))
-        found = star_contraction(joined)
+        found = connected(joined)
     rooted = distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("comp", "fp").alias("root")
     )
@@ -286,8 +288,11 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, text: str, si
             yield pa.RecordBatch.from_arrays([b.column(0), sets], ["sid", "h"])
 
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    k = kinds.join(wanted, "sid").select("sid", "id", "d").alias("k")
-    found = docs.alias("x").join(k, F.col("x.__id").eqNullSafe(F.col("k.id")) & (F.col("x.__d") == F.col("k.d")))
+    asked = Saved(kinds.join(wanted, "sid").select("sid", "id", "d"))
+    k = asked.df.alias("k")
+    # Only texts that are asked for are shuffled, but for a few.
+    may = sieve(asked.df.select(F.xxhash64("id", "d")), asked.df.count())
+    found = may(docs.select("__id", "__d", text), F.xxhash64("__id", "__d"))[0].alias("x").join(k, F.col("x.__id").eqNullSafe(F.col("k.id")) & (F.col("x.__d") == F.col("k.d")))
     found = found.select("k.sid", F.col(f"x.{text}").alias("t")).mapInArrow(each, "sid long, h binary").dropDuplicates(["sid"])
     sets = Saved(found)
     release(docs.sparkSession)
@@ -295,6 +300,7 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, text: str, si
     both = both.join(sets.df.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
     out = save(both.select("a", "b", "ha", "hb").mapInArrow(_alike(similarity), "a long, b long"))
     sets.drop()
+    asked.drop()
     release(docs.sparkSession)
     return out
 
@@ -343,34 +349,37 @@ def _nearest(similarity: float):
             n, m = (b.column(c).to_numpy() for c in ("na", "nb"))
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("pa", "pb"))
             most = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) / 2
-            may = (most >= similarity / (1 + similarity) * (n + m) - 1e-6) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK)
+            may = most >= similarity / (1 + similarity) * (n + m) - 1e-6
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(most)], ["a", "b", "most"]).filter(pa.array(may))
 
     return each
 
 
-def _pivots(left: DataFrame, similarity: float, turn: int) -> DataFrame:
+def _pivots(left: DataFrame, kinds: DataFrame, similarity: float, turn: int) -> DataFrame:
     """``a, b``: for each set ``b`` of a shingle that more than ``FEW`` sets share, one at most that it may be like.
 
     A shingle has a pivot in each size class, another one each ``turn``; every set meets those of its shingles
-    that are not in its component, so pairs are no more than the rows of ``left``.
+    that are not in its component, so pairs are no more than the rows of ``left``.  Parities are fetched
+    once for each pair and choose the likeliest.
     """
     many = left.groupBy("h").count().where(F.col("count") > FEW).select("h")
     rows = left.join(many, "h").withColumn("cls", _size_class(similarity))
-    first = rows.groupBy("h", "cls").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("k"), "sid", "n", "comp", "parities")).alias("p"))
-    met = rows.join(first, ["h", "cls"]).where("comp <> p.comp")
-    pairs = met.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.parities").alias("pa"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parities").alias("pb"))
-    near = pairs.mapInArrow(_nearest(similarity), "a long, b long, most double")
+    first = rows.groupBy("h", "cls").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("k"), "sid", "n", "comp")).alias("p"))
+    met = rows.join(first, ["h", "cls"]).where("comp <> p.comp").where(F.least("n", "p.n") >= float(similarity) * F.greatest("n", "p.n") - SLACK)
+    pairs = met.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("sid").alias("b"), F.col("n").alias("nb")).distinct()
+    odd = lambda s: kinds.select(F.col("sid").alias(s), F.col("parities").alias(f"p{s}"))
+    near = pairs.join(odd("a"), "a").join(odd("b"), "b").mapInArrow(_nearest(similarity), "a long, b long, most double")
     return near.groupBy("b").agg(F.max(F.struct("most", "a")).alias("best")).select("best.a", "b")
 
 
-def _tiled(left: DataFrame, similarity: float) -> DataFrame:
+def _tiled(left: DataFrame, similarity: float, kinds: DataFrame | None = None) -> DataFrame:
     """``a, na, b, nb`` for each shingle ``h`` that two sets of different ``comp`` share and that may be alike.
 
     The sets of a shingle are one tile if they are few.  Else they are dealt into tiles by
     size class and hash, and only tiles of the same or the next class meet, each two of them
     under a key of their own.  The component that most of a shingle's sets belong to already,
     the crowd, has tiles of its own, which never meet each other: nothing in them is apart.
+    ``kinds`` has the parities of each ``sid``; without it ``left`` has them.
     """
     crowds = left.groupBy("h", "comp").count().groupBy("h").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("top"))
     many = crowds.where(F.col("all") > GROUP).select("h", F.col("top.comp").alias("crowd"))
@@ -378,11 +387,15 @@ def _tiled(left: DataFrame, similarity: float) -> DataFrame:
     placed = left.join(many, "h", "left").withColumns({"cls": F.when(F.col("crowd").isNotNull(), cls).otherwise(-1), "own": F.coalesce(F.col("comp") == F.col("crowd"), F.lit(False))}).drop("crowd")
     tiles_of = lambda own: F.ceil(F.sum((F.col("own") == own).cast("int")) / GROUP).cast("int")
     parts = Saved(placed.groupBy("h", "cls").agg(tiles_of(False).alias("mixed"), tiles_of(True).alias("one")))
+    release(left.sparkSession)
     members = ("sid", "n", "comp", "parities")
     # Tiles of the crowd, the component with most of a shingle's sets, are numbered after the others.
     turn = lambda k: F.pmod(F.xxhash64("sid"), F.greatest(F.col(k), F.lit(1))).cast("int")
     part = F.when(F.col("own"), F.col("mixed") + turn("one")).otherwise(turn("mixed")).alias("part")
-    dealt = placed.join(parts.df, ["h", "cls"]).groupBy("h", "cls", "mixed", "one", part)
+    dealt = placed.join(parts.df, ["h", "cls"]).select("h", "cls", "mixed", "one", part, "sid", "n", "comp")
+    # Parities come last, so that they are shuffled but once for each shingle.
+    odd = kinds or left.dropDuplicates(["sid"])
+    dealt = dealt.join(odd.select("sid", "parities"), "sid").groupBy("h", "cls", "mixed", "one", "part")
     tiles = Saved(dealt.agg(F.collect_list(F.struct(*members)).alias("m")))
     release(left.sparkSession)
     side = {s: [F.col(f"m.{c}").alias(f"{c}{s}") for c in members] for s in "ab"}
@@ -408,7 +421,7 @@ def _recomposed(left: Saved, links: DataFrame) -> Saved:
     """The rows of shingles that still have sets of several components, once ``links`` have tied some."""
     comp = left.df.select("sid", "comp").distinct()
     tied = links.join(comp.select(F.col("sid").alias("a"), F.col("comp").alias("src")), "a").join(comp.select(F.col("sid").alias("b"), F.col("comp").alias("dst")), "b")
-    now = star_contraction(tied.select("src", "dst").distinct()).select(F.col("id").alias("comp"), F.col("comp").alias("low"))
+    now = connected(tied.select("src", "dst")).select(F.col("id").alias("comp"), F.col("comp").alias("low"))
     rows = left.df.join(now, "comp", "left").withColumn("comp", F.coalesce("low", "comp")).drop("low")
     several = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     out = Saved(rows.join(several, "h").select(*left.df.columns))
@@ -452,20 +465,20 @@ def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, simi
     pairs = Saved(best.select("best.a", "b"))
     release(docs.sparkSession)
     star = _verified(docs, kinds.df, pairs.df, text, similarity)
-    joined = star_contraction(star, "a", "b").withColumnRenamed("id", "sid")
+    joined = connected(star, "a", "b").withColumnRenamed("id", "sid")
     comp = shared.df.join(joined, "sid", "left").select("sid", "n", "h", F.coalesce("comp", "sid").alias("comp"))
     apart = Saved(comp)
     shared.drop()
     pairs.drop()
     release(docs.sparkSession)
     several = apart.df.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    left = Saved(apart.df.join(several, "h").join(kinds.df.select("sid", "parities"), "sid"))
+    left = Saved(apart.df.join(several, "h"))
     apart.drop()
     release(docs.sparkSession)
     turn, agreed = 0, star
     while True:
         turn += 1
-        pairs = Saved(_pivots(left.df, similarity, turn))
+        pairs = Saved(_pivots(left.df, kinds.df, similarity, turn))
         tried = pairs.df.count()
         good = _verified(docs, kinds.df, pairs.df, text, similarity) if tried else pairs.df
         found = good.count() if tried else 0
@@ -477,7 +490,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, simi
         # A turn that ties few sets leaves few that further ones would.
         if found < max(FEW, tried // 8):
             break
-    rest = Saved(candidates(_tiled(left.df, similarity)))
+    rest = Saved(candidates(_tiled(left.df, similarity, kinds.df)))
     left.drop()
     release(docs.sparkSession)
     links = agreed.union(_verified(docs, kinds.df, rest.df, text, similarity))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from edgeflow.llm import chat, ctw, language, mixing, packing, queries, simhash, suffix, tokencount, vectors
 from edgeflow.llm.text import words
 from edgeflow.llm.tokens import word_ids
+from edgeflow.operators import components, joins
 from edgeflow.storage import Saved
 
 SF = "/root/testdata/sf0.001"
@@ -631,3 +632,45 @@ def test_groups_with_a_common_passage_are_not_compared_with_themselves(spark, mo
     got = simhash.near_duplicates(docs, radius=0, keep=("__d",), similarity=0.8)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: 40 * (i // 40) for i in range(80)}
     assert sum(checked) <= 4 * len(rows), checked
+
+
+def test_a_sieve_loses_no_row(spark):
+    """Rows that are asked for pass, null hashes too; of the others nearly none, so that they need not be shuffled."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") > 0, F.xxhash64("id")).alias("h"))
+    may, rest = (sorted(r.id for r in x.collect()) for x in joins.sieve(df.where("id % 40 = 0").select("h"), 500)(df, F.col("h")))
+    assert sorted(may + rest) == list(range(20_000)) and set(range(0, 20_000, 40)) <= set(may) and len(may) < 2_000
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_connected_is_the_same_by_a_forest(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "SMALL", few)
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, p)) for p in rng.integers(-50, 50, (40, 2))] + [(None, 3)]
+    want = {i: i for p in pairs[:-1] if p[0] != p[1] for i in p}
+    for _ in want:
+        for a, b in pairs[:-1]:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    for links in (pairs, []):
+        got = components.connected(spark.createDataFrame(links, "src long, dst long")).collect()
+        assert sorted((r.id, r.comp) for r in got) == (sorted(want.items()) if links else [])
+
+
+def test_pivots_and_checks_shuffle_no_text_that_is_not_asked_for(spark, monkeypatch):
+    """Of 200 texts two are near copies: the join that checks them takes a few of the texts."""
+    taken, real = [], simhash.sieve
+
+    def spy(keys, rows):
+        parts = real(keys, rows)
+
+        def count(df, h):
+            out = parts(df, h)
+            taken.append(out[0].count())
+            return out
+
+        return count
+
+    monkeypatch.setattr(simhash, "sieve", spy)
+    texts = [fresh(60, 900 + i) for i in range(199)]
+    assert kept_of(spark, [*texts, f"{texts[5]} more"]) == list(range(199))
+    assert taken and max(taken) < 20
