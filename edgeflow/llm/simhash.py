@@ -196,6 +196,8 @@ SLACK = 1e-9
 PARITIES, GROUP = 1024, 256
 #: Sets of a shingle that are compared with each other at once; of more, pivots are tried first.
 FEW = 16
+#: Sets that a turn of pivots tries, up to which another turn costs more than to compare what is left.
+WORTH = 256
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -487,8 +489,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, wide: Saved, text: str, simi
             agreed = agreed.union(good)
             left = _recomposed(left, good)
         pairs.drop()
-        # A turn that ties few sets leaves few that further ones would.
-        if found < max(FEW, tried // 8):
+        # A turn that tries or ties few sets leaves few that further ones would; so many are soon compared.
+        if tried <= WORTH or found < tried // 8:
             break
     rest = Saved(candidates(_tiled(left.df, similarity, kinds.df)))
     left.drop()
