@@ -330,6 +330,40 @@ def test_long_searches(spark, monkeypatch):
     assert dict(tuple(r) for r in g.bfs().collect()) == {i: i if i <= n else None for i in range(42)}
 
 
+def test_long_searches_take_few_jobs(spark, monkeypatch):
+    """A path's levels past the first few are found by one task, not by a job each."""
+    asked, look = [], frontier.Blocks.next
+    monkeypatch.setattr(frontier.Blocks, "next", lambda self, *x: asked.append(1) or look(self, *x))
+    g = graph(spark, [(i, i + 1) for i in range(40)] + [(50, 51)], 52)
+    assert dict(tuple(r) for r in g.bfs().collect()) == {i: i if i <= 40 else None for i in range(52)}
+    assert len(asked) <= 8
+
+
+@pytest.mark.parametrize("block,most", [(20, 1 << 16), (20, 2), (150, 1 << 16), (150, 3)])
+def test_long_searches_peel_leaves(spark, monkeypatch, block, most):
+    """Trees, rings and pairs, reached or not, whose leaves are peeled off until a block holds the rest or few are left: the levels of a plain search."""
+    monkeypatch.setattr(frontier, "LONG", 2)
+    monkeypatch.setattr(frontier, "BLOCK_EDGES", block)
+    monkeypatch.setattr(frontier, "FRONTIER", most)
+    monkeypatch.setattr(graph_module, "TABLES", 2)
+    turns, peel = [], graph_module._peeled
+    monkeypatch.setattr(graph_module, "_peeled", lambda *x: turns.append(peel(*x)) or turns[0])
+    ring = [(i, (i + 1) % 14) for i in range(14)]
+    trees = [(20 + i, i % 14) for i in range(30)] + [(50 + i, 20 + i) for i in range(20)] + [(70 + i, 50 + i // 2) for i in range(20)]
+    apart = [(100 + i, 100 + (i + 1) % 5) for i in range(5)] + [(110 + i, 100 + i % 5) for i in range(9)] + [(120, 121), (130, 131), (131, 132), (133, 133)]
+    pairs = ring + trees + apart
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist, now = {0: 0}, [0]
+    while now:
+        now = [x for x in {y for v in now for y in near[v]} if x not in dist and not dist.update({x: dist[now[0]] + 1})]
+    got = graph(spark, pairs, 140).bfs().collect()
+    assert len(got) == 140 and {r["id"]: r["dist"] for r in got} == {i: dist.get(i) for i in range(140)}
+    assert turns[0][2] and turns[0][1] < 2 * len(pairs)
+
+
 @pytest.mark.parametrize("most,tell", [(3, 1), (4, 10), (1 << 16, 2)])
 def test_searches_by_blocks_and_joins(spark, monkeypatch, most, tell):
     """Frontiers that grow past what blocks send, fall under it again, and hubs: the levels of a plain search."""
