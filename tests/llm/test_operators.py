@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import uuid
 import zlib
@@ -15,7 +16,7 @@ from edgeflow.llm import chat, ctw, language, mixing, packing, queries, simhash,
 from edgeflow.llm.text import words
 from edgeflow.llm.tokens import word_ids
 from edgeflow.operators import components, joins
-from edgeflow.storage import Saved
+from edgeflow.storage import Saved, shared_dir
 
 SF = "/root/testdata/sf0.001"
 rng = np.random.default_rng(3)
@@ -617,6 +618,21 @@ def test_longest_previous():
         assert min(got[i], len(text) - i) == best
 
 
+def test_repeats_keep_the_bytes_of_stretches_once(spark, docs, monkeypatch):
+    """Once different stretches are saved, the table of their occurrences has gone: one table holds their bytes."""
+    base = pathlib.Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    old, seen, work = set(base.iterdir()), [], suffix._shared
+
+    def looked(least):
+        new = [str(p) for p in set(base.iterdir()) - old if p.name.startswith("edgeflow-")]
+        seen.append([p for p in new if "data" in spark.read.parquet(p).columns])
+        return work(least)
+
+    monkeypatch.setattr(suffix, "_shared", looked)
+    assert suffix.remove_repeats(docs, least=60, keep="none").where("size(spans) > 0").count()
+    assert len(seen[0]) == 1
+
+
 def test_groups_with_a_common_passage_are_not_compared_with_themselves(spark, monkeypatch):
     """Two groups of near copies share a passage, so the lowest set of one is tried for all of the other: pivots tie these, not all pairs."""
     passage, tails = [f"p{i}" for i in range(44)], [[f"{g}{i}" for i in range(20)] for g in "tu"]
