@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from edgeflow.llm.text import batch_rows
 from edgeflow.operators.components import star_contraction
 from edgeflow.operators.ordered import in_order, with_running
-from edgeflow.storage import save, settled
+from edgeflow.storage import Saved, save, settled
 
 #: Vectors in a block that one comparison holds; bounds memory, not results.
 BLOCK = 1024
 #: Length levels of the candidates, at most.
 LEVELS = 256
+#: Tiles of candidates that queries meet in one go, components of such queries, and partitions of a comparison, at most.
+TILES, COMPONENTS, PARTITIONS = 64, 1 << 23, 10_000
 
 
 def rows_of(column: pa.Array) -> list[np.ndarray]:
@@ -190,66 +192,133 @@ def quantised(column: str, scale: float):
     return F.transform(F.col(column).cast("array<double>"), lambda x: F.floor(x * scale))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as rows, those that end early filled up with zeros."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0))
     if (sizes == width).all():
-        return flat.reshape(-1, width)
-    out = np.zeros((len(sizes), width), np.int64)
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), flat.dtype)
     out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
-def _best(qs: pa.StructArray, floor: list, cs: pa.StructArray, k: int, coordinate_from: float):
-    """(query, (candidates, scores)): the k best of those that reach the query's floor, if it has one."""
-    width = int(max(x.field("v").value_lengths().to_numpy(zero_copy_only=False).max(initial=0) for x in (qs, cs)))
-    a, c = _matrix(qs.field("v"), width), _matrix(cs.field("v"), width)
-    an, cn = (x.field("norm").to_numpy(zero_copy_only=False) for x in (qs, cs))
-    # Ids as whole numbers in their order, null last, so that ties can be told by them.
-    every = pa.concat_arrays([qs.field("id"), cs.field("id")])
-    order = np.argsort(pa.compute.sort_indices(every).to_numpy())
-    values = every.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    same, tie = values[: len(a)], order[len(a) :]
-    group = values[len(a) :]
-    big = float(np.abs(a).max(initial=0)) * float(np.abs(c).max(initial=0)) * width
-    kind = np.float64 if big < 2**53 else np.int64 if big < 2**62 else object
-    a, c = a.astype(kind), c.astype(kind)
-    longest = cn.max(initial=0.0)
-    focus = np.abs(a).argmax(axis=1) if width else np.zeros(len(a), np.int64)
-    unit = np.divide(c.astype(np.float64), cn[:, None], where=cn[:, None] > 0, out=np.zeros(c.shape))
-    for s in range(0, len(a), 64):
-        rows_, pick = range(s, min(s + 64, len(a))), []
-        for r in rows_:
-            need = floor[r]
-            if need is None or need <= 0 or not an[r]:
-                pick.append(None)  # nothing to prune with yet
+def _largest(v: np.ndarray) -> float:
+    return max(float(v.max(initial=0)), -float(v.min(initial=0)))
+
+
+class Best:
+    """Queries, and the ``k`` best of the candidates that each has met so far and that reach its floor."""
+
+    #: Floor of a query that has none: below every score.
+    NONE = np.iinfo(np.int64).min + 1
+
+    def __init__(self, qs: pa.StructArray, k: int, coordinate_from: float):
+        self.qs, self.k, self.coordinate_from = qs, k, coordinate_from
+        self.v, self.norm = _matrix(qs.field("v")), qs.field("norm").to_numpy(zero_copy_only=False)
+        self.floor = qs.field("floor").fill_null(self.NONE).to_numpy(zero_copy_only=False).copy()
+        self.cast: dict = {}
+        # What was found: numbers of queries, scores, candidates' ids.
+        self.r, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), qs.field("id").slice(0, 0)
+
+    def picked(self, rows: slice, c: np.ndarray, norm: np.ndarray) -> np.ndarray | None:
+        """Candidates that one of these queries may need; None for all."""
+        need, own, longest = self.floor[rows].astype(np.float64), self.norm[rows], norm.max(initial=0.0)
+        if (need <= 0).any() or not own.all():
+            return None  # nothing to prune with yet
+        cosine = need / (own * longest) * (1 - 1e-9) if longest else np.full(len(need), 2.0)
+        by_length = (cosine <= 1) & (cosine < self.coordinate_from)
+        some = norm >= (need[by_length] / own[by_length]).min(initial=np.inf) * (1 - 1e-9)
+        for r in np.flatnonzero((cosine <= 1) & ~by_length):
+            v = self.v[rows.start + r].astype(np.float64)
+            focus = np.abs(v).argmax()
+            f = v[focus] / own[r]
+            x = np.divide(c[:, focus].astype(np.float64), norm, where=norm > 0, out=np.zeros(len(c))) if focus < c.shape[1] else np.zeros(len(c))
+            some |= f * x + np.sqrt(max(0.0, 1 - f * f)) * np.sqrt(np.maximum(0, 1 - x**2)) >= cosine[r] - 1e-9
+        return np.flatnonzero(some)
+
+    def meet(self, cs: pa.StructArray) -> None:
+        """Take the candidates' best."""
+        # In the order of their ids, null last, so that the first of equal scores is the one to keep.
+        cs = cs.take(pa.compute.sort_indices(cs.field("id")))
+        c, norm = _matrix(cs.field("v")), cs.field("norm").to_numpy(zero_copy_only=False)
+        width = min(self.v.shape[1], c.shape[1])  # a component that either lacks counts as 0
+        big = _largest(self.v) * _largest(c) * width
+        # Whole numbers below these bounds, and so all their sums, are exact.
+        kind = np.float32 if big < 2**24 else np.float64 if big < 2**53 else np.int64 if big < 2**62 else object
+        if (kind, width) not in self.cast:
+            self.cast = {(kind, width): self.v[:, :width].astype(kind)}
+        a, b = self.cast[kind, width], np.ascontiguousarray(c[:, :width].astype(kind))
+        lowest = -np.inf if kind in (np.float32, np.float64) else np.iinfo(np.int64).min if kind is np.int64 else -(1 << 200)
+        same, at = self.own(cs)
+        found = []
+        for s in range(0, len(a), 256):
+            rows = slice(s, min(s + 256, len(a)))
+            some = self.picked(rows, c, norm)
+            if some is not None and not len(some):
                 continue
-            cosine = need / (an[r] * longest) * (1 - 1e-9) if longest else 2.0
-            if cosine > 1:
-                pick.append(np.zeros(len(c), bool))
-            elif cosine >= coordinate_from:
-                f = float(a[r, focus[r]]) / an[r]
-                reach = f * unit[:, focus[r]] + np.sqrt(max(0.0, 1 - f * f)) * np.sqrt(np.maximum(0, 1 - unit[:, focus[r]] ** 2))
-                pick.append(reach >= cosine - 1e-9)
-            else:
-                pick.append(cn * an[r] >= need * (1 - 1e-9))
-        some = None if any(p is None for p in pick) else np.flatnonzero(np.logical_or.reduce(pick))
-        at = np.arange(len(c)) if some is None else some
-        if not len(at):
-            continue
-        product = a[s : s + 64] @ c[at].T
-        for r in rows_:
-            score = product[r - s]
-            ok = group[at] != same[r]
-            if floor[r] is not None:
-                ok &= score >= floor[r]
-            j = np.flatnonzero(ok)
-            if len(j) > k:
-                kth = np.partition(score[j], len(j) - k)[len(j) - k]
-                j = j[score[j] >= kth]
-                j = j[np.lexsort((tie[at[j]], -score[j]))][:k]
-            if len(j):
-                yield r, (at[j], score[j])
+            score = a[rows] @ (b if some is None else b[some]).T
+            own = slice(*np.searchsorted(same, [rows.start, rows.stop]))
+            i, j = same[own] - s, at[own]
+            if some is not None:
+                place = np.searchsorted(some, j)
+                there = (place < len(some)) & (some[np.minimum(place, len(some) - 1)] == j)
+                i, j = i[there], place[there]
+            score[i, j] = lowest
+            low = self.floor[rows].astype(kind)
+            flat = np.flatnonzero(score >= low[:, None])
+            if len(flat) > 8 * self.k * len(low) and score.shape[1] > self.k:
+                low = np.maximum(low, np.partition(score, -self.k, axis=1)[:, -self.k])
+                flat = np.flatnonzero(score >= low[:, None])
+            r, j = np.divmod(flat, score.shape[1])
+            starts = np.searchsorted(r, np.arange(len(low) + 1))
+            keep = np.ones(len(r), bool)
+            for q in np.flatnonzero(np.diff(starts) > self.k):
+                mine = slice(starts[q], starts[q + 1])
+                keep[mine] = False
+                keep[starts[q] + np.argsort(-score[q, j[mine]], kind="stable")[: self.k]] = True
+            r, j = r[keep], j[keep]
+            found.append((r + s, score[r, j].astype(np.int64), j if some is None else some[j]))
+        if found:
+            r, score, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            self.take(r, score, cs.field("id").take(pa.array(j)))
+
+    def own(self, cs: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries, ascending, and the candidates of their own ids."""
+        every = pa.concat_arrays([self.qs.field("id"), cs.field("id")])
+        codes = every.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        mine, theirs = codes[: len(self.qs)], codes[len(self.qs) :]
+        order = np.argsort(theirs, kind="stable")
+        begin, end = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
+        n = end - begin
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        return np.repeat(np.arange(len(mine)), n), order[place]
+
+    def take(self, r: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        """Put what was found to what was kept, and keep the best."""
+        hit = np.zeros(len(self.qs), bool)
+        hit[r] = True
+        again = hit[self.r]
+        r, score, ids = np.concatenate([self.r[again], r]), np.concatenate([self.score[again], score]), pa.concat_arrays([self.ids.filter(pa.array(again)), ids])
+        tie = np.empty(len(r), np.int64)
+        tie[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(r))
+        order = np.lexsort((tie, -score, r))
+        r = r[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        order, r, place = order[place < self.k], r[place < self.k], place[place < self.k]
+        score, ids = score[order], ids.take(pa.array(order))
+        full = place == self.k - 1
+        self.floor[r[full]] = np.maximum(self.floor[r[full]], score[full])
+        self.r, self.score = np.concatenate([self.r[~again], r]), np.concatenate([self.score[~again], score])
+        self.ids = pa.concat_arrays([self.ids.filter(pa.array(~again)), ids])
+
+    def batches(self):
+        """``row, query_id, vec_id, score`` of what is kept."""
+        for i in range(0, len(self.r), 1 << 16):
+            r = pa.array(self.r[i : i + (1 << 16)])
+            columns = self.qs.field("row").take(r), self.qs.field("id").take(r), self.ids.slice(i, 1 << 16), pa.array(self.score[i : i + (1 << 16)])
+            yield pa.RecordBatch.from_arrays(list(columns), ["row", "query_id", "vec_id", "score"])
 
 
 @settled
@@ -265,9 +334,12 @@ def top_products(
     by a tile's greatest length too, it is the cosine a candidate must reach there: over 1 the
     tile is skipped; from ``coordinate_from`` candidates are pruned by what the query's largest
     coordinate allows, below by length.  What is left is verified by exact products.
-    Queries are put into blocks of ``queries`` in the order of the length they need, so that a
-    block meets only the levels that its least demanding query needs; a tile and a block
-    meet under a key of their own, so no task receives more than one of each at a time.
+    Queries are put into blocks of ``queries`` in the order of the length they need, and blocks
+    into groups of ``COMPONENTS`` components.  A group meets the tiles in ranges of ``TILES``, under a key
+    each: a task holds one group and one tile at a time and goes through the range from the longest
+    tile on, its thresholds rising.  A block takes part only in ranges that its least demanding
+    query needs.  So a tile is shuffled once a group and a block once a range, and nothing but
+    the first tile goes through the driver; the products themselves are one for each query and candidate that pruning leaves.
     Candidates with the query's own id are left out; ties go to the smaller id; a query has
     fewer rows if there are fewer candidates.  Of rows with repeated ids each is a candidate,
     and each that is a query gets its own ranks.  Vectors that are null, empty or hold null or
@@ -283,59 +355,86 @@ def top_products(
     kind = ints.schema["id"].dataType.simpleString()
     # Bounds of the levels; a level of many rows is dealt into parts.
     levels = max(1, min(LEVELS, ints.count() // bucket))
-    cuts = ints.agg(F.percentile_approx("norm", [i / levels for i in range(1, levels)] or [0.5], 10_000)).first()[0] or []
-    level = sum((F.when(F.col("norm") < float(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    reach = F.max(F.greatest(F.array_max("v"), F.bitwise_not(F.array_min("v"))))
+    cuts, reach, width = ints.agg(F.percentile_approx("norm", [i / levels for i in range(1, levels)] or [0.5], 10_000), reach, F.max(F.size("v"))).first()
+    number = "smallint" if (reach or 0) < 1 << 15 else "int" if reach < 1 << 31 else "bigint"
+    ints = ints.withColumn("v", F.col("v").cast(f"array<{number}>"))
+    cuts = sorted(map(float, set(cuts or [])))
+
+    def counted(low: int, high: int):
+        """How many of all cuts are above the length, by halves; of the cuts it is not below there are so many."""
+        at = (low + high) // 2
+        return F.lit(len(cuts) - low) if low == high else F.when(F.col("norm") < cuts[at], counted(low, at)).otherwise(counted(at + 1, high))
+
+    level = counted(0, len(cuts))
     leveled = ints.select("id", "v", "norm", "row", level.alias("level"))
     sizes = leveled.groupBy("level").agg(F.ceil(F.count("*") / bucket).alias("parts"), F.max("norm").alias("longest"))
     sizes = sorted(map(tuple, sizes.collect())) or [(0, 1, 0.0)]  # at most LEVELS rows
-    of_level = F.create_map(*[F.lit(x) for lv, parts, _ in sizes for x in (lv, parts)])
-    tiles = leveled.groupBy("level", F.pmod(F.xxhash64("row"), of_level[F.col("level")]).alias("part"))
-    tiles = save(tiles.agg(F.collect_list(F.struct("id", "norm", "v")).alias("c")))
+    # Tiles are numbered from the longest level on; a level's end with this number.
+    ends = np.cumsum([parts for _, parts, _ in sizes]).tolist()
+    of_level, first = ({lv: x for (lv, _, _), x in zip(sizes, xs, strict=True)} for xs in ([parts for _, parts, _ in sizes], [0, *ends[:-1]]))
+    of_level, first = (F.array(*[F.lit(x.get(lv, 0)) for lv in range(len(cuts) + 1)])[F.col("level")] for x in (of_level, first))
+    tiles = leveled.groupBy((first + F.pmod(F.xxhash64("row"), of_level)).alias("tile"))
+    # Readers may take all rows of a file at once, so few large ones go to a file.
+    fit = lambda n: max(1, COMPONENTS // (2 * n * max(1, width or 1)))
+    tiles = Saved(tiles.agg(F.collect_list(F.struct("id", "norm", "v")).alias("c")), file_rows=fit(bucket)).df
     # One tile of the longest, of about ``bucket`` rows, goes to all tasks.
-    longest = tiles.where((F.col("level") == sizes[0][0]) & (F.col("part") == 0)).select("c").toArrow().column("c").combine_chunks()
+    longest = tiles.where("tile = 0").select("c").toArrow().column("c").combine_chunks()
     head = spark.sparkContext.broadcast(longest.values if len(longest) else None)
 
     def first_scores(batches):
         for b in batches:
-            floor = [None] * b.num_rows
+            floor = pa.nulls(b.num_rows, pa.int64())
             if head.value is not None:
-                for r, scores in _best(pa.StructArray.from_arrays([b.column(c) for c in ("id", "norm", "v")], ["id", "norm", "v"]), floor, head.value, k, coordinate_from):
-                    floor[r] = int(scores[1].min()) if len(scores[1]) == k else None
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor, pa.int64())], [*b.schema.names, "floor"])
+                best = Best(pa.StructArray.from_arrays([*b.columns, floor], [*b.schema.names, "floor"]), k, coordinate_from)
+                best.meet(head.value)
+                floor = pa.array(best.floor, mask=best.floor == Best.NONE)
+            yield pa.RecordBatch.from_arrays([*b.columns, floor], [*b.schema.names, "floor"])
 
     asked = ints.where("q").select("row", "id", "norm", "v")
     with batch_rows(spark, 4096):
-        asked = save(asked.mapInArrow(first_scores, f"row long, id {kind}, norm double, v array<long>, floor long"))
+        asked = save(asked.mapInArrow(first_scores, f"row long, id {kind}, norm double, v array<{number}>, floor long"))
     # The length a candidate must reach; queries without a positive threshold meet every level.
     need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm") * (1 - 1e-9)).otherwise(F.lit(-1.0))
     placed = with_running(in_order(asked.withColumn("need", need), "need", "row"), F.struct("need", "row"), place=F.lit(1))
     deepest = sum((F.when(F.col("need") <= x, 1).otherwise(0) for _, _, x in sizes), F.lit(-1))
-    blocks = placed.groupBy(F.expr(f"(place - 1) div {queries}").alias("block")).agg(
-        F.collect_list(F.struct("row", "id", "norm", "v", "floor")).alias("qs"), F.max(deepest).alias("deepest")
-    )
-    blocks = save(blocks.where("deepest >= 0"))
-    depth = dict(map(tuple, blocks.groupBy("deepest").count().collect()))  # at most LEVELS rows
-    # Blocks come in the order of what they need, so those that a level must meet are the first so many.
-    meets = F.create_map(*[F.lit(x) for i, (lv, *_) in enumerate(sizes) for x in (lv, sum(n for d, n in depth.items() if d >= i))])
-    upto = F.array(*[F.lit(lv) for lv, *_ in sizes])
-    left = blocks.select("block", "qs", F.explode(F.slice(upto, F.lit(1), F.col("deepest") + 1)).alias("level"))
-    left = left.select("block", "qs", "level", F.explode(F.sequence(F.lit(0).cast("bigint"), of_level[F.col("level")].cast("bigint") - 1)).alias("part"))
-    n_meets = meets[F.col("level")].cast("bigint")
-    right = tiles.where(n_meets > 0).select("level", "part", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), n_meets - 1)).alias("block"))
+    placed = placed.withColumn("block", F.expr(f"(place - 1) div {queries}")).repartition(max(1, -(-asked.count() // (queries * fit(queries)))), "block")
+    blocks = placed.groupBy("block").agg(F.collect_list(F.struct("row", "id", "norm", "v", "floor")).alias("qs"), F.max(deepest).alias("deepest"))
+    blocks = save(blocks.where("deepest >= 0").withColumn("group", F.expr(f"block div {2 * fit(queries)}")))
+    depth = blocks.groupBy("group").agg(F.max("deepest").alias("deepest")).groupBy("deepest").count()
+    depth = dict(map(tuple, depth.collect()))  # at most LEVELS rows
+    # Ranges of tiles: as many as keep all cores busy, at least.
+    each = max(1, min(TILES, ends[-1] // (4 * spark.sparkContext.defaultParallelism)))
+    ranges = [-(-end // each) for end in ends]  # that reach down to each level
+    n = ranges[-1]
+    left = blocks.withColumn("range", F.explode(F.sequence(F.lit(0), F.array(*map(F.lit, ranges))[F.col("deepest")] - 1)))
+    # Groups come in the order of what they need, so those that a range must meet are the first so many.
+    right = tiles.withColumn("range", F.expr(f"tile div {each}"))
+    meets = sum((F.when(F.col("range") < ranges[d], groups).otherwise(0) for d, groups in depth.items()), F.lit(0))
+    right = right.withColumn("meets", meets).where("meets > 0").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    cell = (F.col("group") * n + F.col("range")).alias("cell")
+    left = left.select(cell, F.col("block").alias("no"), "qs", F.lit(None).cast(tiles.schema["c"].dataType).alias("c"))
+    right = right.select(cell, F.col("tile").alias("no"), F.lit(None).cast(blocks.schema["qs"].dataType).alias("qs"), "c")
+    cells = max(1, min(PARTITIONS, sum(groups * ranges[d] for d, groups in depth.items())))
+    # A cell's blocks come before its tiles.
+    both = left.union(right).repartition(cells, "cell").sortWithinPartitions("cell", F.col("qs").isNull(), "no")
 
     def scored(batches):
+        now, qs, best = None, [], None
         for b in batches:
-            for i in range(b.num_rows):
-                qs, c = b.column("qs")[i].values, b.column("c")[i].values
-                hits = list(_best(qs, qs.field("floor").to_pylist(), c, k, coordinate_from))
-                if hits:
-                    r = pa.array(np.repeat([r for r, _ in hits], [len(at) for _, (at, _) in hits]))
-                    at, score = (np.concatenate(x) for x in zip(*(x for _, x in hits), strict=True))
-                    columns = qs.field("row").take(r), qs.field("id").take(r), c.field("id").take(pa.array(at)), pa.array(score.astype(np.int64))
-                    yield pa.RecordBatch.from_arrays(list(columns), ["row", "query_id", "vec_id", "score"])
+            for i, at in enumerate(b.column("cell").to_pylist()):
+                if at != now:
+                    yield from best.batches() if best else ()
+                    now, qs, best = at, [], None
+                if b.column("qs")[i].is_valid:
+                    qs.append(b.column("qs")[i].values)
+                    continue
+                if qs:
+                    qs, best = [], Best(pa.concat_arrays(qs), k, coordinate_from)
+                best.meet(b.column("c")[i].values)
+        yield from best.batches() if best else ()
 
     with batch_rows(spark, 4):
-        hits = left.join(right, ["level", "part", "block"]).select("qs", "c")
-        hits = save(hits.mapInArrow(scored, f"row long, query_id {kind}, vec_id {kind}, score long"))
+        hits = save(both.select("cell", "qs", "c").mapInArrow(scored, f"row long, query_id {kind}, vec_id {kind}, score long"))
     w = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -431,6 +432,49 @@ def test_pruned_tiles_are_not_joined(spark):
     assert len(met) == 2 and max(met) < 5
 
 
+def test_blocks_and_tiles_stay_off_the_driver(spark):
+    """No join of query blocks and tiles is a broadcast, however small their files seem."""
+    r = np.random.default_rng(3)
+    v = r.standard_normal((2000, 32)).round(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    ints = np.floor(256 * v).astype(np.int64)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")  # a block in front of each of 50 tiles is more
+    try:
+        got = rows(vectors.top_products(df, F.col("vec_id") % 5 == 0, bucket=40, queries=40), "query_id", "rank", "vec_id", "score")
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    want = []
+    for q in range(0, 2000, 5):
+        score = ints @ ints[q]
+        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want, key=repr)
+
+
+def test_best_of_a_group_met_tile_by_tile():
+    """A group's thresholds rise from tile to tile; own ids, ties, null ids and wide numbers come out as by brute force."""
+    r = np.random.default_rng(4)
+    for scale in (3, 40_000, 1 << 29):
+        q, c = (r.integers(-scale, scale, (n, 5)) for n in (300, 900))
+        ids = [None if i % 97 == 0 else int(i % 700) for i in range(900)]
+
+        def part(v, ids):
+            columns = {"row": pa.array(range(len(v)), pa.int64()), "id": pa.array(ids, pa.int64()), "norm": pa.array(np.sqrt((v.astype(float) ** 2).sum(axis=1)))}
+            columns |= {"v": pa.array(v.tolist(), pa.list_(pa.int64())), "floor": pa.nulls(len(v), pa.int64())}
+            return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+        best = vectors.Best(part(q, list(range(300))), 5, 0.9)
+        for s in range(0, 900, 70):
+            best.meet(part(c[s : s + 70], ids[s : s + 70]))
+        got = {}
+        for b in best.batches():
+            for x in b.to_pylist():
+                got.setdefault(x["row"], []).append((-x["score"], x["vec_id"] is None, x["vec_id"] or 0))
+        for i in range(300):
+            scores = [sum(int(x) * int(y) for x, y in zip(q[i], v, strict=True)) for v in c]
+            assert sorted(got[i]) == sorted((-s, x is None, x or 0) for s, x in zip(scores, ids, strict=True) if x != i)[:5]
+
+
 # 6 chat, 7 mixing: against SQL
 
 
