@@ -579,3 +579,17 @@ def test_vertices_are_dealt_by_shares(spark, monkeypatch):
     got = Graph(spark.createDataFrame([(0, 199)], "src long, dst long"), 200).everywhere(state, label=F.col("id"))
     assert got.rdd.getNumPartitions() == 20
     assert dict(table(got, "id", "label")) == {i: i if i % 3 else i % 7 for i in range(200)}
+
+
+@pytest.mark.parametrize("name", ["csr_file_roundtrip"])
+def test_csr_holds_ids_of_any_width(spark, tmp_path, name):
+    """CSR files are not bound to 32 bits, so neither the query nor its SQL cuts an id."""
+    keys = [4_396_042 + i for i in range(20)] + [9_000_000_000 + 7 * i for i in range(20)] + [1, 2]
+    rows = spark.createDataFrame([(k, p, 1) for i, k in enumerate(keys) for p in (i % 7, k + i)], "l_orderkey long, l_partkey long, l_linenumber long")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(10).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'; CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted((977 * k, 977 * p) for i, k in enumerate(keys) for p in (i % 7, k + i))
+    assert sorted(con.execute(catalogue.SQL[name]).fetchall()) == want
+    assert table(catalogue.QUERIES[name](spark, str(tmp_path)), "src", "dst") == want
