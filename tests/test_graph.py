@@ -581,7 +581,7 @@ def test_vertices_are_dealt_by_shares(spark, monkeypatch):
     assert dict(table(got, "id", "label")) == {i: i if i % 3 else i % 7 for i in range(200)}
 
 
-@pytest.mark.parametrize("name", ["csr_file_roundtrip"])
+@pytest.mark.parametrize("name", ["csr_file_roundtrip", "csr_data_source"])
 def test_csr_holds_ids_of_any_width(spark, tmp_path, name):
     """CSR files are not bound to 32 bits, so neither the query nor its SQL cuts an id."""
     keys = [4_396_042 + i for i in range(20)] + [9_000_000_000 + 7 * i for i in range(20)] + [1, 2]
